@@ -142,7 +142,7 @@ def with_month(df, name: str, out: str, default_year: int = R.DEFAULT_YEAR):
     """DAT-2 over a table column in two projections (strip and normalize once)."""
     t, n, sk = f"__{name}_stripped", f"__{name}_nodots", f"__{name}_skeleton"
     return (df.withColumns({t: strip(F.col(name).cast("string")),
-                            n: F.replace(normalize(F.col(name)), F.lit("."), F.lit(""))})
+                            n: F.replace(normalize(name), F.lit("."), F.lit(""))})
               .withColumn(sk, skeleton(F.col(t)))
               .withColumn(out, parse_month_staged(F.col(t), F.col(n), default_year, F.col(sk)))
               .drop(t, n, sk))

@@ -78,13 +78,57 @@ def collapse_spaces(c: Column) -> Column:
     return F.when(F.instr(c, "  ") > 0, F.regexp_replace(c, " {2,}", " ")).otherwise(c)
 
 
-def normalize(c: Column) -> Column:
-    """STR-1: NULL -> '', strip, lower, NFKD, drop combining marks, collapse spaces.
+def sql_literal(text: str) -> str:
+    """A Spark SQL string literal; non-ASCII and control characters as \\u escapes."""
+    out = []
+    for ch in text:
+        o = ord(ch)
+        if ch in "'\\":
+            out.append("\\" + ch)
+        elif o > 0xFFFF:
+            hi, lo = 0xD800 + ((o - 0x10000) >> 10), 0xDC00 + ((o - 0x10000) & 0x3FF)
+            out.append("\\u%04x\\u%04x" % (hi, lo))
+        elif o < 0x20 or o > 0x7E:
+            out.append("\\u%04x" % o)
+        else:
+            out.append(ch)
+    return "'" + "".join(out) + "'"
+
+
+@lru_cache(maxsize=1)
+def _normalize_template() -> str:
+    """The normalize expression as SQL text with ``{x}`` for the input, built once.
 
     One ``translate`` does NFKD, mark removal and whitespace folding; the few
     multi-letter decompositions (ligatures, fractions, ellipsis) are expanded
-    only on rows that contain one.
+    only on rows that contain one. As one SQL string it costs the driver a
+    single call to build, however many columns are normalized.
+    """
+    src, dst, multi, space = _tables()
+    t = f"lower(btrim(CAST({{x}} AS STRING), {sql_literal(space)}))"
+    if multi:
+        chars = sql_literal("".join(a for a, _ in multi))
+        expanded = t
+        for a, b in multi:
+            expanded = f"replace({expanded}, {sql_literal(a)}, {sql_literal(b)})"
+        t = f"(CASE WHEN length(translate({t}, {chars}, '')) != length({t}) THEN {expanded} ELSE {t} END)"
+    t = f"translate({t}, {sql_literal(src)}, {sql_literal(dst)})"
+    return (f"coalesce(CASE WHEN instr({t}, '  ') > 0 THEN regexp_replace({t}, ' {{2,}}', ' ') "
+            f"ELSE {t} END, '')")
+
+
+def normalize(c: Column | str) -> Column:
+    """STR-1: NULL -> '', strip, lower, NFKD, drop combining marks, collapse spaces.
+
+    Pass a column name to get the one-call SQL form; a Column expression is
+    built call by call (same result, more driver round trips).
     """
+    if isinstance(c, str):
+        return F.expr(_normalize_template().replace("{x}", f"`{c}`"))
+    return _normalize_column(c)
+
+
+def _normalize_column(c: Column) -> Column:
     src, dst, multi, _ = _tables()
     t = F.lower(strip(c.cast("string")))
     if multi:

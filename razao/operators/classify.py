@@ -24,7 +24,7 @@ def _norm_or_empty(df: DataFrame, name: str) -> Column:
     if n in df.columns:
         return F.coalesce(F.col(n), F.lit(""))
     if name in df.columns:
-        return normalize(F.col(name))
+        return normalize(name)
     return F.lit("")
 
 
