@@ -7,6 +7,8 @@ returns a DataFrame. Names and column names match ``plans.oracle_queries``.
 
 from __future__ import annotations
 
+import hashlib
+import os
 import uuid
 from collections.abc import Callable
 from functools import lru_cache
@@ -36,14 +38,24 @@ SELECTED_PERIODS = ("2024-03", "2025-12", "2026-08")
 # ------------------------------------------------------------------ inputs
 
 _PLANS: dict = {}
+MATERIALIZE = os.environ.get("RAZAO_MATERIALIZE", "1") != "0"
 
 
-def _plan(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
-    """Lazy plans of the standardized inputs, built once per session and folder.
-    Only the plan is kept (nothing is cached in memory); each query still scans."""
-    key = (id(spark), spark.sparkContext.applicationId, sf, name)
+def _plan(spark: SparkSession, sf: str, name: str, build, materialize: bool = True) -> DataFrame:
+    """Standardized inputs, built once per session and folder.
+
+    By default each one is written once to the shared checkpoint folder and
+    read back (``ingest.materialize``), so queries that use the ledger several
+    times scan clean Parquet instead of re-parsing text in every branch. With
+    ``RAZAO_MATERIALIZE=0`` only the lazy plan is kept.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
     if key not in _PLANS:
-        _PLANS[key] = build()
+        df = build()
+        if materialize and MATERIALIZE:
+            slug = hashlib.sha1(sf.encode()).hexdigest()[:12]
+            df = ingest.materialize(df, f"{slug}/{name}")
+        _PLANS[key] = df
     return _PLANS[key]
 
 
@@ -78,7 +90,7 @@ def workbook(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
                      "fact_aluguel": rent, "fact_apostas_kto": betting}.get(name)
             out[name] = known(spark, sf) if known else ingest.standardize(df, name, RULES)
         return out
-    return _plan(spark, sf, "workbook", build)
+    return _plan(spark, sf, "workbook", build, materialize=False)
 
 
 def _key(df: DataFrame) -> DataFrame:
