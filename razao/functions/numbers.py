@@ -6,6 +6,8 @@ depend on task order; it is cast to double only in final outputs.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -82,17 +84,28 @@ def with_numbers(df, names, money_type: str = "decimal(18,4)", paren_after_curre
     df = df.withColumns({n: F.col(n).try_cast(money_type) for n in names if n not in text})
     if not text:
         return df
-    df = df.withColumns({f"__{n}_t": strip(F.col(n).cast("string")) for n in text})
-    df = df.withColumns({f"__{n}_c": _remove_currency(F.col(f"__{n}_t")) for n in text})
-    df = df.withColumns({
-        f"__{n}_neg": _negative(F.col(f"__{n}_c" if paren_after_currency else f"__{n}_t")) for n in text
-    })
-    df = df.withColumns({f"__{n}_u": _digits(F.col(f"__{n}_c")) for n in text})
-    df = df.withColumns({f"__{n}_d": _keep_number_chars(F.col(f"__{n}_u")) for n in text})
-    df = df.withColumns({n: _finish(F.col(f"__{n}_d"), F.col(f"__{n}_neg"), money_type) for n in text})
+    for stage in range(6):
+        df = df.withColumns(dict(_number_stage(n, stage, money_type, paren_after_currency) for n in text))
     return df.drop(*[f"__{n}_{s}" for n in text for s in ("t", "c", "neg", "u", "d")])
 
 
+@lru_cache(maxsize=512)
+def _number_stage(n: str, stage: int, money_type: str, paren_after_currency: bool):
+    """(output name, expression) of one NUM-1 stage for a column name, built once
+    per process (expressions depend on names only)."""
+    if stage == 0:
+        return f"__{n}_t", strip(F.col(n).cast("string"))
+    if stage == 1:
+        return f"__{n}_c", _remove_currency(F.col(f"__{n}_t"))
+    if stage == 2:
+        return f"__{n}_neg", _negative(F.col(f"__{n}_c" if paren_after_currency else f"__{n}_t"))
+    if stage == 3:
+        return f"__{n}_u", _digits(F.col(f"__{n}_c"))
+    if stage == 4:
+        return f"__{n}_d", _keep_number_chars(F.col(f"__{n}_u"))
+    return n, _finish(F.col(f"__{n}_d"), F.col(f"__{n}_neg"), money_type)
+
+
 def _grouped(x: Column, decimals: int) -> Column:
     """'1,234.50' (US grouping) -> '1.234,50'."""
     return F.translate(F.format_number(x.cast("double"), decimals), ",.", ".,")

@@ -7,6 +7,8 @@ text, so one branch cannot swallow another's input, and each branch uses
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,23 +131,34 @@ def parse_month_staged(t: Column, norm: Column, default_year: int = R.DEFAULT_YE
     return F.when(F.coalesce(t, F.lit("")) == "", F.lit(None).cast("string")).otherwise(result)
 
 
+@lru_cache(maxsize=256)
+def _date_stages(name: str):
+    """Expressions of the three DAT-1 stages for a column name. They depend on
+    names only, so they are built once per process and reused (building a
+    Column costs one driver-JVM round trip per function call)."""
+    tmp, sk = f"__{name}_stripped", f"__{name}_skeleton"
+    return ((tmp, strip(F.col(name).cast("string"))), (sk, skeleton(F.col(tmp))),
+            parse_date_stripped(F.col(tmp), F.col(sk)))
+
+
+@lru_cache(maxsize=256)
+def _month_stages(name: str, default_year: int):
+    t, n, sk = f"__{name}_stripped", f"__{name}_nodots", f"__{name}_skeleton"
+    first = {t: strip(F.col(name).cast("string")), n: F.replace(normalize(name), F.lit("."), F.lit(""))}
+    return first, (sk, skeleton(F.col(t))), parse_month_staged(F.col(t), F.col(n), default_year, F.col(sk)), (t, n, sk)
+
+
 def with_date(df, name: str, out: str | None = None):
     """DAT-1 over a table column in short projections (strip once, then parse)."""
-    tmp, sk = f"__{name}_stripped", f"__{name}_skeleton"
-    return (df.withColumn(tmp, strip(F.col(name).cast("string")))
-              .withColumn(sk, skeleton(F.col(tmp)))
-              .withColumn(out or name, parse_date_stripped(F.col(tmp), F.col(sk)))
-              .drop(tmp, sk))
+    (tmp, stripped), (sk, skel), parsed = _date_stages(name)
+    return (df.withColumn(tmp, stripped).withColumn(sk, skel)
+              .withColumn(out or name, parsed).drop(tmp, sk))
 
 
 def with_month(df, name: str, out: str, default_year: int = R.DEFAULT_YEAR):
     """DAT-2 over a table column in two projections (strip and normalize once)."""
-    t, n, sk = f"__{name}_stripped", f"__{name}_nodots", f"__{name}_skeleton"
-    return (df.withColumns({t: strip(F.col(name).cast("string")),
-                            n: F.replace(normalize(name), F.lit("."), F.lit(""))})
-              .withColumn(sk, skeleton(F.col(t)))
-              .withColumn(out, parse_month_staged(F.col(t), F.col(n), default_year, F.col(sk)))
-              .drop(t, n, sk))
+    first, (sk, skel), parsed, temps = _month_stages(name, default_year)
+    return df.withColumns(dict(first)).withColumn(sk, skel).withColumn(out, parsed).drop(*temps)
 
 
 def period_from_parts(year: Column, month: Column) -> Column:
