@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 import uuid
 from collections.abc import Callable
 from functools import lru_cache
@@ -38,6 +39,7 @@ SELECTED_PERIODS = ("2024-03", "2025-12", "2026-08")
 # ------------------------------------------------------------------ inputs
 
 _PLANS: dict = {}
+_LOCK = threading.RLock()
 MATERIALIZE = os.environ.get("RAZAO_MATERIALIZE", "1") != "0"
 
 
@@ -50,13 +52,14 @@ def _plan(spark: SparkSession, sf: str, name: str, build, materialize: bool = Tr
     ``RAZAO_MATERIALIZE=0`` only the lazy plan is kept.
     """
     key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _PLANS:
-        df = build()
-        if materialize and MATERIALIZE:
-            slug = hashlib.sha1(sf.encode()).hexdigest()[:12]
-            df = ingest.materialize(df, f"{slug}/{name}")
-        _PLANS[key] = df
-    return _PLANS[key]
+    with _LOCK:
+        if key not in _PLANS:
+            df = build()
+            if materialize and MATERIALIZE:
+                slug = hashlib.sha1(sf.encode()).hexdigest()[:12]
+                df = ingest.materialize(df, f"{slug}/{name}")
+            _PLANS[key] = df
+        return _PLANS[key]
 
 
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,12 +171,12 @@ def q_csv_round_trip(spark, sf):
 # ------------------------------------------------------------------ scalar functions
 
 def q_text_normalize(spark, sf):
-    d = B.table(spark, sf, "documents").select("doc_id", "text")
+    d = B.spread(B.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return d.select("doc_id", T.normalize("text").alias("text_norm"))
 
 
 def q_text_tools(spark, sf):
-    c = B.table(spark, sf, "conversations")
+    c = B.spread(B.table(spark, sf, "conversations"), "conv_id", "turn")
     staged = c.withColumn("__n", T.normalize("text"))
     return staged.select(
         "conv_id", "turn",
@@ -295,7 +298,7 @@ DOC_TERM = "Été"
 
 
 def q_document_search(spark, sf):
-    d = B.table(spark, sf, "documents").select("doc_id", F.col("text").alias("descricao"))
+    d = B.spread(B.table(spark, sf, "documents").select("doc_id", F.col("text").alias("descricao")), "doc_id")
     return FL.description_search(d, DOC_TERM, "regex", RULES).select("doc_id")
 
 
