@@ -131,6 +131,74 @@ def parse_month_staged(t: Column, norm: Column, default_year: int = R.DEFAULT_YE
     return F.when(F.coalesce(t, F.lit("")) == "", F.lit(None).cast("string")).otherwise(result)
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def date_sql(t: str, skel: str) -> str:
+    """DAT-1 as SQL text over a stripped-text column and its skeleton (same
+    rules as :func:`parse_date_stripped`; one call to build, not hundreds)."""
+    t, k = _q(t), _q(skel)
+    slashed = f"translate({t}, '-.', '//')"
+    parts = f"split({slashed}, '/')"
+    l1 = f"length(element_at({parts}, 1))"
+    l3 = f"length(element_at({parts}, 3))"
+    second = f"try_cast(element_at({parts}, 2) AS INT)"
+    two = f"{k} IN ('--', '//', '..')"
+    return (
+        "CASE "
+        f"WHEN ({k} = '--' OR {k} = '//') AND {l1} = 4 THEN try_to_date({slashed}, 'yyyy/M/d') "
+        f"WHEN {two} AND {l1} <= 2 AND {l3} = 4 THEN CASE WHEN {second} <= 12 "
+        f"THEN try_to_date({slashed}, 'd/M/yyyy') ELSE try_to_date({slashed}, 'M/d/yyyy') END "
+        f"WHEN {two} AND {l1} <= 2 AND {l3} = 2 THEN CASE WHEN {second} <= 12 "
+        f"THEN try_to_date({slashed}, 'd/M/yy') ELSE try_to_date({slashed}, 'M/d/yy') END "
+        f"WHEN {k} = '' AND length({t}) = 8 THEN try_to_date({t}, 'yyyyMMdd') "
+        f"WHEN length({k}) > 2 AND {t} RLIKE '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}[T ]' "
+        f"THEN try_to_date(regexp_extract({t}, '^([0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}})', 1), 'yyyy-M-d') "
+        "END")
+
+
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_map(words) -> str:
+    return "map(" + ", ".join(f"{_sql_str(w)}, {n}" for w, n in words) + ")"
+
+
+def month_sql(t: str, norm: str, skel: str, default_year: int = R.DEFAULT_YEAR) -> str:
+    """DAT-2 as SQL text over the stripped text, its dot-free normalized form
+    and its skeleton (same rules as :func:`parse_month_staged`)."""
+    tq, nq, k = _q(t), _q(norm), _q(skel)
+    period = lambda y, m: f"concat(lpad(CAST({y} AS STRING), 4, '0'), '-', lpad(CAST({m} AS STRING), 2, '0'))"
+    parts = f"split(translate({tq}, '-.', '//'), '/')"
+    p1, p2 = f"element_at({parts}, 1)", f"element_at({parts}, 2)"
+    one = f"{k} IN ('/', '-', '.')"
+    m1, m2 = f"try_cast({p1} AS INT)", f"try_cast({p2} AS INT)"
+    eng_re = rf"^(?:[0-9]{{1,2}}[\\s/.,-]+)?({_word_alternation(R.ENGLISH_MONTHS)})[\\s/.,-]+([0-9]{{4}})$"
+    low = f"lower({tq})"
+    eng = f"element_at({_sql_map(R.ENGLISH_MONTHS)}, regexp_extract({low}, '{eng_re}', 1))"
+    year_text = f"regexp_extract({nq}, '\\\\b(20[0-9]{{2}})\\\\b', 1)"
+    year = f"CASE WHEN {year_text} != '' THEN {year_text} ELSE '{default_year}' END"
+    words = (f"regexp_extract_all({nq}, '\\\\b({_word_alternation(R.MONTH_WORDS)})\\\\b', 1)")
+    word_month = f"array_min(transform({words}, w -> element_at({_sql_map(R.MONTH_WORDS)}, w)))"
+    has_letters = f"lower({k}) != upper({k})"
+    full = f"date_format({date_sql(t, skel)}, 'yyyy-MM')"
+    branches = [
+        full,
+        f"CASE WHEN {one} AND length({p1}) <= 2 AND length({p2}) = 4 AND {m1} BETWEEN 1 AND 12 THEN {period(p2, m1)} END",
+        f"CASE WHEN {one} AND length({p1}) = 4 AND length({p2}) <= 2 AND {m2} BETWEEN 1 AND 12 THEN {period(p1, m2)} END",
+        f"CASE WHEN {k} = '' AND length({tq}) = 4 THEN concat({tq}, '-01') END",
+        f"CASE WHEN {has_letters} AND {eng} IS NOT NULL THEN "
+        f"{period(f'regexp_extract({low}, {chr(39)}{eng_re}{chr(39)}, 2)', eng)} END",
+        f"CASE WHEN {nq} != '' AND translate({nq}, '0123456789', '') = '' "
+        f"AND try_cast({nq} AS INT) BETWEEN 1 AND 12 THEN {period(default_year, f'try_cast({nq} AS INT)')} END",
+        f"CASE WHEN {has_letters} AND {word_month} IS NOT NULL THEN {period(year, word_month)} END",
+    ]
+    return (f"CASE WHEN coalesce({tq}, '') = '' THEN CAST(NULL AS STRING) "
+            f"ELSE coalesce({', '.join(branches)}) END")
+
+
 @lru_cache(maxsize=256)
 def _date_stages(name: str):
     """Expressions of the three DAT-1 stages for a column name. They depend on
@@ -138,14 +206,14 @@ def _date_stages(name: str):
     Column costs one driver-JVM round trip per function call)."""
     tmp, sk = f"__{name}_stripped", f"__{name}_skeleton"
     return ((tmp, strip(F.col(name).cast("string"))), (sk, skeleton(F.col(tmp))),
-            parse_date_stripped(F.col(tmp), F.col(sk)))
+            F.expr(date_sql(tmp, sk)))
 
 
 @lru_cache(maxsize=256)
 def _month_stages(name: str, default_year: int):
     t, n, sk = f"__{name}_stripped", f"__{name}_nodots", f"__{name}_skeleton"
     first = {t: strip(F.col(name).cast("string")), n: F.replace(normalize(name), F.lit("."), F.lit(""))}
-    return first, (sk, skeleton(F.col(t))), parse_month_staged(F.col(t), F.col(n), default_year, F.col(sk)), (t, n, sk)
+    return first, (sk, skeleton(F.col(t))), F.expr(month_sql(t, n, sk, default_year)), (t, n, sk)
 
 
 def with_date(df, name: str, out: str | None = None):

@@ -129,3 +129,11 @@ def test_standard_names():
 def test_list_summary(spark, values, expected):
     df = spark.createDataFrame([(values,)], "v array<string>")
     assert df.select(T.list_summary(F.col("v"), "Todas")).first()[0] == expected
+
+
+def test_with_date_matches_column_form(spark):
+    values = ["2026-01-05", "05/01/2026", "01/13/2026", "5.1.2026", "05-01-2026", "20260105", "05/01/26",
+              "2026/01/05", "2026-01-05 10:00:00", "31/02/2026", "hoje", None, " 07/03/2026 "]
+    df = spark.createDataFrame([(v,) for v in values], "data string")
+    staged = [r[0] for r in P.with_date(df, "data").collect()]
+    assert staged == one_col(spark, values, P.parse_date)
