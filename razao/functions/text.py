@@ -196,9 +196,12 @@ def truncate(c: Column, n: int) -> Column:
 
 
 def list_summary(values: Column, default: str, count_label: str = " selecionados",
-                 range_form: bool = False) -> Column:
-    """STR-5 on an array column: up to three joined with ', ', else a range or a count."""
-    n = F.size(values)
+                 range_form: bool = False, count: Column | None = None) -> Column:
+    """STR-5 on an array column: up to three joined with ', ', else a range or a count.
+
+    ``count`` is the number of values when ``values`` holds only the first few
+    (see ``aggregates.smallest_values``)."""
+    n = F.size(values) if count is None else count
     many = (
         F.concat(F.element_at(values, 1), F.lit(" a "), F.element_at(values, -1))
         if range_form

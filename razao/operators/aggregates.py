@@ -120,6 +120,29 @@ def largest_abs(df: DataFrame, value_col: str, label_col: str | None, order_col:
     return rows.agg(picked.alias("m")).select(F.col("m.v").alias("largest_value"), F.col("m.l").alias("largest_label"))
 
 
+def smallest_values(df: DataFrame, key: str, value_col: str, k: int = 3) -> DataFrame:
+    """Per key: the k smallest distinct non-empty values (sorted) and the number of
+    distinct values, without gathering a group in one place.
+
+    Each step is a partial ``min`` aggregation (map-side combine, so a hot key
+    is pre-reduced per task) joined back on the key to a one-row-per-key frame;
+    the distinct count is Spark's distributed distinct aggregation. At most k
+    values per key ever travel together.
+    """
+    v = F.col(value_col)
+    rows = df.where(F.col(key).isNotNull() & v.isNotNull() & (v.cast("string") != "")).select(key, value_col)
+    out = rows.groupBy(key).agg(F.count_distinct(v).alias("distinct_count"), F.min(v).alias("__v1"))
+    last = "__v1"
+    for i in range(2, k + 1):
+        prev = out.select(key, F.col(last).alias("__prev"))
+        nxt = (rows.join(prev, key).where(v > F.col("__prev"))
+               .groupBy(key).agg(F.min(v).alias(f"__v{i}")))
+        out = out.join(nxt, key, "left")
+        last = f"__v{i}"
+    values = F.filter(F.array(*[F.col(f"__v{i}") for i in range(1, k + 1)]), lambda x: x.isNotNull())
+    return out.select(key, values.alias("values"), "distinct_count")
+
+
 def revenue_for(revenue: DataFrame, periods, value_col: str, out: str = "revenue") -> DataFrame:
     """AGG-13: revenue of one period or a set (0 when absent)."""
     periods = [p for p in (periods or []) if p]

@@ -189,11 +189,19 @@ def q_text_tools(spark, sf):
 
 def q_list_summary(spark, sf):
     df = ledger(spark, sf).where(F.col(S.PERIOD).isNotNull())
-    acc = F.sort_array(F.collect_set(F.nullif(F.col("origem"), F.lit(""))))
-    cat = F.sort_array(F.collect_set(F.nullif(F.col("categoria_dashboard"), F.lit(""))))
-    g = df.groupBy(S.PERIOD).agg(acc.alias("a"), cat.alias("c"))
-    return g.select(S.PERIOD, T.list_summary(F.col("a"), "Todas as origens").alias("accounts_summary"),
-                    T.list_summary(F.col("c"), "Todas as categorias").alias("categories_summary"))
+    periods = df.select(S.PERIOD).distinct()
+    acc = A.smallest_values(df, S.PERIOD, "origem", 3)
+    cat = A.smallest_values(df, S.PERIOD, "categoria_dashboard", 3)
+    g = (periods.join(acc.select(S.PERIOD, F.col("values").alias("a"), F.col("distinct_count").alias("na")),
+                      S.PERIOD, "left")
+         .join(cat.select(S.PERIOD, F.col("values").alias("c"), F.col("distinct_count").alias("nc")),
+               S.PERIOD, "left"))
+    empty = F.array().cast("array<string>")
+    return g.select(S.PERIOD,
+                    T.list_summary(F.coalesce(F.col("a"), empty), "Todas as origens",
+                                   count=F.coalesce(F.col("na"), F.lit(0))).alias("accounts_summary"),
+                    T.list_summary(F.coalesce(F.col("c"), empty), "Todas as categorias",
+                                   count=F.coalesce(F.col("nc"), F.lit(0))).alias("categories_summary"))
 
 
 def q_number_parse(spark, sf):
