@@ -184,3 +184,20 @@ def test_top_k_with_others(demo, k, expected):
     out = marts.cash_by_category(tx, k=k).collect()
     assert len(out) == expected
     assert money(sum(r.value for r in out)) == 3150
+
+
+def test_csv_workbook_round_trip(spark, demo_raw):
+    import tempfile
+
+    from razao.sources import ingest
+    base = tempfile.mkdtemp(prefix="razao-book-", dir="/tmp")
+    for name, df in demo_raw.items():
+        ingest.write_csv(df.coalesce(1), f"{base}/{name}")
+    book = ingest.read_workbook(spark, base, fmt="csv")
+    assert set(book) == set(demo_raw)
+    p = C.personal_costs(book["fact_transacoes"])
+    assert money(p.agg(F.sum(AMT)).first()[0]) == 3910
+    import pytest as _pytest
+    with _pytest.raises(ingest.MissingTableError):
+        ingest.read_workbook(spark, base, names=["missing_table"], fmt="csv")
+    assert ingest.read_workbook(spark, base, names=["missing_table"], fmt="csv", missing="skip") == {}
