@@ -130,7 +130,8 @@ def smallest_values(df: DataFrame, key: str, value_col: str, k: int = 3) -> Data
     values per key ever travel together.
     """
     v = F.col(value_col)
-    rows = df.where(F.col(key).isNotNull() & v.isNotNull() & (v.cast("string") != "")).select(key, value_col)
+    rows = (df.where(F.col(key).isNotNull() & v.isNotNull() & (v.cast("string") != ""))
+            .select(key, value_col).distinct())
     out = rows.groupBy(key).agg(F.count_distinct(v).alias("distinct_count"), F.min(v).alias("__v1"))
     last = "__v1"
     for i in range(2, k + 1):

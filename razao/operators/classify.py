@@ -208,9 +208,10 @@ def split_bet_measures(df: DataFrame, rules: LedgerRules = DEFAULT_RULES) -> Dat
 
 
 def receivable_group(item: Column, kind: Column, value: Column,
-                     rules: LedgerRules = DEFAULT_RULES) -> Column:
+                     rules: LedgerRules = DEFAULT_RULES, item_normalized: bool = False) -> Column:
     """FLT-18: total -> rebate -> exclusive -> shared -> other."""
-    item_n, kind_n = normalize(item), normalize(kind)
+    item_n = item if item_normalized else normalize(item)
+    kind_n = normalize(kind)
     exclusive = contains_any(item_n, normalize_terms(rules.exclusive_terms))
     return (
         F.when(kind_n == "total", F.lit(R.GROUP_TOTAL))

@@ -102,14 +102,16 @@ def exclude_technical(df: DataFrame, rules: LedgerRules = DEFAULT_RULES, show_te
 
 
 def receivable_items(df: DataFrame, item_col: str, rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
-    """FLT-14: items holding any receivable term, or a rebate; adds ``is_rebate``."""
-    text = normalize(item_col)
+    """FLT-14: items holding any receivable term, or a rebate; adds ``is_rebate`` and
+    ``item_text_norm`` (the standardized ``<item>_norm`` twin is reused when present)."""
+    twin = S.norm(item_col)
+    text = F.coalesce(F.col(twin), F.lit("")) if twin in df.columns else normalize(item_col)
     df = df.withColumn("__item_n", text)
     terms = normalize_terms(rules.receivable_terms)
     house = contains_any(F.col("__item_n"), terms, whole_word=rules.whole_word)
     rebate = F.col("__item_n").rlike(rules.rebate_pattern)
     return (df.withColumn("is_rebate", flag(rebate))
-              .where(flag(house) | F.col("is_rebate")).drop("__item_n"))
+              .where(flag(house) | F.col("is_rebate")).withColumnRenamed("__item_n", "item_text_norm"))
 
 
 def utility_class(item: Column, rules: LedgerRules = DEFAULT_RULES, normalized: bool = False) -> Column:

@@ -296,7 +296,8 @@ def receivable_rows(items: DataFrame, rules: LedgerRules = DEFAULT_RULES) -> Dat
     """MRT-7 detail rows: non-total items with a receivable term; rebates are
     negative, house items positive; the period travels with the label (D15)."""
     value_col = S.value_column(items, rules.roles.amount, rules.roles.value_terms)
-    schema = f"{S.PERIOD} string, {S.PERIOD_LABEL} string, item string, kind string, value decimal(38,4), row_order int"
+    schema = (f"{S.PERIOD} string, {S.PERIOD_LABEL} string, item string, kind string, value decimal(38,4), "
+              "row_order int, item_text_norm string")
     if value_col is None:
         return items.sparkSession.createDataFrame([], schema)
     clean = items.where(~flag_or(items, S.IS_TOTAL))
@@ -313,7 +314,8 @@ def receivable_rows(items: DataFrame, rules: LedgerRules = DEFAULT_RULES) -> Dat
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"),
         F.when(rebate, F.lit(R.RECEIVABLE_REBATE_TYPE)).otherwise(F.lit(R.RECEIVABLE_HOUSE_TYPE)).alias("kind"),
         F.when(rebate, -magnitude).otherwise(magnitude).alias("value"),
-        F.when(rebate, F.lit(1)).otherwise(F.lit(0)).alias("row_order"))
+        F.when(rebate, F.lit(1)).otherwise(F.lit(0)).alias("row_order"),
+        F.col("item_text_norm"))
 
 
 def receivable_statement(items: DataFrame, rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
@@ -358,7 +360,8 @@ def receivable_detail(items: DataFrame, rules: LedgerRules = DEFAULT_RULES) -> D
     """MRT-8: sum per (group, item, kind) with a subtotal per group and a grand
     total in one GROUPING SETS aggregation, in the fixed group order."""
     rows = receivable_rows(items, rules)
-    grouped = rows.withColumn("group", C.receivable_group(F.col("item"), F.col("kind"), F.col("value"), rules))
+    grouped = rows.withColumn("group", C.receivable_group(F.col("item_text_norm"), F.col("kind"), F.col("value"), rules,
+                                                          item_normalized=True))
     sums = A.subtotals(grouped, ["group", "item", "kind"], "value", "value")
     return (sums.select("group", "item", "kind", "level", _dbl(F.col("value")).alias("value"),
                         A.rank_of(F.col("group"), R.GROUP_ORDER).alias("group_order"))
@@ -412,7 +415,9 @@ def _utility_sums(items: DataFrame, rules: LedgerRules) -> DataFrame:
     r = rules.roles
     value_col = S.value_column(items, r.amount, r.value_terms)
     item_col = S.item_column(items, r.item, r.item_candidates)
-    staged = items.withColumn("__item_n", normalize(item_col))
+    twin = S.norm(item_col)
+    staged = items.withColumn("__item_n", F.coalesce(F.col(twin), F.lit("")) if twin in items.columns
+                              else normalize(item_col))
     classed = staged.withColumn("bill", FL.utility_class(F.col("__item_n"), rules, normalized=True))
     return (classed.where(F.col("bill").isNotNull() & F.col(S.PERIOD).isNotNull())
             .groupBy(S.PERIOD, S.PERIOD_LABEL, "bill")
