@@ -26,7 +26,7 @@ from ..functions.nulls import col_or
 from ..operators import aggregates as A
 from ..operators import classify as C
 from ..operators import filters as FL
-from ..session import ensure_checkpoint_dir
+from ..session import app_id, ensure_checkpoint_dir
 from ..sources import bindings as B
 from ..sources import ingest
 from . import audit, marts, quality
@@ -51,7 +51,7 @@ def _plan(spark: SparkSession, sf: str, name: str, build, materialize: bool = Tr
     times scan clean Parquet instead of re-parsing text in every branch. With
     ``RAZAO_MATERIALIZE=0`` only the lazy plan is kept.
     """
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (app_id(spark), sf, name)
     with _LOCK:
         if key not in _PLANS:
             df = build()

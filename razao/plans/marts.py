@@ -222,6 +222,7 @@ def category_headline(ledger: DataFrame, dim_months: DataFrame, periods=None, k:
     rev = monthly_revenue(dim_months).join(_periods_present(accrual_with_card(scoped, rules)), S.PERIOD, "left_semi")
     spent = base.select(_dbl(sum0(F.col(amount)))).scalar()
     revenue = rev.select(_dbl(sum0(F.col("revenue")))).scalar()
+    # ``top`` holds at most k rows, so this list is bounded by k.
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("value")).alias("v"), F.col("category").alias("c"))))
     heads = top.agg(
         F.element_at(ordered, 1).getField("c").alias("leader"),

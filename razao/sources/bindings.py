@@ -47,7 +47,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-spread a stand-in sheet over the session's parallelism, as an export
     split into many files would be (the small test files are one split each)."""
-    n = df.sparkSession.sparkContext.defaultParallelism
+    from ..session import parallelism
+    n = parallelism(df.sparkSession)
     return df.repartition(n, *keys) if keys else df.repartition(n)
 
 
