@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from .. import schema as S
-from ..functions.nulls import asc_last, desc_last, flag, flag_or, sum0
+from ..functions.nulls import asc_last, desc_last, flag, sum0
 from ..functions.periods import month_label
 from ..rules import DEFAULT_RULES, LedgerRules
 

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from .. import schema as S
-from ..functions.nulls import flag, flag_or, sum0
-from ..functions.periods import month_label
+from ..functions.nulls import flag_or, sum0
 from ..functions.text import normalize_terms
 from ..operators import aggregates as A
 from ..operators import classify as C
@@ -115,7 +114,7 @@ def audit_samples(ledger: DataFrame, order_cols=(S.PERIOD,), n: int = 100) -> di
 
 
 def audit_pack(ledger: DataFrame, rules: LedgerRules = DEFAULT_RULES, order_cols=(S.PERIOD,)) -> dict[str, DataFrame]:
-    """All audit tables; persist the ledger first when several are materialized."""
+    """All audit tables; pass a materialized ledger (ingest.materialize) so each table scans Parquet."""
     out = {
         "summary": audit_summary(ledger, rules),
         "exclusions": audit_exclusions(ledger, rules),

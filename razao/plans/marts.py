@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from .. import schema as S
-from ..functions.nulls import asc_last, desc_last, flag, flag_or, sum0
+from ..functions.nulls import asc_last, desc_last, flag_or, sum0
 from ..functions.numbers import format_money, format_pct, guarded_pct, money_or_dash
 from ..functions.periods import format_date, month_label
 from ..functions.text import normalize, truncate

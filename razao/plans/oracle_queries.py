@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from .. import rules as R
 from . import catalogue as K
-from .oracle import BETS, ITEMS, LEDGER, REVENUE, in_list, label, label_or_empty, money, norm, q, with_ctes
+from .oracle import BETS, ITEMS, LEDGER, REVENUE, in_list, label, label_or_empty, norm, q, with_ctes
 
 RECEIVABLE_RE = "aluguel|aluguer|alugue|condominio|iptu|internet|tv|seguro telemovel|celular|telefone|telemovel|movel|wellhub|gympass|gym pass|luz|gas"
 REBATE_RE = "\\b(wellhub|gym\\s*pass|gympass|gypass)\\b"
