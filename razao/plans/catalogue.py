@@ -56,7 +56,7 @@ def _plan(spark: SparkSession, sf: str, name: str, build, materialize: bool = Tr
             df = build()
             if materialize and MATERIALIZE:
                 slug = hashlib.sha1(sf.encode()).hexdigest()[:12]
-                df = ingest.materialize(df, f"{slug}/{name}")
+                df = ingest.materialize(df, f"{slug}/{name}", cluster_by=S.PERIOD)
             _PLANS[key] = df
         return _PLANS[key]
 
