@@ -391,8 +391,7 @@ def q_source_spend(spark, sf):
 
 
 def q_category_revenue(spark, sf):
-    base = FL.exclude_technical(marts.accrual_with_card(ledger(spark, sf), RULES), RULES)
-    return marts.category_revenue(base, revenue(spark, sf), RULES)
+    return marts.category_revenue_table(ledger(spark, sf), revenue(spark, sf), None, False, RULES)
 
 
 def q_receivable_statement(spark, sf):

@@ -189,20 +189,36 @@ def accrual_with_card(ledger: DataFrame, rules: LedgerRules = DEFAULT_RULES) ->
     return A.union_all(C.accrual_costs(ledger, rules), A.card_statement(ledger, rules))
 
 
+def category_period_sums(ledger: DataFrame, periods=None, rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
+    """MRT-4 base, aggregated first: accrual costs (after the shared-home share)
+    per (period, category) plus the card statement per period as one more
+    category (SET-1). Two column-pruned scans and two partial aggregations;
+    every category table below reads this small frame, not the ledger."""
+    cat, amount = rules.roles.category, rules.roles.amount
+    scoped = FL.period_filter(ledger, periods)
+    acc = C.accrual_costs(scoped, rules).groupBy(S.PERIOD, cat).agg(sum0(F.col(amount)).alias("value"))
+    card = A.card_statement(scoped, rules).select(S.PERIOD, cat, F.col(amount).alias("value"))
+    return A.union_all(acc, card)
+
+
+def _visible(sums: DataFrame, rules: LedgerRules, show_technical: bool = False) -> DataFrame:
+    """FLT-13 on the aggregated frame (technical is a property of the category)."""
+    return FL.exclude_technical(sums, rules, show_technical)
+
+
 def category_ranking(ledger: DataFrame, periods=None, show_technical: bool = False,
                      rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
     """MRT-4: accrual + card spend by category, technical categories hidden
-    unless nothing else is left, largest first, with rank and accrual note."""
+    unless nothing else is left, largest first, with the accrual note."""
     cat = rules.roles.category
-    by_cat = _category_sums(ledger, periods, show_technical, rules)
+    by_cat = _category_sums(_visible(category_period_sums(ledger, periods, rules), rules, show_technical), rules)
     return (by_cat.select(F.col(cat).alias("category"), _dbl(F.col("value")).alias("value"),
                           C.category_note(F.col(cat), "accrual").alias("note"))
             .orderBy(desc_last("value"), asc_last("category")))
 
 
-def _category_sums(ledger: DataFrame, periods, show_technical: bool, rules: LedgerRules) -> DataFrame:
-    base = FL.exclude_technical(accrual_with_card(FL.period_filter(ledger, periods), rules), rules, show_technical)
-    return A.sum_by(base, rules.roles.category, rules.roles.amount, "value")
+def _category_sums(visible: DataFrame, rules: LedgerRules) -> DataFrame:
+    return A.sum_by(visible, rules.roles.category, "value", "value")
 
 
 def _periods_present(df: DataFrame) -> DataFrame:
@@ -214,13 +230,12 @@ def category_headline(ledger: DataFrame, dim_months: DataFrame, periods=None, k:
                       rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
     """MRT-4 metrics: leader, top-k total and names, spend, revenue of the periods
     present and the % of revenue committed."""
-    cat, amount = rules.roles.category, rules.roles.amount
-    scoped = FL.period_filter(ledger, periods)
-    base = FL.exclude_technical(accrual_with_card(scoped, rules), rules)
-    sums = _category_sums(ledger, periods, False, rules).withColumnRenamed(cat, "category")
-    top = A.top_k(sums, k, "value", "category")
-    rev = monthly_revenue(dim_months).join(_periods_present(accrual_with_card(scoped, rules)), S.PERIOD, "left_semi")
-    spent = base.select(_dbl(sum0(F.col(amount)))).scalar()
+    cat = rules.roles.category
+    sums_all = category_period_sums(ledger, periods, rules)
+    visible = _visible(sums_all, rules)
+    top = A.top_k(_category_sums(visible, rules).withColumnRenamed(cat, "category"), k, "value", "category")
+    rev = monthly_revenue(dim_months).join(_periods_present(sums_all), S.PERIOD, "left_semi")
+    spent = visible.select(_dbl(sum0(F.col("value")))).scalar()
     revenue = rev.select(_dbl(sum0(F.col("revenue")))).scalar()
     # ``top`` holds at most k rows, so this list is bounded by k.
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("value")).alias("v"), F.col("category").alias("c"))))
@@ -237,15 +252,15 @@ def category_evolution(ledger: DataFrame, dim_months: DataFrame, categories=None
                        with_revenue: bool = True, rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
     """MRT-4: spend per (period, category) for the chosen categories, plus the
     monthly revenue as its own series (SET-2)."""
-    cat, amount = rules.roles.category, rules.roles.amount
-    scoped = accrual_with_card(FL.period_filter(ledger, periods), rules)
-    base = FL.exclude_technical(scoped, rules)
+    cat = rules.roles.category
+    sums_all = category_period_sums(ledger, periods, rules)
+    visible = _visible(sums_all, rules)
     if categories:
-        base = base.where(F.col(cat).isin(list(categories)))
-    evo = A.sum_by(base, [S.PERIOD, cat], amount, "value").select(
+        visible = visible.where(F.col(cat).isin(list(categories)))
+    evo = A.sum_by(visible, [S.PERIOD, cat], "value", "value").select(
         S.PERIOD, F.col(cat).alias("category"), _dbl(F.col("value")).alias("value"))
     if with_revenue:
-        rev = monthly_revenue(dim_months).join(_periods_present(scoped), S.PERIOD, "left_semi").select(
+        rev = monthly_revenue(dim_months).join(_periods_present(sums_all), S.PERIOD, "left_semi").select(
             S.PERIOD, F.lit(R.REVENUE_LABEL).alias("category"), _dbl(F.col("revenue")).alias("value"))
         evo = A.union_all(evo, rev)
     return (evo.withColumn(S.PERIOD_LABEL, month_label(F.col(S.PERIOD)))
@@ -253,6 +268,13 @@ def category_evolution(ledger: DataFrame, dim_months: DataFrame, categories=None
             .orderBy(S.PERIOD, "category"))
 
 
+def category_revenue_table(ledger: DataFrame, dim_months: DataFrame, periods=None, show_technical: bool = False,
+                           rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
+    """MRT-6 over the aggregated category frame (see :func:`category_revenue`)."""
+    visible = _visible(category_period_sums(ledger, periods, rules), rules, show_technical)
+    return category_revenue(visible, dim_months, rules, value_col="value")
+
+
 # ------------------------------------------------------------------ MRT-5
 
 def source_spend(ledger: DataFrame, periods=None, rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
@@ -270,10 +292,12 @@ def source_spend(ledger: DataFrame, periods=None, rules: LedgerRules = DEFAULT_R
 
 # ------------------------------------------------------------------ MRT-6
 
-def category_revenue(personal: DataFrame, dim_months: DataFrame, rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
+def category_revenue(personal: DataFrame, dim_months: DataFrame, rules: LedgerRules = DEFAULT_RULES,
+                     value_col: str | None = None) -> DataFrame:
     """MRT-6: per month, the revenue row first (100 %) and each category's spend
-    with its share of that month's revenue (0 when there is none)."""
-    cat, amount = rules.roles.category, rules.roles.amount
+    with its share of that month's revenue (0 when there is none). ``personal``
+    holds cost rows (or already aggregated rows, naming their ``value_col``)."""
+    cat, amount = rules.roles.category, value_col or rules.roles.amount
     rev = monthly_revenue(dim_months).join(_periods_present(personal), S.PERIOD, "left_semi")
     costs = (A.sum_by(personal, [S.PERIOD, cat], amount, "value")
              .join(rev, S.PERIOD, "left")
