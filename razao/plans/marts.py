@@ -189,16 +189,28 @@ def accrual_with_card(ledger: DataFrame, rules: LedgerRules = DEFAULT_RULES) ->
     return A.union_all(C.accrual_costs(ledger, rules), A.card_statement(ledger, rules))
 
 
-def category_period_sums(ledger: DataFrame, periods=None, rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
+def category_period_sums(ledger: DataFrame, periods=None, rules: LedgerRules = DEFAULT_RULES,
+                         compute_once: bool = True) -> DataFrame:
     """MRT-4 base, aggregated first: accrual costs (after the shared-home share)
     per (period, category) plus the card statement per period as one more
-    category (SET-1). Two column-pruned scans and two partial aggregations;
-    every category table below reads this small frame, not the ledger."""
+    category (SET-1). Two column-pruned scans and two partial aggregations.
+
+    The result has one row per (period, category), bounded by the calendar
+    times the category list, not by the ledger. With ``compute_once`` it is
+    checkpointed (eagerly, into the shared ``spark.checkpoint.dir``), so the
+    ranking, totals, subqueries and fallbacks built on it read these few rows
+    instead of scanning the ledger again each.
+    """
     cat, amount = rules.roles.category, rules.roles.amount
     scoped = FL.period_filter(ledger, periods)
     acc = C.accrual_costs(scoped, rules).groupBy(S.PERIOD, cat).agg(sum0(F.col(amount)).alias("value"))
     card = A.card_statement(scoped, rules).select(S.PERIOD, cat, F.col(amount).alias("value"))
-    return A.union_all(acc, card)
+    out = A.union_all(acc, card)
+    if compute_once:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(out.sparkSession)
+        out = out.checkpoint(eager=True)
+    return out
 
 
 def _visible(sums: DataFrame, rules: LedgerRules, show_technical: bool = False) -> DataFrame:
