@@ -120,7 +120,7 @@ def largest_abs(df: DataFrame, value_col: str, label_col: str | None, order_col:
     return rows.agg(picked.alias("m")).select(F.col("m.v").alias("largest_value"), F.col("m.l").alias("largest_label"))
 
 
-def smallest_values(df: DataFrame, key: str, value_col: str, k: int = 3) -> DataFrame:
+def smallest_values(df: DataFrame, key: str, value_col: str, k: int = 3, compute_once: bool = True) -> DataFrame:
     """Per key: the k smallest distinct non-empty values (sorted) and the number of
     distinct values, without gathering a group in one place.
 
@@ -132,6 +132,12 @@ def smallest_values(df: DataFrame, key: str, value_col: str, k: int = 3) -> Data
     v = F.col(value_col)
     rows = (df.where(F.col(key).isNotNull() & v.isNotNull() & (v.cast("string") != ""))
             .select(key, value_col).distinct())
+    if compute_once:
+        # The distinct pairs are read k + 1 times below; write them once to the
+        # shared checkpoint folder instead of re-scanning the input each time.
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(rows.sparkSession)
+        rows = rows.checkpoint(eager=True)
     out = rows.groupBy(key).agg(F.count_distinct(v).alias("distinct_count"), F.min(v).alias("__v1"))
     last = "__v1"
     for i in range(2, k + 1):

@@ -469,12 +469,19 @@ def item_summary(items: DataFrame, utilities_from: DataFrame | None = None, item
     value_col = S.value_column(items, r.amount, r.value_terms)
     clean = items.where(~flag_or(items, S.IS_TOTAL))
     item_col = S.item_column(clean, item_fallback, r.item_candidates)
-    monthly = A.monthly_sum(clean, value_col, "value")
+    # One aggregation per period (the NULL period kept for the total), computed
+    # once: a few rows per month that the total, last month and mean all read.
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(items.sparkSession)
+    per_period = clean.groupBy(S.PERIOD).agg(sum0(F.col(value_col)).alias("value")).checkpoint(eager=True)
+    monthly = per_period.where(F.col(S.PERIOD).isNotNull())
     count = F.count_distinct(F.col(item_col)) if item_col else F.count(F.lit(1))
-    totals = clean.agg(_dbl(sum0(F.col(value_col))).alias("total"), count.alias("distinct_items"))
+    totals = clean.agg(count.alias("distinct_items"))
+    total = per_period.select(_dbl(sum0(F.col("value")))).scalar()
     last_month = monthly.select(F.max_by("value", S.PERIOD)).scalar()
     mean = monthly.select(A.mean(F.col("value"))).scalar()
-    out = (totals.withColumn("last_month", _dbl(F.coalesce(last_month, F.lit(0))))
+    out = (totals.select(total.alias("total"), "distinct_items")
+           .withColumn("last_month", _dbl(F.coalesce(last_month, F.lit(0))))
            .withColumn("monthly_mean", F.coalesce(mean, F.lit(0.0))))
     if utilities_from is not None:
         util = _utility_sums(utilities_from, rules).select(_dbl(sum0(F.col("value")))).scalar()
