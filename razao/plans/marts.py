@@ -58,12 +58,21 @@ def cash_flow_monthly(ledger: DataFrame, dim_months: DataFrame, periods=None,
     ).orderBy(S.PERIOD)
 
 
-def _cash_flow_series(ledger: DataFrame, dim_months: DataFrame, periods, rules: LedgerRules) -> DataFrame:
-    """Exact (decimal) per-period revenue, cash out and balance, change in double."""
-    amount = rules.roles.amount
+def _cash_per_period(ledger: DataFrame, rules: LedgerRules) -> DataFrame:
+    """Cash out per period (the NULL period kept, for the year total), computed
+    once into the shared checkpoint folder: a row per month, which the series,
+    the change window and the year total all read."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(ledger.sparkSession)
     cash = C.cash_costs(ledger, rules)
-    monthly = (cash.where(F.col(S.PERIOD).isNotNull()).groupBy(S.PERIOD)
-               .agg(sum0(F.col(amount)).alias("cash_out")))
+    return cash.groupBy(S.PERIOD).agg(sum0(F.col(rules.roles.amount)).alias("cash_out")).checkpoint(eager=True)
+
+
+def _cash_flow_series(ledger: DataFrame, dim_months: DataFrame, periods, rules: LedgerRules,
+                      per_period: DataFrame | None = None) -> DataFrame:
+    """Exact (decimal) per-period revenue, cash out and balance, change in double."""
+    per_period = per_period if per_period is not None else _cash_per_period(ledger, rules)
+    monthly = per_period.where(F.col(S.PERIOD).isNotNull())
     rev = monthly_revenue(dim_months)
     out = (monthly.join(rev, S.PERIOD, "left")
            .withColumn("revenue", F.coalesce(F.col("revenue"), F.lit(0)))
@@ -76,9 +85,9 @@ def cash_flow_summary(ledger: DataFrame, dim_months: DataFrame, periods=None,
                       rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
     """MRT-1 metrics for a selection: revenue, cash out, balance, % consumed,
     monthly mean (AGG-10), latest month (WIN-7) and the year total."""
-    amount = rules.roles.amount
-    series = _cash_flow_series(ledger, dim_months, periods, rules)
-    year_total = C.cash_costs(ledger, rules).select(_dbl(sum0(F.col(amount)))).scalar()
+    per_period = _cash_per_period(ledger, rules)
+    series = _cash_flow_series(ledger, dim_months, periods, rules, per_period)
+    year_total = per_period.select(_dbl(sum0(F.col("cash_out")))).scalar()
     agg = series.agg(
         sum0(F.col("revenue")).alias("rev"), sum0(F.col("cash_out")).alias("cash"),
         A.mean(F.col("cash_out")).alias("mean_monthly_cash_out"),
