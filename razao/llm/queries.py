@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import piece_rounds, sharding, simhash, topk
+from . import html_trees, language_id, piece_rounds, quality_neighbours, secret_scan, sharding, simhash, topk
 from .common import table
 
 
@@ -25,6 +25,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: counts of the base kinds, their digest, and all spans."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_html_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return html_trees.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 24 by virtual slots; sizes are near equal."""
     rows, _ = sharding.assign(table(spark, sf_dir, "documents"), shards=24)
@@ -32,12 +42,32 @@ def op6_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def remainder(parts: int):
+    """crc32(doc_id as text) mod ``parts``; null where doc_id is null."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def op7_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality; learned from labelled documents whose crc32 remainder of 3 isn't 1."""
+    docs = table(spark, sf_dir, "documents")
+    space = quality_neighbours.learn(docs, table(spark, sf_dir, "labels"), remainder(3) != 1)
+    found = quality_neighbours.classify(docs, space)
+    return found.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op8_piece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's piece ids and decoded text, as digests."""
     return piece_rounds.digest_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_segments, op2_simhash, op6_slots, op8_piece_rounds)}
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; learned from the documents whose crc32 remainder of 4 isn't 2."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.learn(docs, remainder(4) != 2))
+    return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_segments, op2_simhash, op3_secrets, op4_html_trees, op6_slots, op7_quality_neighbours, op8_piece_rounds, op10_kneser_ney)}
 
 SQL = {
     "op1_topk_segments": """
