@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_trees, language_id, piece_rounds, quality_neighbours, secret_scan, sharding, simhash, topk
+from . import html_trees, language_id, packing, paragraph_sketch, piece_rounds, quality_neighbours, secret_scan, sharding, simhash, topk
 from .common import table
 
 
@@ -35,6 +35,11 @@ def op4_html_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_trees.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op6_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 24 by virtual slots; sizes are near equal."""
     rows, _ = sharding.assign(table(spark, sf_dir, "documents"), shards=24)
@@ -60,6 +65,11 @@ def op8_piece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_rounds.digest_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op9_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, its edited text's, and the likeness to that and to the next document's."""
+    return paragraph_sketch.edited_and_next(table(spark, sf_dir, "documents"))
+
+
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language; learned from the documents whose crc32 remainder of 4 isn't 2."""
     docs = table(spark, sf_dir, "documents")
@@ -67,7 +77,9 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_segments, op2_simhash, op3_secrets, op4_html_trees, op6_slots, op7_quality_neighbours, op8_piece_rounds, op10_kneser_ney)}
+QUERIES = {f.__name__: f for f in (
+    op1_topk_segments, op2_simhash, op3_secrets, op4_html_trees, op5_best_fit, op6_slots, op7_quality_neighbours, op8_piece_rounds, op9_paragraph_sketch,
+    op10_kneser_ney)}
 
 SQL = {
     "op1_topk_segments": """
