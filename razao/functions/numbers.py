@@ -24,7 +24,7 @@ def _remove_currency(t: Column) -> Column:
     return F.replace(F.translate(t, _DROP_CHARS, ""), F.lit("R$"), F.lit(""))
 
 
-def parse_number(c: Column, money_type: str = "decimal(18,4)", paren_after_currency: bool = False,
+def parse_number(c: Column, money_type: str = "decimal(28,8)", paren_after_currency: bool = False,
                  source_type=None) -> Column:
     """NUM-1 on one column (small inputs); whole tables use :func:`with_numbers`.
 
@@ -76,7 +76,7 @@ def _finish(digits: Column, negative: Column, money_type: str) -> Column:
     return F.when(negative, -value).otherwise(value).cast(money_type)
 
 
-def with_numbers(df, names, money_type: str = "decimal(18,4)", paren_after_currency: bool = False):
+def with_numbers(df, names, money_type: str = "decimal(28,8)", paren_after_currency: bool = False):
     """NUM-1 over table columns in short projections, so each intermediate text
     is computed once per row (and the generated code stays small)."""
     types = {f.name: f.dataType for f in df.schema.fields}

@@ -16,21 +16,28 @@ from .. import rules as R
 from .text import normalize, strip
 
 
+_DIGITS = "0123456789"
+
+# A time of day after a date, with an optional zone.
+TIME = r"(?i)[T ,]+\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?: ?[ap]m)?(?: ?(?:z|utc|gmt|[+-]\d{2}:?\d{2}))?$"
+WEEKDAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*[., ]+)?"
+
+
 def _to_date(t: Column, pattern: str) -> Column:
     return F.try_to_date(t, pattern)
 
 
-def parse_date(c: Column) -> Column:
-    """DAT-1: ``Y-m-d``, then ``d/m/Y``, then ``m/d/Y``, then other day-first shapes.
+def _word_map(words) -> Column:
+    return F.create_map(*[x for w, n in words for x in (F.lit(w), F.lit(n))])
 
-    Extra day-first shapes: ``d-m-Y``, ``d.m.Y``, ``d/m/yy``, ``YYYYMMDD``,
-    ``Y/m/d`` and ISO text with a time part. Failure -> NULL.
-    For whole tables use :func:`with_date`, which strips the text once.
-    """
-    return parse_date_stripped(strip(c.cast("string")))
 
+def _word_alternation(words) -> str:
+    return "|".join(w for w, _ in sorted(words, key=lambda x: -len(x[0])))
 
-_DIGITS = "0123456789"
+
+def without_time(t: Column) -> Column:
+    """The text without a time of day at its end; the regex runs only where there is a colon."""
+    return F.when(F.instr(t, ":") > 0, F.regexp_replace(t, TIME, "")).otherwise(t)
 
 
 def skeleton(t: Column) -> Column:
@@ -39,85 +46,67 @@ def skeleton(t: Column) -> Column:
     return F.translate(t, _DIGITS, "")
 
 
-def _parts(t: Column) -> Column:
-    return F.split(F.translate(t, "-.", "//"), "/")
+def _has_letters(skel: Column) -> Column:
+    return F.lower(skel) != F.upper(skel)
 
 
-def parse_date_stripped(t: Column, skel: Column | None = None) -> Column:
-    """DAT-1 on text that is already stripped of surrounding whitespace."""
-    skel = skeleton(t) if skel is None else skel
+def _date_of(t: Column, skel: Column) -> Column:
+    """DAT-1 on text stripped of surrounding whitespace and of a time, with its skeleton."""
     slashed = F.translate(t, "-.", "//")
     parts = F.split(slashed, "/")
     l1 = F.length(F.element_at(parts, 1))
     l3 = F.length(F.element_at(parts, 3))
     second = F.element_at(parts, 2).try_cast("int")
     two_seps = skel.isin("--", "//", "..")
-    year_first = (skel == "--") | (skel == "//")
-    day_first4 = two_seps & (l1 <= 2) & (l3 == 4)
-    day_first2 = two_seps & (l1 <= 2) & (l3 == 2)
-    compact = (skel == "") & (F.length(t) == 8)
-    iso_time = (F.length(skel) > 2) & t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[T ]")
     return (
-        F.when(year_first & (l1 == 4), _to_date(slashed, "yyyy/M/d"))
-        .when(day_first4, F.when(second <= 12, _to_date(slashed, "d/M/yyyy"))
+        F.when(skel.isin("--", "//") & (l1 == 4), _to_date(slashed, "yyyy/M/d"))
+        .when(two_seps & (l1 <= 2) & (l3 == 4), F.when(second <= 12, _to_date(slashed, "d/M/yyyy"))
               .otherwise(_to_date(slashed, "M/d/yyyy")))
-        .when(day_first2, F.when(second <= 12, _to_date(slashed, "d/M/yy"))
+        .when(two_seps & (l1 <= 2) & (l3 == 2), F.when(second <= 12, _to_date(slashed, "d/M/yy"))
               .otherwise(_to_date(slashed, "M/d/yy")))
-        .when(compact, _to_date(t, "yyyyMMdd"))
-        .when(iso_time, _to_date(F.regexp_extract(t, r"^(\d{4}-\d{1,2}-\d{1,2})", 1), "yyyy-M-d"))
+        .when((skel == "") & (F.length(t) == 8), _to_date(t, "yyyyMMdd"))
+        .when(_has_letters(skel), _date_in_words(F.lower(t)))
     )
 
 
-def _period(year: Column, month: Column) -> Column:
-    return F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"))
-
+def _date_in_words(low: Column) -> Column:
+    """``5 mar 2026``, ``05-mar-26``, ``march 5, 2026``, each after an optional weekday."""
+    month = _word_alternation(R.ENGLISH_MONTHS)
+    day, sep = r"(\d{1,2})(?:st|nd|rd|th)?", r"[ ./,-]+"
+    number = _word_map(R.ENGLISH_MONTHS)
 
-def _checked(year: Column, month: Column) -> Column:
-    return F.when(month.between(1, 12), _period(year, month))
+    def built(pattern: str, d: int, m: int) -> Column:
+        at = lambda i: F.regexp_extract(low, pattern, i)
+        year = F.when(F.length(at(3)) == 2, F.concat(F.lit("20"), at(3))).otherwise(at(3))
+        return _to_date(F.concat_ws("-", year, F.element_at(number, at(m)).cast("string"), at(d)), "yyyy-M-d")
 
-
-def _word_map(words) -> Column:
-    return F.create_map(*[x for w, n in words for x in (F.lit(w), F.lit(n))])
+    return F.coalesce(built(rf"^{WEEKDAY}{day}{sep}({month}){sep}(\d{{4}}|\d{{2}})$", 1, 2),
+                      built(rf"^{WEEKDAY}({month}){sep}{day}{sep}(\d{{4}})$", 2, 1))
 
 
-def _word_alternation(words) -> str:
-    return "|".join(w for w, _ in sorted(words, key=lambda x: -len(x[0])))
-
-
-def parse_month(c: Column, default_year: int = R.DEFAULT_YEAR) -> Column:
-    """DAT-2 on one column (small inputs); whole tables use :func:`with_month`."""
-    t = strip(c.cast("string"))
-    return parse_month_staged(t, F.replace(normalize(c), F.lit("."), F.lit("")), default_year)
+def _period(year: Column, month: Column) -> Column:
+    return F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"))
 
 
-def parse_month_staged(t: Column, norm: Column, default_year: int = R.DEFAULT_YEAR,
-                       skel: Column | None = None) -> Column:
-    """DAT-2: month text -> ``YYYY-MM``; NULL when nothing is recognized.
+def _checked(year: Column, month: Column) -> Column:
+    return F.when(month.between(1, 12), _period(year, month))
 
-    ``t`` is the stripped text, ``norm`` its normalized form without dots.
-    Order: full date; ``m/Y``; ``Y-m``; ``Y`` (January); English month word
-    with a 4-digit year; bare 1-12 (default year); Portuguese month word as a
-    whole word, year ``20dd`` when present else the default year. When several
-    Portuguese words occur, the earliest in the word list wins, i.e. the
-    smallest month number. ISO dates keep their month (the day/month swap of
-    a day-first parser is not reproduced). Digit shapes are dispatched on the
-    text's skeleton; the word regexes run only on text that has letters.
-    """
-    skel = skeleton(t) if skel is None else skel
-    full = F.date_format(parse_date_stripped(t, skel), "yyyy-MM")
 
-    parts = _parts(t)
+def _month_of(t: Column, skel: Column, norm: Column, default_year: int) -> Column:
+    """DAT-2 on text stripped of surrounding whitespace and of a time, with its skeleton, and on
+    its normalized form without dots."""
+    full = F.date_format(_date_of(t, skel), "yyyy-MM")
+    parts = F.split(F.translate(t, "-.", "//"), "/")
     p1, p2 = F.element_at(parts, 1), F.element_at(parts, 2)
     one_sep = skel.isin("/", "-", ".")
-    mY = F.when(one_sep & (F.length(p1) <= 2) & (F.length(p2) == 4), _checked(p2, p1.try_cast("int")))
-    Ym = F.when(one_sep & (F.length(p1) == 4) & (F.length(p2) <= 2), _checked(p1, p2.try_cast("int")))
+    month_year = F.when(one_sep & (F.length(p1) <= 2) & (F.length(p2) == 4), _checked(p2, p1.try_cast("int")))
+    year_month = F.when(one_sep & (F.length(p1) == 4) & (F.length(p2) <= 2), _checked(p1, p2.try_cast("int")))
     year_only = F.when((skel == "") & (F.length(t) == 4), F.concat(t, F.lit("-01")))
 
-    has_letters = F.lower(skel) != F.upper(skel)
     low = F.lower(t)
     eng_re = rf"^(?:\d{{1,2}}[\s/.,-]+)?({_word_alternation(R.ENGLISH_MONTHS)})[\s/.,-]+(\d{{4}})$"
     eng_month = F.element_at(_word_map(R.ENGLISH_MONTHS), F.regexp_extract(low, eng_re, 1))
-    english = F.when(has_letters & eng_month.isNotNull(), _period(F.regexp_extract(low, eng_re, 2), eng_month))
+    english = F.when(_has_letters(skel) & eng_month.isNotNull(), _period(F.regexp_extract(low, eng_re, 2), eng_month))
 
     bare = F.when((norm != "") & (skeleton(norm) == ""), _checked(F.lit(default_year), norm.try_cast("int")))
     year_text = F.regexp_extract(norm, r"\b(20\d{2})\b", 1)
@@ -125,95 +114,51 @@ def parse_month_staged(t: Column, norm: Column, default_year: int = R.DEFAULT_YE
     words = F.regexp_extract_all(norm, F.lit(rf"\b({_word_alternation(R.MONTH_WORDS)})\b"), 1)
     word_map = _word_map(R.MONTH_WORDS)
     word_month = F.array_min(F.transform(words, lambda w: F.element_at(word_map, w)))
-    portuguese = F.when(has_letters, F.when(word_month.isNotNull(), _period(year, word_month)))
+    portuguese = F.when(_has_letters(skel), F.when(word_month.isNotNull(), _period(year, word_month)))
 
-    result = F.coalesce(full, mY, Ym, year_only, english, bare, portuguese)
+    result = F.coalesce(full, month_year, year_month, year_only, english, bare, portuguese)
     return F.when(F.coalesce(t, F.lit("")) == "", F.lit(None).cast("string")).otherwise(result)
 
 
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+def parse_date(c: Column) -> Column:
+    """DAT-1: ``Y-m-d``, then ``d/m/Y``, then ``m/d/Y``, then other day-first shapes.
+
+    Also ``d-m-Y``, ``d.m.Y``, ``d/m/yy``, ``YYYYMMDD``, ``Y/m/d`` and dates with an
+    English month word (``5 Mar 2026``, ``05-Mar-2026``, ``March 5, 2026``). A time
+    of day after any of them is dropped. Failure -> NULL. For whole tables use
+    :func:`with_date`, which computes each intermediate once.
+    """
+    t = without_time(strip(c.cast("string")))
+    return _date_of(t, skeleton(t))
+
 
+def parse_month(c: Column, default_year: int = R.DEFAULT_YEAR) -> Column:
+    """DAT-2: month text -> ``YYYY-MM``; NULL when nothing is recognized.
 
-def date_sql(t: str, skel: str) -> str:
-    """DAT-1 as SQL text over a stripped-text column and its skeleton (same
-    rules as :func:`parse_date_stripped`; one call to build, not hundreds)."""
-    t, k = _q(t), _q(skel)
-    slashed = f"translate({t}, '-.', '//')"
-    parts = f"split({slashed}, '/')"
-    l1 = f"length(element_at({parts}, 1))"
-    l3 = f"length(element_at({parts}, 3))"
-    second = f"try_cast(element_at({parts}, 2) AS INT)"
-    two = f"{k} IN ('--', '//', '..')"
-    return (
-        "CASE "
-        f"WHEN ({k} = '--' OR {k} = '//') AND {l1} = 4 THEN try_to_date({slashed}, 'yyyy/M/d') "
-        f"WHEN {two} AND {l1} <= 2 AND {l3} = 4 THEN CASE WHEN {second} <= 12 "
-        f"THEN try_to_date({slashed}, 'd/M/yyyy') ELSE try_to_date({slashed}, 'M/d/yyyy') END "
-        f"WHEN {two} AND {l1} <= 2 AND {l3} = 2 THEN CASE WHEN {second} <= 12 "
-        f"THEN try_to_date({slashed}, 'd/M/yy') ELSE try_to_date({slashed}, 'M/d/yy') END "
-        f"WHEN {k} = '' AND length({t}) = 8 THEN try_to_date({t}, 'yyyyMMdd') "
-        f"WHEN length({k}) > 2 AND {t} RLIKE '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}[T ]' "
-        f"THEN try_to_date(regexp_extract({t}, '^([0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}})', 1), 'yyyy-M-d') "
-        "END")
-
-
-def _sql_str(v: str) -> str:
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _sql_map(words) -> str:
-    return "map(" + ", ".join(f"{_sql_str(w)}, {n}" for w, n in words) + ")"
-
-
-def month_sql(t: str, norm: str, skel: str, default_year: int = R.DEFAULT_YEAR) -> str:
-    """DAT-2 as SQL text over the stripped text, its dot-free normalized form
-    and its skeleton (same rules as :func:`parse_month_staged`)."""
-    tq, nq, k = _q(t), _q(norm), _q(skel)
-    period = lambda y, m: f"concat(lpad(CAST({y} AS STRING), 4, '0'), '-', lpad(CAST({m} AS STRING), 2, '0'))"
-    parts = f"split(translate({tq}, '-.', '//'), '/')"
-    p1, p2 = f"element_at({parts}, 1)", f"element_at({parts}, 2)"
-    one = f"{k} IN ('/', '-', '.')"
-    m1, m2 = f"try_cast({p1} AS INT)", f"try_cast({p2} AS INT)"
-    eng_re = rf"^(?:[0-9]{{1,2}}[\\s/.,-]+)?({_word_alternation(R.ENGLISH_MONTHS)})[\\s/.,-]+([0-9]{{4}})$"
-    low = f"lower({tq})"
-    eng = f"element_at({_sql_map(R.ENGLISH_MONTHS)}, regexp_extract({low}, '{eng_re}', 1))"
-    year_text = f"regexp_extract({nq}, '\\\\b(20[0-9]{{2}})\\\\b', 1)"
-    year = f"CASE WHEN {year_text} != '' THEN {year_text} ELSE '{default_year}' END"
-    words = (f"regexp_extract_all({nq}, '\\\\b({_word_alternation(R.MONTH_WORDS)})\\\\b', 1)")
-    word_month = f"array_min(transform({words}, w -> element_at({_sql_map(R.MONTH_WORDS)}, w)))"
-    has_letters = f"lower({k}) != upper({k})"
-    full = f"date_format({date_sql(t, skel)}, 'yyyy-MM')"
-    branches = [
-        full,
-        f"CASE WHEN {one} AND length({p1}) <= 2 AND length({p2}) = 4 AND {m1} BETWEEN 1 AND 12 THEN {period(p2, m1)} END",
-        f"CASE WHEN {one} AND length({p1}) = 4 AND length({p2}) <= 2 AND {m2} BETWEEN 1 AND 12 THEN {period(p1, m2)} END",
-        f"CASE WHEN {k} = '' AND length({tq}) = 4 THEN concat({tq}, '-01') END",
-        f"CASE WHEN {has_letters} AND {eng} IS NOT NULL THEN "
-        f"{period(f'regexp_extract({low}, {chr(39)}{eng_re}{chr(39)}, 2)', eng)} END",
-        f"CASE WHEN {nq} != '' AND translate({nq}, '0123456789', '') = '' "
-        f"AND try_cast({nq} AS INT) BETWEEN 1 AND 12 THEN {period(default_year, f'try_cast({nq} AS INT)')} END",
-        f"CASE WHEN {has_letters} AND {word_month} IS NOT NULL THEN {period(year, word_month)} END",
-    ]
-    return (f"CASE WHEN coalesce({tq}, '') = '' THEN CAST(NULL AS STRING) "
-            f"ELSE coalesce({', '.join(branches)}) END")
+    Order: full date; ``m/Y``; ``Y-m``; ``Y`` (January); English month word
+    with a 4-digit year; bare 1-12 (default year); Portuguese month word as a
+    whole word, year ``20dd`` when present else the default year. When several
+    Portuguese words occur, the earliest in the word list wins, i.e. the
+    smallest month number. ISO dates keep their month (the day/month swap of
+    a day-first parser is not reproduced). Whole tables use :func:`with_month`.
+    """
+    t = without_time(strip(c.cast("string")))
+    return _month_of(t, skeleton(t), F.replace(normalize(c), F.lit("."), F.lit("")), default_year)
 
 
 @lru_cache(maxsize=256)
 def _date_stages(name: str):
-    """Expressions of the three DAT-1 stages for a column name. They depend on
-    names only, so they are built once per process and reused (building a
-    Column costs one driver-JVM round trip per function call)."""
-    tmp, sk = f"__{name}_stripped", f"__{name}_skeleton"
-    return ((tmp, strip(F.col(name).cast("string"))), (sk, skeleton(F.col(tmp))),
-            F.expr(date_sql(tmp, sk)))
+    """The projections of DAT-1 for a column name. They depend on names only, so they are built
+    once per process and reused (building a Column costs driver round trips)."""
+    t, sk = f"__{name}_stripped", f"__{name}_skeleton"
+    return ((t, without_time(strip(F.col(name).cast("string")))), (sk, skeleton(F.col(t))), _date_of(F.col(t), F.col(sk)))
 
 
 @lru_cache(maxsize=256)
 def _month_stages(name: str, default_year: int):
     t, n, sk = f"__{name}_stripped", f"__{name}_nodots", f"__{name}_skeleton"
-    first = {t: strip(F.col(name).cast("string")), n: F.replace(normalize(name), F.lit("."), F.lit(""))}
-    return first, (sk, skeleton(F.col(t))), F.expr(month_sql(t, n, sk, default_year)), (t, n, sk)
+    first = {t: without_time(strip(F.col(name).cast("string"))), n: F.replace(normalize(name), F.lit("."), F.lit(""))}
+    return first, (sk, skeleton(F.col(t))), _month_of(F.col(t), F.col(sk), F.col(n), default_year), (t, n, sk)
 
 
 def with_date(df, name: str, out: str | None = None):
@@ -260,14 +205,3 @@ def month_label(p: Column, labels=R.MONTH_LABELS, empty: str = R.NO_MONTH_LABEL)
 def format_date(d: Column) -> Column:
     """DAT-4: ``dd/MM/yyyy``."""
     return F.date_format(d, "dd/MM/yyyy")
-
-
-def period_range(periods) -> tuple[str, str] | None:
-    """First day of the earliest and of the month after the latest period."""
-    ps = sorted(p for p in periods if p)
-    if not ps:
-        return None
-    lo = ps[0] + "-01"
-    y, m = (int(x) for x in ps[-1].split("-")[:2])
-    y, m = (y + 1, 1) if m == 12 else (y, m + 1)
-    return lo, f"{y:04d}-{m:02d}-01"

@@ -2,8 +2,8 @@
 
 ``normalize`` reproduces Python's ``strip().lower()`` + NFKD + drop combining
 marks + collapse whitespace without a UDF: the NFKD table is generated once
-from ``unicodedata`` on the driver and shipped inside the plan as a
-``translate`` map, so the work stays in whole-stage codegen on the executors.
+from ``unicodedata`` on the driver and shipped inside the plan, most of it as a
+``translate`` map, so the work stays on the JVM.
 """
 
 from __future__ import annotations
@@ -15,57 +15,56 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Ranges whose multi-letter decompositions (ligatures, fractions, ellipsis)
-# are expanded with ``replace``; everything else in the BMP that decomposes to
-# one letter goes through ``translate``.
-_MULTI_RANGES = ((0x00A0, 0x0250), (0x1E00, 0x1F00), (0x2000, 0x2070), (0xFB00, 0xFB07))
+class _Folds(dict):
+    """What each lower-case character becomes: its compatibility decomposition without combining marks."""
 
+    def __missing__(self, code: int) -> str:
+        out = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        self[code] = out
+        return out
 
-def _strip_marks(text: str) -> str:
-    return "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
+
+_FOLDS = _Folds()
+# Hangul syllables decompose by arithmetic: first consonants, vowels and last consonants.
+HANGUL = ("가", "힣")
+_JAMO = tuple("".join(map(chr, range(a, b))) for a, b in ((0x1100, 0x1113), (0x1161, 0x1176), (0x11A8, 0x11C3)))
 
 
 @lru_cache(maxsize=1)
 def _tables():
-    """(translate source, translate target, multi-letter pairs, whitespace chars).
+    """(translate source, translate target, characters that become several, their
+    forms, whitespace characters), over all of Unicode but the Hangul syllables.
 
-    The translate map sends every lower-case BMP character to its NFKD form
-    without combining marks when that is one character, deletes combining
-    marks, and sends every whitespace character to a plain space.
+    The translate map sends every lower-case character to its form when that is
+    one character, deletes combining marks, and sends every whitespace
+    character to a plain space.
     """
-    space = "".join(chr(c) for c in range(0x10000) if chr(c).isspace())
+    space = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
     src, dst, drop, multi = [], [], [], []
-    for cp in range(0x80, 0x10000):
-        if 0xD800 <= cp <= 0xDFFF:
-            continue
+    for cp in [*range(0x80, ord(HANGUL[0])), *range(ord(HANGUL[1]) + 1, 0xD800), *range(0xE000, 0x110000)]:
         ch = chr(cp)
-        if ch in space:
-            continue
-        if ch.lower() != ch:
-            # Upper-case input is lower-cased before the map is applied.
-            continue
-        out = _strip_marks(ch)
-        if out == ch:
+        # upper-case input is lower-cased before the map is applied
+        if ch in space or ch.lower() != ch or (out := _FOLDS[cp]) == ch:
             continue
         if len(out) == 1:
             src.append(ch)
-            dst.append(out if not out.isspace() else " ")
-        elif not out:
-            drop.append(ch)
-        elif any(a <= cp < b for a, b in _MULTI_RANGES):
+            dst.append(" " if out.isspace() else out)
+        elif out:
             multi.append((ch, out))
+        else:
+            drop.append(ch)
     for ch in space:
         if ch != " ":
             src.append(ch)
             dst.append(" ")
     # translate() deletes source characters that have no counterpart, so the
     # dropped ones go last.
-    return "".join(src) + "".join(drop), "".join(dst), tuple(multi), space
+    return "".join(src) + "".join(drop), "".join(dst), "".join(a for a, _ in multi), tuple(b for _, b in multi), space
 
 
 def whitespace_chars() -> str:
     """Python's ``str.isspace`` set (the Java regex ``\\s`` is ASCII only)."""
-    return _tables()[3]
+    return _tables()[4]
 
 
 def strip(c: Column) -> Column:
@@ -95,59 +94,48 @@ def sql_literal(text: str) -> str:
     return "'" + "".join(out) + "'"
 
 
-@lru_cache(maxsize=1)
-def _normalize_template() -> str:
-    """The normalize expression as SQL text with ``{x}`` for the input, built once.
+def _expanded(t: Column) -> Column:
+    """Characters that become several, one by one; only texts that hold one get here."""
+    _, _, chars, forms, _ = _tables()
+    known = F.map_from_arrays(F.split(F.lit(chars), ""), F.split(F.lit("|".join(forms)), "[|]"))
+    lead, vowel, tail = map(F.lit, _JAMO)
 
-    One ``translate`` does NFKD, mark removal and whitespace folding; the few
-    multi-letter decompositions (ligatures, fractions, ellipsis) are expanded
-    only on rows that contain one. As one SQL string it costs the driver a
-    single call to build, however many columns are normalized.
-    """
-    src, dst, multi, space = _tables()
-    t = f"lower(btrim(CAST({{x}} AS STRING), {sql_literal(space)}))"
-    if multi:
-        chars = sql_literal("".join(a for a, _ in multi))
-        expanded = t
-        for a, b in multi:
-            expanded = f"replace({expanded}, {sql_literal(a)}, {sql_literal(b)})"
-        t = f"(CASE WHEN length(translate({t}, {chars}, '')) != length({t}) THEN {expanded} ELSE {t} END)"
-    t = f"translate({t}, {sql_literal(src)}, {sql_literal(dst)})"
-    return (f"coalesce(CASE WHEN instr({t}, '  ') > 0 THEN regexp_replace({t}, ' {{2,}}', ' ') "
-            f"ELSE {t} END, '')")
+    def one(c: Column) -> Column:
+        n = F.ascii(c) - ord(HANGUL[0])
+        syllable = F.concat(F.substr(lead, F.floor(n / 588).cast("int") + 1, F.lit(1)),
+                            F.substr(vowel, F.floor(n % 588 / 28).cast("int") + 1, F.lit(1)),
+                            F.when(n % 28 > 0, F.substr(tail, n % 28, F.lit(1))).otherwise(F.lit("")))
+        return F.when(c.between(*HANGUL), syllable).otherwise(F.coalesce(F.element_at(known, c), c))
+    return F.array_join(F.transform(F.split(t, ""), one), "")
 
 
 def normalize(c: Column | str) -> Column:
     """STR-1: NULL -> '', strip, lower, NFKD, drop combining marks, collapse spaces.
 
-    Pass a column name to get the one-call SQL form; a Column expression is
-    built call by call (same result, more driver round trips).
+    Pass a column name to reuse the expression built for that name (building
+    one costs driver round trips; the result is the same).
     """
-    if isinstance(c, str):
-        return F.expr(_normalize_template().replace("{x}", f"`{c}`"))
-    return _normalize_column(c)
+    return _normalize_named(c) if isinstance(c, str) else _normalize_column(c)
+
+
+@lru_cache(maxsize=256)
+def _normalize_named(name: str) -> Column:
+    return _normalize_column(F.col(f"`{name}`"))
 
 
 def _normalize_column(c: Column) -> Column:
-    src, dst, multi, _ = _tables()
+    """One ``translate`` does NFKD, mark removal and whitespace folding; characters that become
+    several are expanded before it, only in texts that hold one."""
+    src, dst, chars, _, _ = _tables()
     t = F.lower(strip(c.cast("string")))
-    if multi:
-        multi_chars = "".join(a for a, _ in multi)
-        expanded = t
-        for a, b in multi:
-            expanded = F.replace(expanded, F.lit(a), F.lit(b))
-        t = F.when(F.length(F.translate(t, multi_chars, "")) != F.length(t), expanded).otherwise(t)
-    t = collapse_spaces(F.translate(t, src, dst))
+    special = (F.length(F.translate(t, chars, "")) != F.length(t)) | t.rlike(f"[{HANGUL[0]}-{HANGUL[1]}]")
+    t = collapse_spaces(F.translate(F.when(special, _expanded(t)).otherwise(t), src, dst))
     return F.coalesce(t, F.lit(""))
 
 
 def normalize_py(value) -> str:
-    """Driver-side twin of :func:`normalize`, used for schema names and term lists."""
-    if value is None:
-        return ""
-    text = str(value).strip().lower()
-    text = _strip_marks(text)
-    return re.sub(r"\s+", " ", text)
+    """Driver-side form of :func:`normalize` for schema names and term lists: the same table."""
+    return re.sub(r"\s+", " ", "" if value is None else str(value).strip().lower().translate(_FOLDS))
 
 
 def normalize_terms(terms) -> tuple[str, ...]:

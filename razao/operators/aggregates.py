@@ -51,7 +51,7 @@ def monthly_sum(df: DataFrame, value_col: str, out: str = "value") -> DataFrame:
 def total_sum(df: DataFrame, value_col: str, out: str = "total") -> DataFrame:
     """AGG-2: one-row grand total; NULL counts as 0, a missing column gives 0."""
     if value_col not in df.columns:
-        return df.sparkSession.range(1).select(F.lit(0).cast("decimal(38,4)").alias(out))
+        return df.sparkSession.range(1).select(F.lit(0).cast("decimal(38,8)").alias(out))
     return df.agg(sum0(F.col(value_col)).alias(out))
 
 
@@ -80,7 +80,7 @@ def card_statement(df: DataFrame, rules: LedgerRules = DEFAULT_RULES) -> DataFra
     labelled as the card category."""
     from .classify import is_card_source, valid_base
     amount = rules.roles.amount
-    schema = f"{S.PERIOD} string, {S.PERIOD_LABEL} string, {rules.roles.category} string, {amount} decimal(38,4)"
+    schema = f"{S.PERIOD} string, {S.PERIOD_LABEL} string, {rules.roles.category} string, {amount} decimal(38,8)"
     if amount not in df.columns or S.PERIOD not in df.columns:
         return df.sparkSession.createDataFrame([], schema)
     card = df.where(valid_base(df, rules) & is_card_source(df, rules) & F.col(S.PERIOD).isNotNull())
@@ -90,71 +90,33 @@ def card_statement(df: DataFrame, rules: LedgerRules = DEFAULT_RULES) -> DataFra
                     F.lit(R.CARD_LABEL).alias(rules.roles.category), amount))
 
 
-def distinct_count(df: DataFrame, column: str, out: str = "distinct_items", approx: bool = False) -> DataFrame:
-    """AGG-9: distinct non-NULL values (exact by default; HyperLogLog on request)."""
-    f = F.approx_count_distinct if approx else F.count_distinct
-    return df.agg(f(F.col(column)).alias(out))
-
-
 def mean(c: Column) -> Column:
     """AGG-10 as an aggregate expression: exact sum as double over the count of
     non-NULL values, so the result does not depend on summation order."""
     return F.sum(c).cast("double") / F.count(c)
 
 
-def mean_of(df: DataFrame, column: str, out: str = "mean") -> DataFrame:
-    """AGG-10: mean over rows, NULLs skipped."""
-    return df.agg(mean(F.col(column)).alias(out))
-
-
-def largest_abs(df: DataFrame, value_col: str, label_col: str | None, order_col: str | None = None) -> DataFrame:
-    """AGG-12: the row with the largest absolute amount: its signed value and label.
-
-    Ties go to the smallest ``order_col`` (the first row); NULL amounts are skipped.
-    """
-    v = F.col(value_col)
-    label = F.col(label_col).cast("string") if label_col and label_col in df.columns else F.lit(None).cast("string")
-    tie = -F.col(order_col).cast("long") if order_col else F.lit(0)
-    rows = df.where(v.isNotNull())
-    picked = F.max_by(F.struct(v.alias("v"), label.alias("l")), F.struct(F.abs(v), tie))
-    return rows.agg(picked.alias("m")).select(F.col("m.v").alias("largest_value"), F.col("m.l").alias("largest_label"))
+def mean_by(df: DataFrame, key: str, value_col: str, out: str = "mean") -> DataFrame:
+    """AGG-10 per group: the mean of each group's non-NULL values; groups without any are left out."""
+    return (df.where(F.col(key).isNotNull() & F.col(value_col).isNotNull())
+            .groupBy(key).agg(mean(F.col(value_col)).alias(out)))
 
 
-def smallest_values(df: DataFrame, key: str, value_col: str, k: int = 3, compute_once: bool = True) -> DataFrame:
+def smallest_values(df: DataFrame, key: str, value_col: str, k: int = 3) -> DataFrame:
     """Per key: the k smallest distinct non-empty values (sorted) and the number of
     distinct values, without gathering a group in one place.
 
-    Each step is a partial ``min`` aggregation (map-side combine, so a hot key
-    is pre-reduced per task) joined back on the key to a one-row-per-key frame;
-    the distinct count is Spark's distributed distinct aggregation. At most k
-    values per key ever travel together.
+    The distinct pairs are counted by partial aggregation. The rank limit is
+    applied within each task before the pairs are shuffled, so at most k values
+    of a key travel from each task.
     """
     v = F.col(value_col)
-    rows = (df.where(F.col(key).isNotNull() & v.isNotNull() & (v.cast("string") != ""))
-            .select(key, value_col).distinct())
-    if compute_once:
-        # The distinct pairs are read k + 1 times below; write them once to the
-        # shared checkpoint folder instead of re-scanning the input each time.
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(rows.sparkSession)
-        rows = rows.checkpoint(eager=True)
-    out = rows.groupBy(key).agg(F.count_distinct(v).alias("distinct_count"), F.min(v).alias("__v1"))
-    last = "__v1"
-    for i in range(2, k + 1):
-        prev = out.select(key, F.col(last).alias("__prev"))
-        nxt = (rows.join(prev, key).where(v > F.col("__prev"))
-               .groupBy(key).agg(F.min(v).alias(f"__v{i}")))
-        out = out.join(nxt, key, "left")
-        last = f"__v{i}"
-    values = F.filter(F.array(*[F.col(f"__v{i}") for i in range(1, k + 1)]), lambda x: x.isNotNull())
-    return out.select(key, values.alias("values"), "distinct_count")
-
-
-def revenue_for(revenue: DataFrame, periods, value_col: str, out: str = "revenue") -> DataFrame:
-    """AGG-13: revenue of one period or a set (0 when absent)."""
-    periods = [p for p in (periods or []) if p]
-    sel = revenue.where(F.col(S.PERIOD).isin(periods)) if periods else revenue.where(F.lit(False))
-    return sel.agg(sum0(F.col(value_col)).alias(out))
+    pairs = (df.where(F.col(key).isNotNull() & v.isNotNull() & (v.cast("string") != ""))
+             .select(key, v.alias("__v")).distinct())
+    order = Window.partitionBy(key).orderBy("__v")
+    first = pairs.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= k)
+    values = first.groupBy(key).agg(F.sort_array(F.collect_list("__v")).alias("values"))  # k at most
+    return values.join(pairs.groupBy(key).agg(F.count("*").alias("distinct_count")), key)
 
 
 def extent(df: DataFrame, columns, prefix: str = "") -> DataFrame:
@@ -190,16 +152,6 @@ def with_change(df: DataFrame, value_col: str, order_col: str = S.PERIOD) -> Dat
                           .when(F.col("change") >= 0, F.lit("up")).otherwise(F.lit("down"))))
 
 
-def first_last_change(df: DataFrame, value_col: str, order_col: str = S.PERIOD) -> DataFrame:
-    """WIN-3: percent change from the first to the last row over |first|; NULL if first = 0."""
-    first = F.min_by(F.col(value_col).cast("double"), F.col(order_col))
-    last = F.max_by(F.col(value_col).cast("double"), F.col(order_col))
-    return df.agg(first.alias("first_value"), last.alias("last_value")).withColumn(
-        "first_last_pct",
-        F.when(F.coalesce(F.col("first_value"), F.lit(0.0)) == 0, F.lit(None).cast("double"))
-        .otherwise((F.col("last_value") - F.col("first_value")) / F.abs(F.col("first_value")) * 100.0))
-
-
 def running_sum(df: DataFrame, value_col: str, out: str, order_col: str = S.PERIOD) -> DataFrame:
     """WIN-4: cumulative sum in period order (on a per-period frame)."""
     w = Window.orderBy(F.col(order_col).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -217,11 +169,6 @@ def share_of_total(df: DataFrame, value_col: str, out: str = "share_pct") -> Dat
     return df.withColumn(out, F.when(F.coalesce(total, F.lit(0.0)) == 0, F.lit(0.0)).otherwise(v / total * 100.0))
 
 
-def last_value(df: DataFrame, value_col: str, order_col: str = S.PERIOD, out: str = "last_value") -> DataFrame:
-    """WIN-7: value at the latest period."""
-    return df.agg(F.max_by(F.col(value_col), F.col(order_col)).alias(out))
-
-
 # ------------------------------------------------------------------ SRT
 
 def top_k(df: DataFrame, k: int, value_col: str, key_col: str) -> DataFrame:
@@ -281,10 +228,3 @@ def conditional_monthly(df: DataFrame, value_col: str, measures: dict[str, Colum
     aggs = [sum0(F.when(flag(cond), v)).alias(name) for name, cond in measures.items()]
     return (df.where(F.col(S.PERIOD).isNotNull()).groupBy(S.PERIOD).agg(*aggs)
             .withColumn(S.PERIOD_LABEL, month_label(F.col(S.PERIOD))))
-
-
-def outer_join_periods(left: DataFrame, right: DataFrame, fill: float = 0.0) -> DataFrame:
-    """JON-1 / JON-2 as a join: full outer on period, missing measures -> 0."""
-    j = left.join(right, S.PERIOD, "full")
-    measures = [c for c in j.columns if c not in (S.PERIOD, S.PERIOD_LABEL)]
-    return j.fillna(fill, subset=measures)

@@ -214,8 +214,8 @@ def receivable_group(item: Column, kind: Column, value: Column,
     kind_n = normalize(kind)
     exclusive = contains_any(item_n, normalize_terms(rules.exclusive_terms))
     return (
-        F.when(kind_n == "total", F.lit(R.GROUP_TOTAL))
-        .when((value < 0) | kind_n.contains("abatimento") | item_n.contains("wellhub"), F.lit(R.GROUP_REBATE))
+        F.when(kind_n == rules.total_kind, F.lit(R.GROUP_TOTAL))
+        .when((value < 0) | kind_n.contains(rules.rebate_kind) | item_n.contains(rules.rebate_item), F.lit(R.GROUP_REBATE))
         .when(exclusive, F.lit(R.GROUP_EXCLUSIVE))
         .when(kind_n == normalize_terms([R.RECEIVABLE_HOUSE_TYPE])[0], F.lit(R.GROUP_SHARED))
         .otherwise(F.lit(R.GROUP_OTHER))

@@ -12,26 +12,20 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.nulls import flag, not_in
-from ..functions.text import contains_any, escape_regex, normalize, normalize_py, normalize_terms
+from ..functions.text import contains_any, normalize, normalize_py, normalize_terms
 from ..rules import DEFAULT_RULES, LedgerRules
 
 
-def period_filter(df: DataFrame, periods=None, date_col: str | None = None) -> DataFrame:
+def period_filter(df: DataFrame, periods=None) -> DataFrame:
     """FLT-2: keep the given periods; an empty selection keeps everything.
 
     On a table written by ``write_clean`` (partitioned by period) the test is
-    partition pruning. When the period was derived from ``date_col``, a range
-    on that date is added too, which Parquet can push down to row groups.
+    partition pruning; on a materialized one Parquet skips row groups by it.
     """
     periods = [p for p in (periods or []) if p]
     if not periods or S.PERIOD not in df.columns:
         return df
-    out = df.where(F.col(S.PERIOD).isin(periods))
-    if date_col and date_col in df.columns:
-        from ..functions.periods import period_range
-        lo, hi = period_range(periods)
-        out = out.where((F.col(date_col) >= F.lit(lo).cast("date")) & (F.col(date_col) < F.lit(hi).cast("date")))
-    return out
+    return df.where(F.col(S.PERIOD).isin(periods))
 
 
 def facet_filter(df: DataFrame, periods=None, accounts=None, categories=None,
@@ -134,12 +128,3 @@ def raw_category_is(df: DataFrame, value: str, rules: LedgerRules = DEFAULT_RULE
     col = S.norm(rules.roles.raw_category)
     text = F.col(col) if col in df.columns else normalize(rules.roles.raw_category)
     return df.where(flag(text == normalize_py(value)))
-
-
-def nonzero(df: DataFrame, column: str) -> DataFrame:
-    """FLT-17: keep aggregated rows whose value is not zero."""
-    return df.where(F.col(column) != 0)
-
-
-def regex_any(terms) -> str:
-    return "|".join(escape_regex(t) for t in terms)

@@ -32,7 +32,7 @@ EXCLUDED_COLUMNS = ("data", "period_label", "origem", "categoria_dashboard", "ca
 
 def _amount(df: DataFrame, rules: LedgerRules):
     a = rules.roles.amount
-    return F.col(a) if a in df.columns else F.lit(None).cast("decimal(18,4)")
+    return F.col(a) if a in df.columns else F.lit(None).cast("decimal(28,8)")
 
 
 def audit_summary(ledger: DataFrame, rules: LedgerRules = DEFAULT_RULES) -> DataFrame:

@@ -83,6 +83,11 @@ def betting(spark: SparkSession, sf: str) -> DataFrame:
                  lambda: ingest.standardize(B.betting_sheet(spark, sf), "fact_apostas_kto", RULES))
 
 
+def category_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """The (period, category) sums that all category metrics read, computed once."""
+    return _plan(spark, sf, "category_sums", lambda: marts.category_period_sums(ledger(spark, sf), None, RULES))
+
+
 def workbook(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     def build():
         raw = B.workbook(spark, sf)
@@ -160,22 +165,32 @@ def q_resolve_columns(spark, sf):
 def q_csv_round_trip(spark, sf):
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/razao-sink-{uuid.uuid4().hex}"
-    s = B.table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
-    ingest.write_csv(s.toDF("Código Fornecedor", "Nome", "Nação", "Saldo"), path)
-    back = ingest.standardize_headers(ingest.read_table(spark, path, "", "csv"))
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    note = (F.when(k % 8 == 0, F.concat(F.lit('he said "hi", '), name)).when(k % 8 == 1, F.concat(F.lit("  "), name, F.lit(" ")))
+            .when(k % 8 == 2, F.concat(name, F.lit("\nsecond line"))).when(k % 8 == 3, F.concat(F.lit('"'), name, F.lit('",\n"a","b"')))
+            .when(k % 8 == 4, F.lit("")).when(k % 8 == 5, F.lit(None)).when(k % 8 == 6, F.concat(name, F.lit("\\"))).otherwise(name))
+    s = B.table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal", note.alias("note"))
+    ingest.write_csv(s.toDF("Código Fornecedor", "Nome", "Nação", "Saldo", "Nota"), path)
+    back = ingest.standardize_headers(ingest.read_table(spark, path, "", "csv", multi_line=True))
     return back.select(F.col("codigo_fornecedor").cast("long").alias("s_suppkey"), F.col("nome").alias("s_name"),
-                       F.col("nacao").cast("int").alias("s_nationkey"), F.col("saldo").cast("double").alias("s_acctbal"))
+                       F.col("nacao").cast("int").alias("s_nationkey"), F.col("saldo").cast("double").alias("s_acctbal"),
+                       F.col("nota").alias("note"))
 
 
 # ------------------------------------------------------------------ scalar functions
 
+# Characters that decompose into several letters or lie beyond the first plane.
+ODD_TEXT = " \u2122 \u2116 \u33a1 \u2153 \U0001d400\U0001d44f \uac01"
+
+
 def q_text_normalize(spark, sf):
-    d = B.spread(B.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    return d.select("doc_id", T.normalize("text").alias("text_norm"))
+    d = B.table(spark, sf, "documents")
+    odd = F.when(F.col("doc_id") % 7 == 0, F.lit(ODD_TEXT)).otherwise(F.lit(""))
+    return d.select("doc_id", F.concat("text", odd).alias("text")).select("doc_id", T.normalize("text").alias("text_norm"))
 
 
 def q_text_tools(spark, sf):
-    c = B.spread(B.table(spark, sf, "conversations"), "conv_id", "turn")
+    c = B.table(spark, sf, "conversations")
     staged = c.withColumn("__n", T.normalize("text"))
     return staged.select(
         "conv_id", "turn",
@@ -203,12 +218,30 @@ def q_list_summary(spark, sf):
                                    count=F.coalesce(F.col("nc"), F.lit(0))).alias("categories_summary"))
 
 
+def q_range_summary(spark, sf):
+    """The months of each account as a list or, beyond three, as first and last."""
+    df = ledger(spark, sf)
+    by = df.where(F.col(S.PERIOD).isNotNull() & F.col("origem").isNotNull()).groupBy("origem").agg(F.sort_array(F.collect_set(S.PERIOD)).alias("p"))
+    return by.select("origem", T.list_summary(F.col("p"), "Todos os meses", range_form=True).alias("months_summary"))
+
+
 def q_number_parse(spark, sf):
     df = ledger(spark, sf)
     v = F.col(RULES.roles.amount)
     return _key(df).select(KEY, v.cast("double").alias("amount"), (v < 0).alias("is_negative"))
 
 
+def q_number_parse_wide(spark, sf):
+    """Amounts beyond 10^14 and with six decimals, as text."""
+    k = F.col("o_orderkey")
+    big = F.concat(F.lit("R$ "), F.translate(F.format_number(k * 1_000_000_000, 0), ",", "."), F.lit(".000,25"))
+    small = F.concat(F.lit("0,"), F.lpad((k % 1_000_000).cast("string"), 6, "0"))
+    raw = B.table(spark, sf, "orders").select(k.alias("codigo"), F.when(k % 2 == 0, big).otherwise(small).alias("valor"))
+    out = N.with_numbers(raw, ["valor"], RULES.money_type)
+    return out.select("codigo", F.col("valor").cast("double").alias("amount"),
+                      (F.col("valor") * 1_000_000).cast("decimal(38,0)").cast("string").alias("millionths"))
+
+
 def q_money_format(spark, sf):
     o = B.table(spark, sf, "orders")
     x, k = F.col("o_totalprice"), F.col("o_orderkey")
@@ -239,6 +272,27 @@ def q_month_parse(spark, sf):
 
 # ------------------------------------------------------------------ flags and filters
 
+def q_period_by_parts(spark, sf):
+    """PRJ-1 from year and month numbers, and from a date alone."""
+    o = B.table(spark, sf, "orders")
+    d = F.add_months(F.to_date("o_orderdate"), B.YEAR_SHIFT_MONTHS)
+    k = F.col("o_orderkey").cast("string")
+    by_parts = ingest.standardize(o.select(k.alias("Código"), F.date_format(d, "yyyy").alias("Ano"), F.date_format(d, "M").alias("Mês Num")), "fact_parts", RULES)
+    by_date = ingest.standardize(o.select(k.alias("Código"), F.date_format(d, "dd/MM/yyyy").alias("Data")), "fact_dates", RULES)
+    parts = [_key(x).select(KEY, S.SOURCE_TABLE, S.PERIOD, S.PERIOD_LABEL) for x in (by_parts, by_date)]
+    return A.union_all(*parts)
+
+
+def q_clean_layout(spark, sf):
+    """The period layout, written and read with a period filter (partition pruning)."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/razao-layout-{uuid.uuid4().hex}"
+    ingest.write_clean(ledger(spark, sf), path)
+    df = FL.period_filter(spark.read.parquet(path), SELECTED_PERIODS)
+    return df.groupBy(S.PERIOD).agg(F.count(F.lit(1)).alias("row_count"), F.sum(RULES.roles.amount).cast("double").alias("total"))
+
+
+# ------------------------------------------------------------------ flags and filters (continued)
+
 def q_total_line_flag(spark, sf):
     return _key(ledger(spark, sf)).select(KEY, S.IS_TOTAL)
 
@@ -252,7 +306,7 @@ def q_exclusion_reason(spark, sf):
 
 
 def q_period_filter(spark, sf):
-    df = FL.period_filter(ledger(spark, sf), SELECTED_PERIODS, date_col=None)
+    df = FL.period_filter(ledger(spark, sf), SELECTED_PERIODS)
     return _key(df).select(KEY, S.PERIOD, _amount())
 
 
@@ -266,6 +320,15 @@ def q_facet_filter(spark, sf):
     return _key(df).select(KEY, S.PERIOD, "origem", "categoria_dashboard")
 
 
+def q_facet_table(spark, sf):
+    """Selections held in tables: a semi join on the account, an anti join on the category."""
+    df = ledger(spark, sf)
+    accounts = df.where(F.col("origem") != "Poupança").select("origem")
+    hidden = df.where(F.col("categoria_dashboard").isin("Bet", "Bet retorno")).select("categoria_dashboard")
+    out = FL.anti_join_values(FL.semi_join_values(df, "origem", accounts), "categoria_dashboard", hidden)
+    return _key(out).select(KEY, "origem", "categoria_dashboard")
+
+
 def q_facet_values(spark, sf):
     df = ledger(spark, sf)
     parts = [FL.facet_values(df, c).select(F.lit(c).alias("facet"), F.col(c).alias("value"))
@@ -305,10 +368,7 @@ DOC_TERM = "Été"
 
 
 def q_document_search(spark, sf):
-    d = B.spread(B.table(spark, sf, "documents").select("doc_id", F.col("text").alias("descricao")), "doc_id")
-    # The normalized twin is computed after the spread and sealed, so the search
-    # filter cannot be pushed below the shuffle into the single scan task.
-    d = ingest.seal(d.withColumn("descricao_norm", T.normalize("descricao")), ["descricao_norm"])
+    d = B.table(spark, sf, "documents").select("doc_id", F.col("text").alias("descricao"))
     return FL.description_search(d, DOC_TERM, "regex", RULES).select("doc_id")
 
 
@@ -347,8 +407,24 @@ def q_cash_flow_month(spark, sf):
     return marts.cash_flow_summary(ledger(spark, sf), revenue(spark, sf), ["2026-03"], RULES)
 
 
+REVENUE_ONLY_PERIODS = ("2026-03", "2026-08", "2026-10")
+
+
+def q_cash_flow_selection(spark, sf):
+    """Several months, one of which has revenue and no cash row."""
+    return marts.cash_flow_summary(ledger(spark, sf), revenue(spark, sf), REVENUE_ONLY_PERIODS, RULES)
+
+
+def q_cash_flow_last_month(spark, sf):
+    """No selection: the last month with cash rows."""
+    return marts.cash_flow_summary(ledger(spark, sf), revenue(spark, sf), None, RULES)
+
+
+TOP_CATEGORIES = 2
+
+
 def q_category_top_others(spark, sf):
-    return marts.cash_by_category(ledger(spark, sf), None, 5, RULES)
+    return marts.cash_by_category(ledger(spark, sf), None, TOP_CATEGORIES, RULES)
 
 
 def q_source_composition(spark, sf):
@@ -366,22 +442,31 @@ def q_transaction_metrics(spark, sf):
 
 
 def q_category_ranking(spark, sf):
-    return marts.category_ranking(ledger(spark, sf), None, False, RULES)
+    return marts.category_ranking(None, None, False, RULES, category_sums(spark, sf))
 
 
 def q_category_headline(spark, sf):
-    return marts.category_headline(ledger(spark, sf), revenue(spark, sf), None, 3, RULES)
+    return marts.category_headline(None, revenue(spark, sf), None, 3, RULES, category_sums(spark, sf))
 
 
 EVOLUTION_CATEGORIES = ("Mercado", "Lazer", "Cartão de Crédito")
 
 
 def q_category_evolution(spark, sf):
-    return marts.category_evolution(ledger(spark, sf), revenue(spark, sf), EVOLUTION_CATEGORIES, None, True, RULES)
+    return marts.category_evolution(None, revenue(spark, sf), EVOLUTION_CATEGORIES, None, True, RULES, category_sums(spark, sf))
+
+
+def q_category_compared(spark, sf):
+    """No choice of categories: the five largest, with the monthly revenue."""
+    return marts.category_evolution(None, revenue(spark, sf), None, None, True, RULES, category_sums(spark, sf))
+
+
+def q_category_means(spark, sf):
+    return marts.category_means(q_category_evolution(spark, sf))
 
 
 def q_evolution_extent(spark, sf):
-    evo = marts.category_evolution(ledger(spark, sf), revenue(spark, sf), EVOLUTION_CATEGORIES, None, False, RULES)
+    evo = marts.category_evolution(None, revenue(spark, sf), EVOLUTION_CATEGORIES, None, False, RULES, category_sums(spark, sf))
     per = evo.groupBy(S.PERIOD).pivot("category", list(EVOLUTION_CATEGORIES)).agg(F.sum("value")).fillna(0.0)
     return A.extent(per, list(EVOLUTION_CATEGORIES))
 
@@ -391,13 +476,17 @@ def q_source_spend(spark, sf):
 
 
 def q_category_revenue(spark, sf):
-    return marts.category_revenue_table(ledger(spark, sf), revenue(spark, sf), None, False, RULES)
+    return marts.category_revenue_table(None, revenue(spark, sf), None, False, RULES, category_sums(spark, sf))
 
 
 def q_receivable_statement(spark, sf):
     return marts.receivable_statement(items(spark, sf), RULES)
 
 
+def q_receivable_view(spark, sf):
+    return marts.receivable_view(items(spark, sf), RULES)
+
+
 def q_receivable_change(spark, sf):
     return marts.receivable_totals(items(spark, sf), RULES)
 
@@ -498,7 +587,21 @@ def q_quality_report(spark, sf):
 
 
 def q_table_inventory(spark, sf):
-    return quality.table_inventory(spark, workbook(spark, sf), R.TABLE_NAMES).select("table_name", "row_count")
+    return quality.table_inventory(spark, workbook(spark, sf), R.TABLE_NAMES)
+
+
+def q_quality_incomplete(spark, sf):
+    """A workbook without one table and without two columns of another (DQ-1, DQ-2)."""
+    book = {n: d for n, d in workbook(spark, sf).items() if n != "fact_balanco_mensal"}
+    book["fact_transacoes"] = book["fact_transacoes"].drop("parcela_compra", "valor_euro_dashboard")
+    return quality.quality_issues(spark, book, R.TABLE_NAMES, RULES)
+
+
+def q_quality_status(spark, sf):
+    """The overall status (DQ-8) of the whole workbook and of one sound table."""
+    whole = quality.quality_status(quality.quality_issues(spark, workbook(spark, sf), R.TABLE_NAMES, RULES))
+    sound = quality.quality_status(quality.quality_issues(spark, workbook(spark, sf), ("dim_meses",), RULES))
+    return A.union_all(whole.withColumn("scope", F.lit("workbook")), sound.withColumn("scope", F.lit("dim_meses")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

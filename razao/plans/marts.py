@@ -33,22 +33,39 @@ def monthly_revenue(dim_months: DataFrame, periods=None) -> DataFrame:
     by period first so a repeated month cannot fan out a join (D9)."""
     col = S.revenue_column(dim_months)
     if col is None or S.PERIOD not in dim_months.columns:
-        return dim_months.sparkSession.createDataFrame([], f"{S.PERIOD} string, revenue decimal(38,4)")
+        return dim_months.sparkSession.createDataFrame([], f"{S.PERIOD} string, revenue decimal(38,8)")
     src = FL.period_filter(dim_months, periods)
     return src.where(F.col(S.PERIOD).isNotNull()).groupBy(S.PERIOD).agg(sum0(F.col(col)).alias("revenue"))
 
 
 # ------------------------------------------------------------------ MRT-1
 
-def cash_flow_monthly(ledger: DataFrame, dim_months: DataFrame, periods=None,
-                      rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
+def cash_per_period(ledger: DataFrame, rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
+    """Cash out per period (the NULL period kept, for the year total): a row per month, which the
+    series, the change window and the year total all read. Lazy; a caller that needs several of
+    them computes it once and passes it to each as ``per_period``."""
+    return C.cash_costs(ledger, rules).groupBy(S.PERIOD).agg(sum0(F.col(rules.roles.amount)).alias("cash_out"))
+
+
+def _cash_flow_series(per_period: DataFrame, dim_months: DataFrame) -> DataFrame:
+    """Exact (decimal) revenue, cash out and balance of every month with cash rows, change in double."""
+    monthly = per_period.where(F.col(S.PERIOD).isNotNull())
+    out = (monthly.join(monthly_revenue(dim_months), S.PERIOD, "left")
+           .withColumn("revenue", F.coalesce(F.col("revenue"), F.lit(0)))
+           .withColumn("balance", F.col("revenue") - F.col("cash_out")))
+    return A.with_change(out, "cash_out").drop("change_pct", "direction")
+
+
+def cash_flow_monthly(ledger: DataFrame | None, dim_months: DataFrame, periods=None,
+                      rules: LedgerRules = DEFAULT_RULES, per_period: DataFrame | None = None) -> DataFrame:
     """MRT-1 series: per period revenue, cash out, balance, % of revenue consumed
     and the change of cash out vs the previous month.
 
     The change is computed over all months before the selection is applied,
     so a single selected month still shows it (D17).
     """
-    out = _cash_flow_series(ledger, dim_months, periods, rules)
+    per_period = cash_per_period(ledger, rules) if per_period is None else per_period
+    out = FL.period_filter(_cash_flow_series(per_period, dim_months), periods)
     return out.select(
         S.PERIOD, month_label(F.col(S.PERIOD)).alias(S.PERIOD_LABEL),
         _dbl(F.col("revenue")).alias("revenue"), _dbl(F.col("cash_out")).alias("cash_out"),
@@ -58,47 +75,34 @@ def cash_flow_monthly(ledger: DataFrame, dim_months: DataFrame, periods=None,
     ).orderBy(S.PERIOD)
 
 
-def _cash_per_period(ledger: DataFrame, rules: LedgerRules) -> DataFrame:
-    """Cash out per period (the NULL period kept, for the year total), computed
-    once into the shared checkpoint folder: a row per month, which the series,
-    the change window and the year total all read."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(ledger.sparkSession)
-    cash = C.cash_costs(ledger, rules)
-    return cash.groupBy(S.PERIOD).agg(sum0(F.col(rules.roles.amount)).alias("cash_out")).checkpoint(eager=True)
-
+def cash_flow_summary(ledger: DataFrame | None, dim_months: DataFrame, periods=None,
+                      rules: LedgerRules = DEFAULT_RULES, per_period: DataFrame | None = None) -> DataFrame:
+    """MRT-1 metrics of a selection: revenue (AGG-13), cash out, balance, % consumed, monthly mean
+    (AGG-10), latest month (WIN-7), year total, and for one month its change vs the month before.
 
-def _cash_flow_series(ledger: DataFrame, dim_months: DataFrame, periods, rules: LedgerRules,
-                      per_period: DataFrame | None = None) -> DataFrame:
-    """Exact (decimal) per-period revenue, cash out and balance, change in double."""
-    per_period = per_period if per_period is not None else _cash_per_period(ledger, rules)
+    Revenue comes from the selected months of the revenue table, whether they have cash rows or
+    not. Without a selection the last month with cash rows is the selection.
+    """
+    periods = [p for p in (periods or []) if p]
+    per_period = cash_per_period(ledger, rules) if per_period is None else per_period
     monthly = per_period.where(F.col(S.PERIOD).isNotNull())
-    rev = monthly_revenue(dim_months)
-    out = (monthly.join(rev, S.PERIOD, "left")
-           .withColumn("revenue", F.coalesce(F.col("revenue"), F.lit(0)))
-           .withColumn("balance", F.col("revenue") - F.col("cash_out")))
-    out = A.with_change(out, "cash_out").drop("change_pct", "direction")
-    return FL.period_filter(out, periods)
-
-
-def cash_flow_summary(ledger: DataFrame, dim_months: DataFrame, periods=None,
-                      rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
-    """MRT-1 metrics for a selection: revenue, cash out, balance, % consumed,
-    monthly mean (AGG-10), latest month (WIN-7) and the year total."""
-    per_period = _cash_per_period(ledger, rules)
-    series = _cash_flow_series(ledger, dim_months, periods, rules, per_period)
+    if periods:
+        chosen = F.col(S.PERIOD).isin(periods)
+    else:
+        chosen = F.col(S.PERIOD) == monthly.select(F.max(S.PERIOD)).scalar()
+    one = len(set(periods)) < 2
     year_total = per_period.select(_dbl(sum0(F.col("cash_out")))).scalar()
-    agg = series.agg(
-        sum0(F.col("revenue")).alias("rev"), sum0(F.col("cash_out")).alias("cash"),
-        A.mean(F.col("cash_out")).alias("mean_monthly_cash_out"),
-        F.max_by("cash_out", S.PERIOD).alias("latest"),
-        F.count(F.lit(1)).alias("months"))
-    return agg.select(
+    revenue = monthly_revenue(dim_months).where(chosen).select(sum0(F.col("revenue"))).scalar()
+    agg = A.with_change(monthly, "cash_out").where(chosen).agg(
+        sum0(F.col("cash_out")).alias("cash"), A.mean(F.col("cash_out")).alias("mean_monthly_cash_out"),
+        F.max_by("cash_out", S.PERIOD).alias("latest"), F.count(F.lit(1)).alias("months"),
+        (F.max("change") if one else F.lit(None).cast("double")).alias("change_vs_previous"))
+    return agg.withColumn("rev", revenue).select(
         _dbl(F.col("rev")).alias("revenue"), _dbl(F.col("cash")).alias("cash_out"),
         "mean_monthly_cash_out", _dbl(F.col("latest")).alias("latest_cash_out"), "months",
         year_total.alias("year_total"),
         _dbl(F.col("rev") - F.col("cash")).alias("balance"),
-        guarded_pct(F.col("cash"), F.col("rev")).alias("consumed_pct"))
+        guarded_pct(F.col("cash"), F.col("rev")).alias("consumed_pct"), "change_vs_previous")
 
 
 # ------------------------------------------------------------------ MRT-2
@@ -175,8 +179,8 @@ def transaction_metrics(rows: DataFrame, rules: LedgerRules = DEFAULT_RULES, ord
     """MRT-3 metrics: row count, total, alternate-currency total and the largest
     absolute amount with its description cut to 32 characters (AGG-12)."""
     r = rules.roles
-    amount = F.col(r.amount) if r.amount in rows.columns else F.lit(None).cast("decimal(18,4)")
-    alt = F.col(r.amount_alt) if r.amount_alt in rows.columns else F.lit(None).cast("decimal(18,4)")
+    amount = F.col(r.amount) if r.amount in rows.columns else F.lit(None).cast("decimal(28,8)")
+    alt = F.col(r.amount_alt) if r.amount_alt in rows.columns else F.lit(None).cast("decimal(28,8)")
     label = F.col(r.description).cast("string") if r.description in rows.columns else F.lit(None).cast("string")
     tie = -F.col(order_col).cast("long") if order_col else F.lit(0)
     pick = F.max_by(F.struct(amount.alias("v"), label.alias("l")),
@@ -198,28 +202,25 @@ def accrual_with_card(ledger: DataFrame, rules: LedgerRules = DEFAULT_RULES) ->
     return A.union_all(C.accrual_costs(ledger, rules), A.card_statement(ledger, rules))
 
 
-def category_period_sums(ledger: DataFrame, periods=None, rules: LedgerRules = DEFAULT_RULES,
-                         compute_once: bool = True) -> DataFrame:
+def category_period_sums(ledger: DataFrame, periods=None, rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
     """MRT-4 base, aggregated first: accrual costs (after the shared-home share)
     per (period, category) plus the card statement per period as one more
     category (SET-1). Two column-pruned scans and two partial aggregations.
 
     The result has one row per (period, category), bounded by the calendar
-    times the category list, not by the ledger. With ``compute_once`` it is
-    checkpointed (eagerly, into the shared ``spark.checkpoint.dir``), so the
-    ranking, totals, subqueries and fallbacks built on it read these few rows
-    instead of scanning the ledger again each.
+    times the category list, not by the ledger. It is lazy; a caller that
+    needs several category metrics computes it once (a written table) and
+    passes it to each of them as ``sums``.
     """
     cat, amount = rules.roles.category, rules.roles.amount
     scoped = FL.period_filter(ledger, periods)
     acc = C.accrual_costs(scoped, rules).groupBy(S.PERIOD, cat).agg(sum0(F.col(amount)).alias("value"))
     card = A.card_statement(scoped, rules).select(S.PERIOD, cat, F.col(amount).alias("value"))
-    out = A.union_all(acc, card)
-    if compute_once:
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(out.sparkSession)
-        out = out.checkpoint(eager=True)
-    return out
+    return A.union_all(acc, card)
+
+
+def _sums(ledger: DataFrame | None, periods, rules: LedgerRules, sums: DataFrame | None) -> DataFrame:
+    return category_period_sums(ledger, periods, rules) if sums is None else FL.period_filter(sums, periods)
 
 
 def _visible(sums: DataFrame, rules: LedgerRules, show_technical: bool = False) -> DataFrame:
@@ -227,12 +228,12 @@ def _visible(sums: DataFrame, rules: LedgerRules, show_technical: bool = False)
     return FL.exclude_technical(sums, rules, show_technical)
 
 
-def category_ranking(ledger: DataFrame, periods=None, show_technical: bool = False,
-                     rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
+def category_ranking(ledger: DataFrame | None, periods=None, show_technical: bool = False,
+                     rules: LedgerRules = DEFAULT_RULES, sums: DataFrame | None = None) -> DataFrame:
     """MRT-4: accrual + card spend by category, technical categories hidden
     unless nothing else is left, largest first, with the accrual note."""
     cat = rules.roles.category
-    by_cat = _category_sums(_visible(category_period_sums(ledger, periods, rules), rules, show_technical), rules)
+    by_cat = _category_sums(_visible(_sums(ledger, periods, rules, sums), rules, show_technical), rules)
     return (by_cat.select(F.col(cat).alias("category"), _dbl(F.col("value")).alias("value"),
                           C.category_note(F.col(cat), "accrual").alias("note"))
             .orderBy(desc_last("value"), asc_last("category")))
@@ -247,12 +248,12 @@ def _periods_present(df: DataFrame) -> DataFrame:
     return df.where(p.isNotNull() & (p != "")).select(S.PERIOD).distinct()
 
 
-def category_headline(ledger: DataFrame, dim_months: DataFrame, periods=None, k: int = 3,
-                      rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
+def category_headline(ledger: DataFrame | None, dim_months: DataFrame, periods=None, k: int = 3,
+                      rules: LedgerRules = DEFAULT_RULES, sums: DataFrame | None = None) -> DataFrame:
     """MRT-4 metrics: leader, top-k total and names, spend, revenue of the periods
     present and the % of revenue committed."""
     cat = rules.roles.category
-    sums_all = category_period_sums(ledger, periods, rules)
+    sums_all = _sums(ledger, periods, rules, sums)
     visible = _visible(sums_all, rules)
     top = A.top_k(_category_sums(visible, rules).withColumnRenamed(cat, "category"), k, "value", "category")
     rev = monthly_revenue(dim_months).join(_periods_present(sums_all), S.PERIOD, "left_semi")
@@ -269,15 +270,23 @@ def category_headline(ledger: DataFrame, dim_months: DataFrame, periods=None, k:
             .withColumn("committed_pct", guarded_pct(F.col("spent"), F.col("revenue"))))
 
 
-def category_evolution(ledger: DataFrame, dim_months: DataFrame, categories=None, periods=None,
-                       with_revenue: bool = True, rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
+DEFAULT_COMPARED = 5
+
+
+def category_evolution(ledger: DataFrame | None, dim_months: DataFrame, categories=None, periods=None,
+                       with_revenue: bool = True, rules: LedgerRules = DEFAULT_RULES,
+                       sums: DataFrame | None = None) -> DataFrame:
     """MRT-4: spend per (period, category) for the chosen categories, plus the
-    monthly revenue as its own series (SET-2)."""
+    monthly revenue as its own series (SET-2). Without a choice the five
+    largest categories are compared."""
     cat = rules.roles.category
-    sums_all = category_period_sums(ledger, periods, rules)
+    sums_all = _sums(ledger, periods, rules, sums)
     visible = _visible(sums_all, rules)
     if categories:
         visible = visible.where(F.col(cat).isin(list(categories)))
+    else:
+        largest = A.top_k(_category_sums(visible, rules), DEFAULT_COMPARED, "value", cat)
+        visible = FL.semi_join_values(visible, cat, largest.select(cat))
     evo = A.sum_by(visible, [S.PERIOD, cat], "value", "value").select(
         S.PERIOD, F.col(cat).alias("category"), _dbl(F.col("value")).alias("value"))
     if with_revenue:
@@ -289,10 +298,17 @@ def category_evolution(ledger: DataFrame, dim_months: DataFrame, categories=None
             .orderBy(S.PERIOD, "category"))
 
 
-def category_revenue_table(ledger: DataFrame, dim_months: DataFrame, periods=None, show_technical: bool = False,
-                           rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
+def category_means(evolution: DataFrame) -> DataFrame:
+    """AGG-10 per series of an evolution: the mean of its months."""
+    exact = evolution.withColumn("value", F.col("value").cast("decimal(28,8)"))  # no order of summation matters
+    out = A.mean_by(exact, "category", "value")
+    return out.withColumn("mean_text", format_money(F.col("mean"))).orderBy("category")
+
+
+def category_revenue_table(ledger: DataFrame | None, dim_months: DataFrame, periods=None, show_technical: bool = False,
+                           rules: LedgerRules = DEFAULT_RULES, sums: DataFrame | None = None) -> DataFrame:
     """MRT-6 over the aggregated category frame (see :func:`category_revenue`)."""
-    visible = _visible(category_period_sums(ledger, periods, rules), rules, show_technical)
+    visible = _visible(_sums(ledger, periods, rules, sums), rules, show_technical)
     return category_revenue(visible, dim_months, rules, value_col="value")
 
 
@@ -342,7 +358,7 @@ def receivable_rows(items: DataFrame, rules: LedgerRules = DEFAULT_RULES) -> Dat
     """MRT-7 detail rows: non-total items with a receivable term; rebates are
     negative, house items positive; the period travels with the label (D15)."""
     value_col = S.value_column(items, rules.roles.amount, rules.roles.value_terms)
-    schema = (f"{S.PERIOD} string, {S.PERIOD_LABEL} string, item string, kind string, value decimal(38,4), "
+    schema = (f"{S.PERIOD} string, {S.PERIOD_LABEL} string, item string, kind string, value decimal(38,8), "
               "row_order int, item_text_norm string")
     if value_col is None:
         return items.sparkSession.createDataFrame([], schema)
@@ -365,19 +381,25 @@ def receivable_rows(items: DataFrame, rules: LedgerRules = DEFAULT_RULES) -> Dat
 
 
 def receivable_statement(items: DataFrame, rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
-    """MRT-7 + AGG-8: detail rows aggregated per (month, item, kind) plus one
-    total row per month, in period order."""
-    rows = receivable_rows(items, rules)
-    detail = (rows.groupBy(S.PERIOD, S.PERIOD_LABEL, "item", "kind", "row_order")
-              .agg(sum0(F.col("value")).alias("value")))
+    """MRT-7 + AGG-8: every detail row as it is, and one total row per month, in period order."""
+    rows = receivable_rows(items, rules).drop("item_text_norm")
     totals = (rows.groupBy(S.PERIOD, S.PERIOD_LABEL).agg(sum0(F.col("value")).alias("value"))
               .select(S.PERIOD, S.PERIOD_LABEL, F.lit(R.RECEIVABLE_TOTAL_ITEM).alias("item"),
                       F.lit(R.RECEIVABLE_TOTAL_TYPE).alias("kind"), F.lit(2).alias("row_order"), "value"))
-    return (A.union_all(detail, totals)
+    return (A.union_all(rows, totals)
             .select(S.PERIOD, S.PERIOD_LABEL, "item", "kind", _dbl(F.col("value")).alias("value"), "row_order")
             .orderBy(asc_last(S.PERIOD), "row_order", "item"))
 
 
+def receivable_view(items: DataFrame, rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
+    """MRT-7 detail by group (FLT-18): months, groups and types (SRT-5) in their fixed orders, then items."""
+    rows = receivable_rows(items, rules)
+    group = C.receivable_group(F.col("item_text_norm"), F.col("kind"), F.col("value"), rules, item_normalized=True)
+    return (rows.select(group.alias("group"), S.PERIOD, S.PERIOD_LABEL, "item", "kind", _dbl(F.col("value")).alias("value"),
+                        A.rank_of(F.col("kind"), rules.type_order).alias("type_order"))
+            .orderBy(asc_last(S.PERIOD), "group", "type_order", "item"))
+
+
 def receivable_totals(items: DataFrame, rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
     """MRT-7 monthly totals with change vs the previous month (WIN-1, WIN-2)."""
     rows = receivable_rows(items, rules)
@@ -421,7 +443,7 @@ def house_costs(rent: DataFrame, ledger: DataFrame, rules: LedgerRules = DEFAULT
     """MRT-9: rent items plus ledger rows of the house raw category, each tagged
     with its source, total lines removed."""
     r = rules.roles
-    cols = f"{S.PERIOD} string, {S.PERIOD_LABEL} string, rubrica string, valor_real_dashboard decimal(38,4), fonte_dado string"
+    cols = f"{S.PERIOD} string, {S.PERIOD_LABEL} string, rubrica string, valor_real_dashboard decimal(38,8), fonte_dado string"
     parts = []
     if rent.columns:
         clean = rent.where(~flag_or(rent, S.IS_TOTAL))
@@ -476,22 +498,20 @@ def item_summary(items: DataFrame, utilities_from: DataFrame | None = None, item
     when a utility table is given, utilities as % of the total."""
     r = rules.roles
     value_col = S.value_column(items, r.amount, r.value_terms)
+    if value_col is None or S.PERIOD not in items.columns:
+        extra = ", utilities double, utilities_pct double" if utilities_from is not None else ""
+        return items.sparkSession.createDataFrame(
+            [], f"total double, distinct_items long, last_month double, monthly_mean double{extra}")
     clean = items.where(~flag_or(items, S.IS_TOTAL))
     item_col = S.item_column(clean, item_fallback, r.item_candidates)
-    # One aggregation per period (the NULL period kept for the total), computed
-    # once: a few rows per month that the total, last month and mean all read.
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(items.sparkSession)
-    per_period = clean.groupBy(S.PERIOD).agg(sum0(F.col(value_col)).alias("value")).checkpoint(eager=True)
-    monthly = per_period.where(F.col(S.PERIOD).isNotNull())
+    # One aggregation per period (the NULL period kept for the total) gives the total, last month and mean.
+    per_period = clean.groupBy(S.PERIOD).agg(sum0(F.col(value_col)).alias("value"))
+    month = F.when(F.col(S.PERIOD).isNotNull(), F.col("value"))
     count = F.count_distinct(F.col(item_col)) if item_col else F.count(F.lit(1))
-    totals = clean.agg(count.alias("distinct_items"))
-    total = per_period.select(_dbl(sum0(F.col("value")))).scalar()
-    last_month = monthly.select(F.max_by("value", S.PERIOD)).scalar()
-    mean = monthly.select(A.mean(F.col("value"))).scalar()
-    out = (totals.select(total.alias("total"), "distinct_items")
-           .withColumn("last_month", _dbl(F.coalesce(last_month, F.lit(0))))
-           .withColumn("monthly_mean", F.coalesce(mean, F.lit(0.0))))
+    out = per_period.agg(
+        _dbl(sum0(F.col("value"))).alias("total"), clean.select(count).scalar().alias("distinct_items"),
+        _dbl(F.coalesce(F.max_by(month, S.PERIOD), F.lit(0))).alias("last_month"),
+        F.coalesce(A.mean(month), F.lit(0.0)).alias("monthly_mean"))
     if utilities_from is not None:
         util = _utility_sums(utilities_from, rules).select(_dbl(sum0(F.col("value")))).scalar()
         out = out.withColumn("utilities", util).withColumn(
@@ -506,6 +526,10 @@ def item_detail(items: DataFrame, item_fallback: str = "item", by_source: bool =
     value_col = S.value_column(items, r.amount, r.value_terms)
     clean = items.where(~flag_or(items, S.IS_TOTAL))
     item_col = S.item_column(clean, item_fallback, r.item_candidates)
+    if value_col is None or item_col is None or S.PERIOD not in items.columns:
+        source = "fonte_dado string, " if by_source and "fonte_dado" in clean.columns else ""
+        return items.sparkSession.createDataFrame(
+            [], f"{S.PERIOD} string, {S.PERIOD_LABEL} string, item string, {source}value double, value_text string")
     keys = [S.PERIOD, S.PERIOD_LABEL, item_col] + (["fonte_dado"] if by_source and "fonte_dado" in clean.columns else [])
     out = (clean.where(F.col(item_col).isNotNull()).groupBy(*keys).agg(sum0(F.col(value_col)).alias("value"))
            .withColumnRenamed(item_col, "item"))
@@ -524,15 +548,20 @@ def bet_ledger(ledger: DataFrame, betting: DataFrame | None = None, key: str = S
     summed in one pass (JON-2). When the ledger has none, the betting table
     is used instead, classified by its type text (D13); the caller passes it
     already filtered (D14). The switch is an EXISTS subquery, decided on the
-    cluster. ``key`` may name another grain (e.g. a day column).
+    cluster. ``key`` may name another grain (e.g. a day column); the running
+    balance orders its values in one task, so it must be one whose values are
+    bounded by the calendar.
     """
     amount = rules.roles.amount
     primary = _bet_primary(ledger, key, rules)
     if betting is None:
         out = primary
     else:
-        fallback = _bet_fallback(betting, key, rules)
-        out = primary.unionByName(fallback.where(~primary.exists())) if primary is not None else fallback
+        if primary is None:
+            out = _bet_fallback(betting, key, rules)
+        else:  # tested on the fallback's rows, below its aggregation
+            unused = betting.where(~_bet_rows(ledger, key).exists())
+            out = primary.unionByName(_bet_fallback(unused, key, rules))
     out = out.withColumn("balance", F.col("returned") - F.col("staked"))
     out = A.running_sum(out, "balance", "running_balance", key)
     return out.select(
@@ -542,20 +571,24 @@ def bet_ledger(ledger: DataFrame, betting: DataFrame | None = None, key: str = S
     ).orderBy(S.PERIOD)
 
 
+def _bet_rows(ledger: DataFrame, key: str) -> DataFrame:
+    return ledger.where((F.col(S.IS_STAKE) | F.col(S.IS_PAYOUT)) & ~flag_or(ledger, S.IS_TOTAL) & F.col(key).isNotNull())
+
+
 def _bet_primary(ledger: DataFrame, key: str, rules: LedgerRules):
     amount = rules.roles.amount
     need = {S.IS_STAKE, S.IS_PAYOUT, amount, key}
     if not need.issubset(ledger.columns):
         return None
-    rows = ledger.where((F.col(S.IS_STAKE) | F.col(S.IS_PAYOUT)) & ~flag_or(ledger, S.IS_TOTAL)
-                        & F.col(key).isNotNull())
-    return rows.groupBy(key).agg(sum0(F.when(F.col(S.IS_STAKE), F.col(amount))).alias("staked"),
+    return _bet_rows(ledger, key).groupBy(key).agg(sum0(F.when(F.col(S.IS_STAKE), F.col(amount))).alias("staked"),
                                  sum0(F.when(F.col(S.IS_PAYOUT), F.col(amount))).alias("returned"))
 
 
 def _bet_fallback(betting: DataFrame, key: str, rules: LedgerRules) -> DataFrame:
     r = rules.roles
     value_col = S.value_column(betting, r.amount, r.value_terms)
+    if value_col is None or key not in betting.columns:
+        return betting.sparkSession.createDataFrame([], f"{key} string, staked decimal(38,8), returned decimal(38,8)")
     clean = betting.where(~flag_or(betting, S.IS_TOTAL))
     kind = S.norm(r.kind) if S.norm(r.kind) in clean.columns else S.norm(r.description)
     text = F.coalesce(F.col(kind), F.lit("")) if kind in clean.columns else F.lit("")

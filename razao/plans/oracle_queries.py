@@ -3,14 +3,14 @@ truth CTEs). Keys and column names match ``plans.catalogue.QUERIES``."""
 
 from __future__ import annotations
 
-from .. import rules as R
 from . import catalogue as K
-from .oracle import BETS, ITEMS, LEDGER, REVENUE, in_list, label, label_or_empty, norm, q, with_ctes
+from .oracle import (ISSUE_NO_AMOUNT, ISSUE_NO_CATEGORY, ISSUE_NO_MONTH, ISSUE_TOTAL_LINES, BETS, ITEMS, LEDGER, REVENUE, in_list, label, label_or_empty, norm, q, with_ctes,
+                     ACCRUAL_NOTES, ACCRUAL_NOTE_TEMPLATE, CASH_NOTES, CASH_NOTE_DEFAULT, FALSY, GROUP_EXCLUSIVE, HOUSE_SOURCE_TX, RECEIVABLE_HOUSE_TYPE, RECEIVABLE_REBATE_TYPE, RECEIVABLE_TOTAL_ITEM, RECEIVABLE_TOTAL_TYPE, TECHNICAL_CATEGORIES, TRUTHY)
 
 RECEIVABLE_RE = "aluguel|aluguer|alugue|condominio|iptu|internet|tv|seguro telemovel|celular|telefone|telemovel|movel|wellhub|gympass|gym pass|luz|gas"
 REBATE_RE = "\\b(wellhub|gym\\s*pass|gympass|gypass)\\b"
 NON_BET = "NOT (is_stake OR is_payout OR category_n IN ('bet', 'bet retorno'))"
-TECH = f"NOT coalesce(category IN {in_list(R.TECHNICAL_CATEGORIES)}, false)"
+TECH = f"NOT coalesce(category IN {in_list(TECHNICAL_CATEGORIES)}, false)"
 
 
 def brl(expr: str, symbol: str = "R$") -> str:
@@ -27,13 +27,13 @@ def guarded(part: str, whole: str) -> str:
 
 
 def cash_note(c: str) -> str:
-    whens = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in R.CASH_NOTES)
-    return f"CASE {c} {whens} ELSE {q(R.CASH_NOTE_DEFAULT)} END"
+    whens = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in CASH_NOTES)
+    return f"CASE {c} {whens} ELSE {q(CASH_NOTE_DEFAULT)} END"
 
 
 def accrual_note(c: str) -> str:
-    whens = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in R.ACCRUAL_NOTES)
-    head, tail = R.ACCRUAL_NOTE_TEMPLATE
+    whens = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in ACCRUAL_NOTES)
+    head, tail = ACCRUAL_NOTE_TEMPLATE
     return f"CASE {c} {whens} ELSE {q(head)} || lower({c}) || {q(tail)} END"
 
 
@@ -52,15 +52,23 @@ rr AS (SELECT period, item, item_n, amount,
        FROM I WHERE NOT is_total_line AND (regexp_matches(item_n, '{RECEIVABLE_RE}')
                                            OR regexp_matches(item_n, '{REBATE_RE}'))),
 rows AS (SELECT period, {label('period')} AS period_label, item,
-                CASE WHEN is_rebate THEN {q(R.RECEIVABLE_REBATE_TYPE)} ELSE {q(R.RECEIVABLE_HOUSE_TYPE)} END AS kind,
+                CASE WHEN is_rebate THEN {q(RECEIVABLE_REBATE_TYPE)} ELSE {q(RECEIVABLE_HOUSE_TYPE)} END AS kind,
                 CASE WHEN is_rebate THEN -abs(coalesce(amount, 0)) ELSE abs(coalesce(amount, 0)) END AS value,
                 CASE WHEN is_rebate THEN 1 ELSE 0 END AS row_order, item_n
          FROM rr)"""
 
+RECEIVABLE_GROUPS = f""",
+g AS (SELECT *, CASE WHEN lower(kind) = 'total' THEN 'Total'
+                     WHEN value < 0 OR contains(lower(strip_accents(kind)), 'abatimento') OR contains(item_n, 'wellhub')
+                       THEN 'Abatimentos'
+                     WHEN regexp_matches(item_n, 'seguro telemovel|seguro celular|f1 tv') THEN {q(GROUP_EXCLUSIVE)}
+                     WHEN lower(strip_accents(kind)) = 'custo de casa' THEN 'Custos partilhados'
+                     ELSE 'Outros itens' END AS grp FROM rows)"""
+
 HOUSE = f""",
 house AS (SELECT period, item AS rubrica, amount AS value, 'fact_aluguel' AS fonte_dado FROM I
           UNION ALL
-          SELECT period, description, amount, {q(R.HOUSE_SOURCE_TX)} FROM L
+          SELECT period, description, amount, {q(HOUSE_SOURCE_TX)} FROM L
           WHERE raw_category_n = 'custos marta' AND NOT is_total_line)"""
 
 UTILITY = f""",
@@ -81,6 +89,33 @@ series AS (SELECT m.period, coalesce(rv.revenue, 0) AS revenue, m.cash_out,
            FROM m LEFT JOIN rv USING (period))"""
 
 
+def _summary(chosen: str, one: bool) -> str:
+    change = "max(change)" if one else "CAST(NULL AS DOUBLE)"
+    return LR + CASH_SERIES + f""",
+sel AS (SELECT * FROM series WHERE {chosen}),
+rsel AS (SELECT coalesce(sum(revenue), 0) AS revenue FROM R WHERE {chosen})
+SELECT CAST((SELECT revenue FROM rsel) AS DOUBLE) AS revenue, CAST(coalesce(sum(cash_out), 0) AS DOUBLE) AS cash_out,
+       CAST(sum(cash_out) AS DOUBLE) / count(cash_out) AS mean_monthly_cash_out,
+       CAST(arg_max(cash_out, period) AS DOUBLE) AS latest_cash_out, count(*) AS months,
+       (SELECT CAST(coalesce(sum(cost), 0) AS DOUBLE) FROM cash) AS year_total,
+       CAST((SELECT revenue FROM rsel) - coalesce(sum(cash_out), 0) AS DOUBLE) AS balance,
+       {guarded('coalesce(sum(cash_out), 0)', '(SELECT revenue FROM rsel)')} AS consumed_pct,
+       {change} AS change_vs_previous
+FROM sel"""
+
+
+def _evolution(chosen: str) -> str:
+    return LR + ACC + f""",
+big AS (SELECT category FROM (SELECT category, sum(v) AS t FROM abase WHERE category IS NOT NULL GROUP BY category) ORDER BY t DESC, category LIMIT 5),
+sel AS (SELECT * FROM abase WHERE category IN {chosen}),
+present AS (SELECT DISTINCT period FROM acc WHERE period IS NOT NULL AND period <> ''),
+e AS (SELECT period, category, CAST(sum(v) AS DOUBLE) AS value, sum(v) AS exact FROM sel
+      WHERE period IS NOT NULL AND category IS NOT NULL GROUP BY period, category
+      UNION ALL
+      SELECT period, 'Receita mensal', CAST(sum(revenue) AS DOUBLE), sum(revenue) FROM R
+      WHERE period IN (SELECT period FROM present) GROUP BY period)"""
+
+
 def _bet_fallback(exclusive: bool) -> str:
     stake = "regexp_matches(kind, 'bet|aposta|invest')"
     payout = "regexp_matches(kind, 'retorno|levant|saque')"
@@ -109,6 +144,16 @@ def _issue(table: str, count_sql: str, suffix: str) -> str:
             f"FROM ({count_sql}) t(n) WHERE n > 0")
 
 
+ISSUES = [
+    _issue("fact_transacoes", "SELECT count(*) FROM L WHERE is_total_line", ISSUE_TOTAL_LINES),
+    _issue("fact_transacoes", "SELECT count(*) FROM L WHERE amount IS NULL", ISSUE_NO_AMOUNT),
+    f"SELECT 'fact_transacoes', 'aviso', {q(ISSUE_NO_CATEGORY)} FROM (SELECT count(*) AS n FROM L "
+    "WHERE coalesce(trim(category), '') = '') t WHERE n > 0",
+    _issue("dim_categorias", "SELECT count(*) FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey", ISSUE_NO_MONTH),
+    _issue("fact_marta", "SELECT count(*) FROM I WHERE is_total_line", ISSUE_TOTAL_LINES),
+    _issue("README_modelo", "SELECT count(*) FROM region", ISSUE_NO_MONTH),
+]
+
 SQL: dict[str, str] = {
     "header_standardize": "SELECT n_nationkey AS codigo_da_nacao, n_name AS nome_pais, n_regionkey AS regiao_no, "
                           "n_name AS nome_pais_2 FROM nation",
@@ -124,8 +169,12 @@ SELECT 'fact_marta' AS table_name, 'valor_real_dashboard' AS value_column, 'item
 UNION ALL SELECT 'fact_aluguel', 'valor_real_dashboard', 'rubrica', count(*), CAST(sum(amount) AS DOUBLE),
        count(DISTINCT item) FROM I
 UNION ALL SELECT 'dim_meses', 'receita_salario', NULL, count(*), CAST(sum(revenue) AS DOUBLE), 0 FROM R""",
-    "csv_round_trip": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier",
-    "text_normalize": f"SELECT doc_id, {norm('text')} AS text_norm FROM documents",
+    "csv_round_trip": """SELECT s_suppkey, s_name, s_nationkey, s_acctbal,
+       CASE s_suppkey % 8 WHEN 0 THEN 'he said "hi", ' || s_name WHEN 1 THEN '  ' || s_name || ' '
+            WHEN 2 THEN s_name || chr(10) || 'second line' WHEN 3 THEN '"' || s_name || '",' || chr(10) || '"a","b"'
+            WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 6 THEN s_name || chr(92) ELSE s_name END AS note FROM supplier""",
+    "text_normalize": f"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN replace({norm("text || ' qqzzqq'")}, 'qqzzqq', 'TM No m2 1\u20443 Ab \u1100\u1161\u11a8')
+       ELSE {norm('text')} END AS text_norm FROM documents""",
     "text_tools": f"""SELECT conv_id, turn, substr(text, 1, 32) AS preview,
        coalesce(role IN ('user', 'assistant'), false) AS is_dialog_role,
        coalesce(regexp_matches({norm('text')}, 'pour|avec'), false) AS mentions_terms,
@@ -142,6 +191,20 @@ SELECT period,
   CASE WHEN coalesce(len(c), 0) = 0 THEN 'Todas as categorias' WHEN len(c) <= 3 THEN array_to_string(c, ', ')
        ELSE CAST(len(c) AS VARCHAR) || ' selecionados' END AS categories_summary
 FROM g""",
+    "range_summary": L + """,
+g AS (SELECT account, list_sort(list(DISTINCT period)) AS p FROM L WHERE period IS NOT NULL AND account IS NOT NULL GROUP BY account)
+SELECT account AS origem, CASE WHEN len(p) <= 3 THEN array_to_string(p, ', ') ELSE p[1] || ' a ' || p[-1] END AS months_summary FROM g""",
+    "number_parse_wide": """SELECT o_orderkey AS codigo,
+       CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderkey AS HUGEINT) * 1000000000000 + 0.25 AS DOUBLE)
+            ELSE CAST(CAST(o_orderkey % 1000000 AS DECIMAL(18,6)) / 1000000 AS DOUBLE) END AS amount,
+       CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderkey AS HUGEINT) * 1000000000000 * 1000000 + 250000 AS VARCHAR)
+            ELSE CAST(o_orderkey % 1000000 AS VARCHAR) END AS millionths FROM orders""",
+    "period_by_parts": f"""WITH o AS (SELECT o_orderkey AS codigo, strftime(CAST(o_orderdate + INTERVAL 25 YEAR AS DATE), '%Y-%m') AS period FROM orders)
+SELECT codigo, t AS source_table, period, {label('period')} AS period_label FROM o, (VALUES ('fact_parts'), ('fact_dates')) v(t)""",
+    "clean_layout": L + f""" SELECT period, count(*) AS row_count, CAST(sum(amount) AS DOUBLE) AS total FROM L
+WHERE period IN {in_list(K.SELECTED_PERIODS)} GROUP BY period""",
+    "facet_table": L + """ SELECT k AS codigo, account AS origem, category AS categoria_dashboard FROM L
+WHERE account <> 'Poupança' AND category NOT IN ('Bet', 'Bet retorno')""",
     "number_parse": L + " SELECT k AS codigo, CAST(amount AS DOUBLE) AS amount, amount < 0 AS is_negative FROM L",
     "money_format": f"""SELECT o_orderkey, {brl('o_totalprice')} AS money_text, {brl('o_totalprice / 6', '€')} AS money_alt_text,
        {pct_text('o_totalprice / 5000.0')} AS pct_text,
@@ -188,19 +251,13 @@ UNION ALL SELECT DISTINCT 'categoria_dashboard', category FROM L WHERE category
 SELECT period, {label('period')} AS period_label, CAST(revenue AS DOUBLE) AS revenue,
        CAST(cash_out AS DOUBLE) AS cash_out, CAST(revenue - cash_out AS DOUBLE) AS balance,
        {guarded('cash_out', 'revenue')} AS consumed_pct, change AS change_vs_previous FROM series""",
-    "cash_flow_month": LR + CASH_SERIES + f""",
-sel AS (SELECT * FROM series WHERE period IN ('2026-03'))
-SELECT CAST(coalesce(sum(revenue), 0) AS DOUBLE) AS revenue, CAST(coalesce(sum(cash_out), 0) AS DOUBLE) AS cash_out,
-       CAST(sum(cash_out) AS DOUBLE) / count(cash_out) AS mean_monthly_cash_out,
-       CAST(arg_max(cash_out, period) AS DOUBLE) AS latest_cash_out, count(*) AS months,
-       (SELECT CAST(coalesce(sum(cost), 0) AS DOUBLE) FROM cash) AS year_total,
-       CAST(coalesce(sum(revenue), 0) - coalesce(sum(cash_out), 0) AS DOUBLE) AS balance,
-       {guarded('coalesce(sum(cash_out), 0)', 'coalesce(sum(revenue), 0)')} AS consumed_pct
-FROM sel""",
+    "cash_flow_month": _summary("period IN ('2026-03')", one=True),
+    "cash_flow_selection": _summary(f"period IN {in_list(K.REVENUE_ONLY_PERIODS)}", one=False),
+    "cash_flow_last_month": _summary("period = (SELECT max(period) FROM m)", one=True),
     "category_top_others": L + f""",
 bc AS (SELECT category, sum(cost) AS value FROM cash WHERE category IS NOT NULL GROUP BY category),
 rk AS (SELECT *, row_number() OVER (ORDER BY value DESC, category) AS rn FROM bc),
-t AS (SELECT CASE WHEN rn <= 5 THEN category ELSE 'Outros' END AS category, sum(value) AS value FROM rk GROUP BY 1)
+t AS (SELECT CASE WHEN rn <= 2 THEN category ELSE 'Outros' END AS category, sum(value) AS value FROM rk GROUP BY 1)
 SELECT category, CAST(value AS DOUBLE) AS value, {brl('value')} AS value_text, {cash_note('category')} AS note,
        category || ' ⓘ' AS display FROM t""",
     "source_composition": L + """
@@ -235,15 +292,13 @@ h AS (SELECT arg_max(category, value) AS leader, CAST(max(value) AS DOUBLE) AS l
 x AS (SELECT (SELECT CAST(coalesce(sum(v), 0) AS DOUBLE) FROM abase) AS spent,
              (SELECT CAST(coalesce(sum(revenue), 0) AS DOUBLE) FROM R WHERE period IN (SELECT period FROM present)) AS revenue)
 SELECT h.*, x.spent, x.revenue, {guarded('x.spent', 'x.revenue')} AS committed_pct FROM h, x""",
-    "category_evolution": LR + ACC + f""",
-sel AS (SELECT * FROM abase WHERE category IN {in_list(K.EVOLUTION_CATEGORIES)}),
-present AS (SELECT DISTINCT period FROM acc WHERE period IS NOT NULL AND period <> ''),
-e AS (SELECT period, category, CAST(sum(v) AS DOUBLE) AS value FROM sel
-      WHERE period IS NOT NULL AND category IS NOT NULL GROUP BY period, category
-      UNION ALL
-      SELECT period, 'Receita mensal', CAST(sum(revenue) AS DOUBLE) FROM R
-      WHERE period IN (SELECT period FROM present) GROUP BY period)
+    "category_evolution": _evolution(in_list(K.EVOLUTION_CATEGORIES)) + f"""
+SELECT period, category, value, {label('period')} AS period_label, {brl('value')} AS value_text FROM e""",
+    "category_compared": _evolution("(SELECT category FROM big)") + f"""
 SELECT period, category, value, {label('period')} AS period_label, {brl('value')} AS value_text FROM e""",
+    "category_means": _evolution(in_list(K.EVOLUTION_CATEGORIES)) + f""",
+g AS (SELECT category, CAST(sum(CAST(value AS DECIMAL(28,8))) AS DOUBLE) / count(value) AS mean FROM e GROUP BY category)
+SELECT category, mean, {brl('mean')} AS mean_text FROM g""",
     "evolution_extent": L + ACC + f""",
 e AS (SELECT period, category, CAST(sum(v) AS DOUBLE) AS value FROM abase
       WHERE category IN {in_list(K.EVOLUTION_CATEGORIES)} AND period IS NOT NULL GROUP BY period, category),
@@ -269,10 +324,9 @@ t AS (SELECT c.period, c.category, CAST(c.value AS DOUBLE) AS value, {guarded('c
 SELECT period, {label('period')} AS period_label, category, value, revenue_pct, row_order,
        {brl('value')} AS value_text, {pct_text('revenue_pct')} AS revenue_pct_text FROM t""",
     "receivable_statement": with_ctes(ITEMS) + RECEIVABLE_ROWS + f"""
-SELECT period, period_label, item, kind, CAST(sum(value) AS DOUBLE) AS value, row_order
-FROM rows GROUP BY period, period_label, item, kind, row_order
+SELECT period, period_label, item, kind, CAST(value AS DOUBLE) AS value, row_order FROM rows
 UNION ALL
-SELECT period, period_label, {q(R.RECEIVABLE_TOTAL_ITEM)}, {q(R.RECEIVABLE_TOTAL_TYPE)}, CAST(sum(value) AS DOUBLE), 2
+SELECT period, period_label, {q(RECEIVABLE_TOTAL_ITEM)}, {q(RECEIVABLE_TOTAL_TYPE)}, CAST(sum(value) AS DOUBLE), 2
 FROM rows GROUP BY period, period_label""",
     "receivable_change": with_ctes(ITEMS) + RECEIVABLE_ROWS + """,
 tot AS (SELECT period, period_label, CAST(sum(value) AS DOUBLE) AS value FROM rows GROUP BY period, period_label),
@@ -291,17 +345,14 @@ SELECT *, CASE WHEN coalesce(first_value, 0) = 0 THEN NULL
                ELSE (last_value - first_value) / abs(first_value) * 100.0 END AS first_last_pct FROM a""",
     "receivable_months": with_ctes(ITEMS) + f"""
 SELECT DISTINCT period, {label('period')} AS period_label FROM I WHERE period IS NOT NULL""",
-    "receivable_detail": with_ctes(ITEMS) + RECEIVABLE_ROWS + f""",
-g AS (SELECT *, CASE WHEN lower(kind) = 'total' THEN 'Total'
-                     WHEN value < 0 OR contains(lower(strip_accents(kind)), 'abatimento') OR contains(item_n, 'wellhub')
-                       THEN 'Abatimentos'
-                     WHEN regexp_matches(item_n, 'seguro telemovel|seguro celular|f1 tv') THEN {q(R.GROUP_EXCLUSIVE)}
-                     WHEN lower(strip_accents(kind)) = 'custo de casa' THEN 'Custos partilhados'
-                     ELSE 'Outros itens' END AS grp FROM rows)
+    "receivable_view": with_ctes(ITEMS) + RECEIVABLE_ROWS + RECEIVABLE_GROUPS + """
+SELECT grp AS "group", period, period_label, item, kind, CAST(value AS DOUBLE) AS value,
+       CASE kind WHEN 'Custo de casa' THEN 0 WHEN 'Abatimento Wellhub' THEN 1 WHEN 'Total' THEN 2 ELSE 9 END AS type_order FROM g""",
+    "receivable_detail": with_ctes(ITEMS) + RECEIVABLE_ROWS + RECEIVABLE_GROUPS + f"""
 SELECT grp AS "group", item, kind,
        CASE WHEN GROUPING(grp, item, kind) = 0 THEN 0 WHEN GROUPING(grp, item, kind) = 7 THEN 2 ELSE 1 END AS level,
        CAST(sum(value) AS DOUBLE) AS value,
-       CASE grp WHEN 'Custos partilhados' THEN 0 WHEN {q(R.GROUP_EXCLUSIVE)} THEN 1 WHEN 'Abatimentos' THEN 2
+       CASE grp WHEN 'Custos partilhados' THEN 0 WHEN {q(GROUP_EXCLUSIVE)} THEN 1 WHEN 'Abatimentos' THEN 2
                 WHEN 'Outros itens' THEN 3 ELSE 9 END AS group_order
 FROM g GROUP BY GROUPING SETS ((grp, item, kind), (grp), ())""",
     "house_costs": LI + HOUSE + f"""
@@ -346,8 +397,8 @@ SELECT period, {label_or_empty('period')} AS period_label, strftime(date, '%d/%m
 FROM L WHERE (is_stake OR is_payout) AND NOT is_total_line""",
     "audit_summary": L + f"""
 SELECT 0 AS position, 'Linhas carregadas em fact_transacoes' AS metric, CAST(count(*) AS DOUBLE) AS value FROM L
-UNION ALL SELECT 1, 'Linhas com entra_custo_pessoal = Sim', CAST(count(*) FILTER (WHERE include_n IN {in_list(R.TRUTHY)}) AS DOUBLE) FROM L
-UNION ALL SELECT 2, 'Linhas com entra_custo_pessoal = Não', CAST(count(*) FILTER (WHERE include_n IN {in_list(R.FALSY)}) AS DOUBLE) FROM L
+UNION ALL SELECT 1, 'Linhas com entra_custo_pessoal = Sim', CAST(count(*) FILTER (WHERE include_n IN {in_list(TRUTHY)}) AS DOUBLE) FROM L
+UNION ALL SELECT 2, 'Linhas com entra_custo_pessoal = Não', CAST(count(*) FILTER (WHERE include_n IN {in_list(FALSY)}) AS DOUBLE) FROM L
 UNION ALL SELECT 3, 'Soma de valor_real_dashboard antes dos filtros', CAST(coalesce(sum(amount), 0) AS DOUBLE) FROM L
 UNION ALL SELECT 4, 'Soma de valor_real_dashboard depois dos filtros de gasto pessoal',
           CAST(coalesce(sum(amount) FILTER (WHERE is_personal_cost), 0) AS DOUBLE) FROM L""",
@@ -379,27 +430,32 @@ SELECT account AS source, count(*) AS row_count, CAST(coalesce(sum(amount), 0) A
 FROM L WHERE is_personal_cost AND account IS NOT NULL GROUP BY account""",
     "audit_sample_included": _sample("instalment AS parcela_compra", "is_personal_cost"),
     "audit_sample_excluded": _sample("exclusion_reason", "NOT is_personal_cost"),
-    "quality_report": LI + "\n" + "\nUNION ALL\n".join([
-        _issue("fact_transacoes", "SELECT count(*) FROM L WHERE is_total_line", R.ISSUE_TOTAL_LINES),
-        _issue("fact_transacoes", "SELECT count(*) FROM L WHERE amount IS NULL", R.ISSUE_NO_AMOUNT),
-        f"SELECT 'fact_transacoes', 'aviso', {q(R.ISSUE_NO_CATEGORY)} FROM (SELECT count(*) AS n FROM L "
-        "WHERE coalesce(trim(category), '') = '') t WHERE n > 0",
-        _issue("dim_categorias", "SELECT count(*) FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey",
-               R.ISSUE_NO_MONTH),
-        _issue("fact_marta", "SELECT count(*) FROM I WHERE is_total_line", R.ISSUE_TOTAL_LINES),
-        _issue("README_modelo", "SELECT count(*) FROM region", R.ISSUE_NO_MONTH),
-    ]),
+    "quality_report": LI + "\n" + "\nUNION ALL\n".join(ISSUES),
+    "quality_incomplete": LI + "\n" + "\nUNION ALL\n".join([
+        "SELECT 'fact_transacoes' AS table_name, 'aviso' AS level, "
+        "'Colunas esperadas ausentes: valor_euro_dashboard, parcela_compra' AS message",
+        "SELECT 'fact_balanco_mensal', 'erro', 'Aba não carregada.'", *ISSUES]),
+    "quality_status": LI + ", found AS (" + "\nUNION ALL\n".join(ISSUES) + """)
+SELECT CASE WHEN count(*) = 0 THEN 'OK' ELSE 'Atenção' END AS status, count(*) AS issues, 'workbook' AS scope FROM found
+UNION ALL SELECT 'OK', 0, 'dim_meses'""",
     "table_inventory": LI + """,
-ev AS (SELECT count(*) AS n FROM events WHERE event_type IN ('purchase', 'signup', 'error')),
-rv AS (SELECT count(DISTINCT strftime(CAST(l_shipdate + INTERVAL 25 YEAR AS DATE), '%Y-%m')) AS n FROM lineitem
-       WHERE month(l_shipdate) <> 12),
+ev AS (SELECT count(*) AS n FROM events),
+rv AS (SELECT count(DISTINCT strftime(CAST(l_shipdate + INTERVAL 25 YEAR AS DATE), '%Y-%m')) AS n FROM lineitem),
 bal AS (SELECT count(DISTINCT strftime(CAST(o_orderdate + INTERVAL 25 YEAR AS DATE), '%Y-%m')) AS n FROM orders)
-SELECT 'fact_transacoes' AS table_name, (SELECT count(*) FROM L) AS row_count
-UNION ALL SELECT 'dim_meses', (SELECT n FROM rv)
-UNION ALL SELECT 'dim_categorias', (SELECT count(*) FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey)
-UNION ALL SELECT 'fact_marta', (SELECT count(*) FROM I)
-UNION ALL SELECT 'fact_aluguel', (SELECT count(*) FROM I)
-UNION ALL SELECT 'fact_apostas_kto', (SELECT n FROM ev)
-UNION ALL SELECT 'fact_balanco_mensal', (SELECT n FROM bal)
-UNION ALL SELECT 'README_modelo', (SELECT count(*) FROM region)""",
+SELECT 'fact_transacoes' AS table_name, (SELECT count(*) FROM L) AS row_count,
+       'codigo, mes, data, descricao, origem, categoria_dashboard, categoria_original_excel, valor_real_dashboard, valor_euro_dashboard, entra_custo_pessoal, parcela_compra, period, period_label, descricao_norm, origem_norm, categoria_dashboard_norm, categoria_original_excel_norm, entra_custo_pessoal_norm, parcela_compra_norm, is_total_line, is_payout, is_card_settlement, include, is_stake, is_personal_cost, exclusion_reason, source_table' AS columns
+UNION ALL SELECT 'dim_meses', (SELECT n FROM rv),
+       'mes, receita_salario, period, period_label, is_total_line, source_table'
+UNION ALL SELECT 'dim_categorias', (SELECT count(*) FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey),
+       'categoria_dashboard, grupo, period, period_label, categoria_dashboard_norm, is_total_line, source_table'
+UNION ALL SELECT 'fact_marta', (SELECT count(*) FROM I),
+       'mes, item, valor_real_dashboard, period, period_label, item_norm, is_total_line, source_table'
+UNION ALL SELECT 'fact_aluguel', (SELECT count(*) FROM I),
+       'mes, rubrica, valor_real_dashboard, period, period_label, is_total_line, source_table'
+UNION ALL SELECT 'fact_apostas_kto', (SELECT n FROM ev),
+       'mes, data, tipo, descricao, valor_real_dashboard, period, period_label, descricao_norm, tipo_norm, is_total_line, source_table'
+UNION ALL SELECT 'fact_balanco_mensal', (SELECT n FROM bal),
+       'mes, receita_liquida, custo_total, period, period_label, is_total_line, source_table'
+UNION ALL SELECT 'README_modelo', (SELECT count(*) FROM region),
+       'secao, descricao, period, period_label, descricao_norm, is_total_line, source_table'""",
 }

@@ -8,6 +8,7 @@ stripped), because every match runs on normalized text.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 # --------------------------------------------------------------------------
@@ -126,6 +127,9 @@ GROUP_SHARED = "Custos partilhados"
 GROUP_OTHER = "Outros itens"
 GROUP_ORDER = (GROUP_SHARED, GROUP_EXCLUSIVE, GROUP_REBATE, GROUP_OTHER)
 TYPE_ORDER = (RECEIVABLE_HOUSE_TYPE, RECEIVABLE_REBATE_TYPE, RECEIVABLE_TOTAL_TYPE)
+TOTAL_KIND = "total"
+REBATE_KIND = "abatimento"
+REBATE_ITEM = "wellhub"
 HOUSE_RAW_CATEGORY = "custos marta"
 HOUSE_SOURCE_RENT = "fact_aluguel"
 HOUSE_SOURCE_TX = "fact_transacoes / Custos Marta"
@@ -225,6 +229,15 @@ class Roles:
     revenue_terms: tuple[str, ...] = ("salario", "receita")
     item_candidates: tuple[str, ...] = ("rubrica", "item", "descricao", "nome_custo")
 
+    @property
+    def number_name(self) -> re.Pattern:
+        """The names of money columns: a money term, or the cost term in a name that isn't the
+        include flag's; never a text column's name or a name with a text prefix."""
+        never = "|".join([*(rf"{re.escape(n)}$" for n in self.text_names), *map(re.escape, self.text_prefixes)])
+        terms = "|".join(map(re.escape, self.number_terms))
+        cost = re.escape(self.cost_term)
+        return re.compile(rf"(?!{never})(?:.*(?:{terms})|(?!entra_{cost}).*{cost})")
+
 
 @dataclass(frozen=True)
 class LedgerRules:
@@ -237,8 +250,9 @@ class LedgerRules:
 
     roles: Roles = field(default_factory=Roles)
     default_year: int = DEFAULT_YEAR
-    money_precision: int = 18
-    money_scale: int = 4
+    # Sums of this type have 38 digits, of which 30 stand before the mark.
+    money_precision: int = 28
+    money_scale: int = 8
     share_factor: str = SHARE_FACTOR
     utility_factor: int = UTILITY_FACTOR
     truthy: tuple[str, ...] = TRUTHY
@@ -261,6 +275,10 @@ class LedgerRules:
     bet_fallback_stake: str = BET_FALLBACK_STAKE
     bet_fallback_payout: str = BET_FALLBACK_PAYOUT
     house_raw_category: str = HOUSE_RAW_CATEGORY
+    total_kind: str = TOTAL_KIND
+    rebate_kind: str = REBATE_KIND
+    rebate_item: str = REBATE_ITEM
+    type_order: tuple[str, ...] = TYPE_ORDER
     paren_after_currency: bool = False
     whole_word: bool = False
     exclusive_bet_fallback: bool = False

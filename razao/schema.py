@@ -26,9 +26,9 @@ def norm(name: str) -> str:
     return name + NORM_SUFFIX
 
 
-def normalize_column_name(name) -> str:
-    """SRC-2 on one header: normalize, non-alphanumerics -> '_', trim '_'."""
-    return re.sub(r"[^a-z0-9]+", "_", normalize_py(name)).strip("_")
+def header(name) -> str:
+    """SRC-2 on one header: its runs of letters and digits, joined by '_'."""
+    return "_".join(re.findall("[a-z0-9]+", normalize_py(name)))
 
 
 def standard_names(names) -> list[str]:
@@ -36,7 +36,7 @@ def standard_names(names) -> list[str]:
     out: list[str] = []
     seen: dict[str, int] = {}
     for i, raw in enumerate(names):
-        base = normalize_column_name(raw) or f"column_{i + 1}"
+        base = header(raw) or f"column_{i + 1}"
         n = seen.get(base, 0) + 1
         seen[base] = n
         name = base if n == 1 else f"{base}_{n}"

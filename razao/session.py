@@ -1,9 +1,10 @@
 """Session helpers: a local session for tests and the bench, and the shared
-checkpoint folder read from the session (set only where it is unset)."""
+checkpoint folder read from the session."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -13,6 +14,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Small test files are one split each by default; this cuts them over the cores without a shuffle.
+    "spark.sql.files.maxPartitionBytes": "1m",
+    "spark.sql.files.openCostInBytes": "64k",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -45,24 +49,21 @@ def app_id(spark: SparkSession) -> str:
     return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "app")
 
 
-def parallelism(spark: SparkSession) -> int:
-    sc = _context(spark)
-    if sc is not None:
-        return sc.defaultParallelism
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``); a
-    scratch folder is created only when none is set, as in local tests."""
+    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+
+    On a cluster it must be set: a folder of this machine would be another one
+    on every executor. Only a session in local mode, where driver and executors
+    are one process, gets a scratch folder when none is set."""
     sc = _context(spark)
     current = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    path = tempfile.mkdtemp(prefix="razao-ckpt-", dir="/tmp")
-    if sc is not None:
-        sc.setCheckpointDir(path)
+    if sc is None or not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = tempfile.mkdtemp(prefix="razao-ckpt-")
+    sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
     return path

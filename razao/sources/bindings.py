@@ -10,11 +10,13 @@ Mappings (key ``k`` = ``o_orderkey``; dates shifted by 25 years):
 
 * ledger   ``orders`` join ``customer``: category by priority, account by status,
   description by key, include flag, money text ``R$ 1.234,56`` or ``(1.234,56)``
-  or blank, date as ``Y-m-d`` / ``d/m/Y`` / ``m/d/Y``, month as Portuguese name,
-  ``mm/yyyy``, ``yyyy-mm`` or ``abr/yyyy``;
+  or blank, date in nine shapes (ISO, day first, month first, with a time, with an
+  English month word), month as Portuguese name, ``mm/yyyy``, ``yyyy-mm``,
+  ``abr/yyyy``, a date with a time or a date in words;
 * items    ``lineitem`` join ``part``: item by the last word of the part name;
-* revenue  ``lineitem`` summed by ship month, December left out;
-* betting  ``events`` purchase / signup / error as stake / payout / withdrawal.
+* revenue  ``lineitem`` summed by ship month;
+* betting  ``events`` purchase / signup / error as stake / payout / withdrawal, any
+  other event type as its own type text.
 """
 
 from __future__ import annotations
@@ -44,14 +46,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread a stand-in sheet over the session's parallelism, as an export
-    split into many files would be (the small test files are one split each)."""
-    from ..session import parallelism
-    n = parallelism(df.sparkSession)
-    return df.repartition(n, *keys) if keys else df.repartition(n)
-
-
 def _pick(arr, idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in arr]), idx)
 
@@ -70,7 +64,7 @@ def ledger_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    j = spread(o.join(c, o.o_custkey == c.c_custkey), "o_orderkey")
+    j = o.join(c, o.o_custkey == c.c_custkey)
     k = F.col("o_orderkey")
     pri = F.col("o_orderpriority")
     d = _shifted(F.col("o_orderdate"))
@@ -102,16 +96,25 @@ def ledger_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("c_name"))
     )
     month_idx = F.month(d)
+    day_first, in_words = F.concat_ws("/", dd, mm, yy), F.date_format(d, "MMMM d, yyyy")
     month_text = (
-        F.when(k % 4 == 0, F.concat(_pick(MONTH_NAMES_PT, month_idx), F.lit(" "), yy))
-        .when(k % 4 == 1, F.concat(mm, F.lit("/"), yy))
-        .when(k % 4 == 2, F.concat(yy, F.lit("-"), mm))
-        .otherwise(F.concat(_pick(MONTH_ABBR_PT, month_idx), F.lit("/"), yy))
+        F.when(k % 6 == 0, F.concat(_pick(MONTH_NAMES_PT, month_idx), F.lit(" "), yy))
+        .when(k % 6 == 1, F.concat(mm, F.lit("/"), yy))
+        .when(k % 6 == 2, F.concat(yy, F.lit("-"), mm))
+        .when(k % 6 == 3, F.concat(_pick(MONTH_ABBR_PT, month_idx), F.lit("/"), yy))
+        .when(k % 6 == 4, F.concat(day_first, F.lit(" 10:30")))
+        .otherwise(in_words)
     )
     date_text = (
-        F.when(k % 3 == 0, F.concat_ws("-", yy, mm, dd))
-        .when((k % 3 == 2) & (dd.cast("int") > 12), F.concat_ws("/", mm, dd, yy))
-        .otherwise(F.concat_ws("/", dd, mm, yy))
+        F.when(k % 9 == 0, F.concat_ws("-", yy, mm, dd))
+        .when((k % 9 == 1) & (dd.cast("int") > 12), F.concat_ws("/", mm, dd, yy))
+        .when(k % 9 == 2, F.concat(day_first, F.lit(" 10:30")))
+        .when(k % 9 == 3, F.date_format(d, "d MMM yyyy"))
+        .when(k % 9 == 4, in_words)
+        .when(k % 9 == 5, F.date_format(d, "dd-MMM-yyyy"))
+        .when(k % 9 == 6, F.concat(F.concat_ws("-", yy, mm, dd), F.lit(" 23:59:59")))
+        .when(k % 9 == 7, F.concat_ws("/", yy, mm, dd))
+        .otherwise(day_first)
     )
     return j.select(
         k.cast("string").alias("Código"),
@@ -134,7 +137,7 @@ def items_sheet(spark: SparkSession, sf_dir: str, item_header: str = "Item") ->
     """Dirty item sheet (``fact_marta`` / ``fact_aluguel``) from line items and parts."""
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber", "l_extendedprice", "l_shipdate")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    j = spread(li.join(p, li.l_partkey == p.p_partkey), "l_partkey", "l_linenumber")
+    j = li.join(p, li.l_partkey == p.p_partkey)
     word = F.element_at(F.split(F.col("p_name"), " "), -1)
     item = F.lit(ITEM_DEFAULT)
     for w, name in reversed(ITEM_BY_WORD):
@@ -156,9 +159,7 @@ def revenue_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_discount", "l_shipdate")
     d = _shifted(F.col("l_shipdate"))
     net = F.col("l_extendedprice").cast("decimal(18,2)") * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))
-    monthly = (li.where(F.month(d) != 12)
-               .groupBy(F.date_format(d, "yyyy").alias("y"), F.month(d).alias("m"))
-               .agg(F.sum(net).alias("rev")))
+    monthly = li.groupBy(F.date_format(d, "yyyy").alias("y"), F.month(d).alias("m")).agg(F.sum(net).alias("rev"))
     return monthly.select(
         F.concat(_pick(MONTH_LABEL_PT, F.col("m")), F.lit("/"), F.col("y")).alias("Mês"),
         F.translate(F.col("rev").cast("string"), ".", ",").alias("Receita Salário"),
@@ -170,11 +171,11 @@ BET_TYPES = (("purchase", "bet"), ("signup", "bet retorno"), ("error", "levantam
 
 def betting_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dirty betting sheet (``fact_apostas_kto``) from events."""
-    e = spread(table(spark, sf_dir, "events").select("event_type", "ts", "value"), "ts")
-    kind = F.lit(None).cast("string")
+    e = table(spark, sf_dir, "events").select("event_type", "ts", "value")
+    kind = F.col("event_type")
     for ev, name in reversed(BET_TYPES):
         kind = F.when(F.col("event_type") == ev, F.lit(name)).otherwise(kind)
-    return e.where(F.col("event_type").isin([ev for ev, _ in BET_TYPES])).select(
+    return e.select(
         F.date_format("ts", "dd/MM/yyyy").alias("Mês"),
         F.date_format("ts", "yyyy-MM-dd").alias("Data"),
         kind.alias("Tipo"),

@@ -5,8 +5,9 @@ The source has no streaming operator; its only notion of freshness is a
 Streaming query that picks up new export files from a folder, runs the same
 per-row standardize job (it is stateless and narrow, so it streams as is)
 and appends clean Parquet partitioned by period. Progress lives in a
-checkpoint under the shared ``spark.checkpoint.dir``, so a restarted query
-resumes where it stopped and a lost executor only re-runs its tasks.
+checkpoint folder that the caller names and keeps for the life of the stream
+(never in one that belongs to a session), so a restarted query resumes where it
+stopped, and a lost executor only re-runs its tasks.
 """
 
 from __future__ import annotations
@@ -17,8 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema as S
 from ..rules import DEFAULT_RULES, LedgerRules
-from ..session import ensure_checkpoint_dir
-from ..sources.ingest import standardize
+from ..sources.ingest import by_period, standardize
 
 RELOAD_SECONDS = 600
 
@@ -37,14 +37,22 @@ def read_exports(spark: SparkSession, folder: str, headers, table: str,
     return standardize(reader.csv(folder), table, rules)
 
 
-def write_clean_stream(df: DataFrame, path: str, name: str, reload_seconds: int | None = RELOAD_SECONDS,
+def write_clean_stream(df: DataFrame, path: str, checkpoint: str, reload_seconds: int | None = RELOAD_SECONDS,
                        available_now: bool = False) -> StreamingQuery:
-    """Append the stream to Parquet partitioned by period; checkpoint in the shared folder."""
-    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    w = (df.writeStream.format("parquet").outputMode("append").partitionBy(S.PERIOD)
-         .option("checkpointLocation", f"{base}/razao-stream/{name}"))
+    """Append the stream to Parquet by period folders under ``path``.
+
+    ``checkpoint`` is the stream's own folder in shared storage; give the same
+    one, and the same ``path``, whenever the stream is started again. Each
+    micro-batch is gathered by period before the write, so it adds a few files a
+    period and not one for each task and period.
+    """
+    def append(batch: DataFrame, number: int) -> None:
+        # a batch that runs again after a failure replaces its own files
+        by_period(batch).write.mode("overwrite").partitionBy(S.PERIOD).parquet(f"{path}/batch={number}")
+
+    w = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(append)
     if available_now:
         w = w.trigger(availableNow=True)
     elif reload_seconds:
         w = w.trigger(processingTime=f"{reload_seconds} seconds")
-    return w.start(path)
+    return w.start()
