@@ -89,7 +89,11 @@ def test_overview(demo):
     assert round(march.consumed_pct, 2) == 7.36
     delta = marts.cash_flow_monthly(tx, rev, ["2026-03"]).first()
     assert money(delta.change_vs_previous) == 710
-    allm = marts.cash_flow_summary(tx, rev).first()
+    assert money(march.change_vs_previous) == 710
+    last = marts.cash_flow_summary(tx, rev).first()
+    assert last == march
+    allm = marts.cash_flow_summary(tx, rev, ["2026-01", "2026-02", "2026-03"]).first()
+    assert allm.change_vs_previous is None
     assert (money(allm.revenue), money(allm.cash_out), money(allm.balance)) == (36500, 3150, 33350)
     assert round(allm.consumed_pct, 2) == 8.63
 

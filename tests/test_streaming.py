@@ -1,13 +1,14 @@
-"""The standardize job on a stream of export files gives the batch result."""
+"""The standardize job on a stream of export files gives the batch result, over restarts too."""
 
 from __future__ import annotations
 
 import csv
 import os
-import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from razao.session import ensure_checkpoint_dir
 from razao.streaming import incremental
 from tests.conftest import LEDGER_HEADERS, LEDGER_ROWS
 
@@ -19,16 +20,38 @@ def _write_csv(folder, name, rows):
         w.writerows(rows)
 
 
-def test_stream_matches_batch(spark):
-    src = tempfile.mkdtemp(prefix="razao-src-", dir="/tmp")
-    out = tempfile.mkdtemp(prefix="razao-out-", dir="/tmp") + "/ledger"
+def _run(spark, src, out, checkpoint):
+    stream = incremental.read_exports(spark, str(src), LEDGER_HEADERS, "fact_transacoes", max_files_per_trigger=1)
+    query = incremental.write_clean_stream(stream, str(out), str(checkpoint), available_now=True)
+    assert query.awaitTermination(120)
+
+
+def test_restarted_stream_takes_every_file_once(spark, tmp_path):
+    src, out, checkpoint = tmp_path / "in", tmp_path / "out", tmp_path / "progress"
+    src.mkdir()
     _write_csv(src, "part-1.csv", LEDGER_ROWS[:5])
+    _run(spark, src, out, checkpoint)
+    assert spark.read.parquet(str(out)).count() == 5
     _write_csv(src, "part-2.csv", LEDGER_ROWS[5:])
-    stream = incremental.read_exports(spark, src, LEDGER_HEADERS, "fact_transacoes", max_files_per_trigger=1)
-    q = incremental.write_clean_stream(stream, out, f"test-{os.path.basename(src)}", available_now=True)
-    q.awaitTermination(120)
-    clean = spark.read.parquet(out)
+    _run(spark.newSession(), src, out, checkpoint)
+    _run(spark.newSession(), src, out, checkpoint)
+    clean = spark.read.parquet(str(out))
     assert clean.count() == 10
     kept = clean.where(F.col("is_personal_cost")).agg(F.sum("valor_real_dashboard")).first()[0]
     assert float(kept) == 3910.0
     assert sorted(r[0] for r in clean.select("period").distinct().collect()) == ["2026-01", "2026-02", "2026-03"]
+
+
+def test_a_cluster_must_name_its_checkpoint_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
