@@ -1,0 +1,454 @@
+"""The text operators against plain versions, the tokenizers' own libraries and SQL, on small rows."""
+
+from __future__ import annotations
+
+import hashlib
+import html
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from razao.llm import (html_trees, language_id, packing, paragraph_sketch, piece_rounds, quality_neighbours, queries, secret_scan, sharding, simhash,
+                       topk)
+
+SF = "/root/testdata/sf0.001"
+EDGES = [None, "", " ", "word", "two words", "a b c", "a b c", "x" * 30_000, "line\n" * 3000, "ſ İ ß 中文 👩‍🚀 é", "\x1c\x85 \x00", "password = abcdefghijkl12"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Edge texts, repeated rows, a null id, and columns whose names clash with those the operators make."""
+    rows = [(i, t, "en", i % 3, 7) for i, t in enumerate(EDGES)] + [(3, "word", "en", 0, 7), (None, "no id", None, 1, 7)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, fp int, label int")
+
+
+@pytest.fixture(scope="module")
+def nothing(docs):
+    return docs.where("false")
+
+
+# 1: top-k
+
+def plain_top_k(vectors: dict[int, list[int]], k: int, step: int) -> list[tuple]:
+    out = []
+    for q in sorted(v for v in vectors if v % step == 0):
+        scored = sorted((-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q]))
+        out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
+    return out
+
+
+def test_top_k_edges(spark):
+    rnd = random.Random(1)
+    rows = [(i, [rnd.gauss(0, 0.2) for _ in range(16)]) for i in range(160)]
+    rows += [(i, [0.5] * 16) for i in range(160, 220)] + [(220, None), (221, [float("nan")] * 16), (222, [None] * 16), (223, [float("inf")] + [0.0] * 15), (224, []), (None, [1.0] * 16), (225, [0.1] * 5), (240, [-0.1] * 5), (160, [0.5] * 16)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("score", F.lit("x")).withColumn("v", F.lit(0))
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, k=20).collect()))
+    clean = {i: [int(np.floor(64 * float(np.float32(x)))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    assert got == sorted(plain_top_k(clean, 20, 20))
+    assert topk.top_k(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_tile_prunes_and_stays_exact(monkeypatch):
+    rnd = np.random.default_rng(3)
+    centres = rnd.integers(-60, 60, (5, 64))
+    c = centres[rnd.integers(0, 5, 3000)] + rnd.integers(-6, 7, (3000, 64))
+    asked = []
+    real = topk.products
+    monkeypatch.setattr(topk, "products", lambda q, x: (asked.append(len(q) * len(x)), real(q, x))[1])
+    row, ids, score = topk.tile(np.arange(40), c[:40], np.arange(3000), c, 5)
+    assert sum(asked) < 0.8 * 40 * 3000
+    exact = c[:40] @ c.T
+    for q in range(40):
+        want = sorted((-int(s), i) for i, s in enumerate(exact[q]) if i != q)[:5]
+        assert [(-int(s), int(i)) for r, i, s in zip(row, ids, score) if r == q] == want
+
+
+def test_products_of_any_size():
+    q, c = np.array([[2 ** 40, 1]]), np.array([[2 ** 10, 3]])
+    assert topk.products(q, c)[0, 0] == 2 ** 50 + 3
+    assert topk.products(q * 2 ** 20, c * 2 ** 12)[0, 0] == 2 ** 63 - 1
+
+
+# 2: SimHash
+
+def plain_fingerprint(text: str | None, words: int = 3) -> int:
+    from xxhash import xxh64_intdigest
+
+    found = [w for w in re.split(rb"[\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())) if w]
+    shingles = [b" ".join(found[i:i + words]) for i in range(max(1, len(found) - words + 1))] if found else []
+    h = [xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def plain_components(fps: list[int], max_bits: int) -> list[int]:
+    label = list(range(len(fps)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= max_bits:
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(fps))]
+
+
+def test_fingerprints_and_components(spark):
+    got = {r["doc_id"]: r for r in queries.op2_simhash(spark, SF).collect()}
+    texts = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    fps = [plain_fingerprint(r["text"]) for r in texts]
+    ids = [r["doc_id"] for r in texts]
+    assert [got[i]["fingerprint"] for i in ids] == [f"{f:016x}" for f in fps]
+    assert [got[i]["component_id"] for i in ids] == [ids[c] for c in plain_components(fps, 2)]
+
+
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_links_are_whole(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_ENTRY", hot)
+    rnd = random.Random(4)
+    fps = {0}
+    for _ in range(12):
+        f = rnd.getrandbits(64)
+        fps |= {f} | {f ^ sum(1 << b for b in rnd.sample(range(64), n)) for n in (1, 1, 2, 2, 2, 3, 4)} | {f ^ (1 << b) for b in rnd.sample(range(32), 6)}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp bigint")
+    for segments in (2, 4):
+        got = [tuple(sorted(r)) for r in simhash.links(df, 2, segments).collect()]
+        want = {tuple(sorted((a, b))) for a in signed for b in signed if a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_components_of_a_long_chain(spark):
+    chain = list(range(60))
+    random.Random(2).shuffle(chain)
+    edges = spark.createDataFrame([*zip(chain, chain[1:]), (100, 101), (102, 101)], "a bigint, b bigint")
+    assert {r["node"]: r["label"] for r in simhash.components(edges).collect()} == {**dict.fromkeys(range(60), 0), 100: 100, 101: 100, 102: 100}
+
+
+def test_simhash_edges(docs, nothing):
+    got = [(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()]
+    assert len(got) == docs.count() and dict(got)[1] == dict(got)[2] == dict(got)[0] == 0 and dict(got)[6] == 5
+    kept = simhash.keep_first(docs).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept)[:2] == [(False, 0), (False, 3)] and sum(r["doc_id"] is None for r in kept) == 1
+    assert simhash.keep_first(docs).columns == docs.columns
+    assert simhash.near_duplicates(nothing).count() == 0
+
+
+# 3: secrets
+
+def plain_base(text: str) -> list[tuple]:
+    a = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 12]
+    b = [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    return sorted(a + b + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16])
+
+
+def test_base_spans():
+    rnd = random.Random(3)
+    parts = ["password", "Token", "api_key", "APIKEY", "secret", " ", "  ", "=", ":", "'", '"', "abcdef0123456789", "AKIA", "ABCDEFGHIJKLMNOP", "x", "abcdefghijkl", "\n", "ſecret", "passwd", "é", "=="]
+    for _ in range(20_000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14)))
+        base, spans = secret_scan.find(text)
+        assert [(s.start, s.kind, s.end) for s in base] == plain_base(text)
+        assert set(base) <= set(spans)
+
+
+def test_literals_by_their_targets():
+    text = 'KEY = "Zx9$kk2Lq8Pz"\ndb.password = KEY\nuser = "Zx9$kk2Lq8Pq"\nconst dbPassword = "ab9" + "D3f!gh1jkl";\nmax_tokens: 409612345678\npassword_hint = "Zx9$kk2Lq8Pw"\nclientSecret: ${VAULT}\n'
+    found = [text[s.start:s.end] for s in secret_scan.find(text)[1]]
+    assert found == ["Zx9$kk2Lq8Pz", "ab9", "D3f!gh1jkl"]
+    assert "Zx9$kk2Lq8Pz" not in secret_scan.masked(text, secret_scan.find(text)[1], "[SECRET]")
+
+
+def test_secret_edges(docs, nothing):
+    got = {r["doc_id"]: r for r in secret_scan.scan(docs).collect()}
+    assert got[0]["spans"] == "" and got[0]["base_sha256"] == hashlib.sha256(b"").hexdigest() and got[11]["n_assign"] == 1
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    assert clean[0] is None and clean[11] == "password = [SECRET]" and clean[7] == EDGES[7]
+    assert secret_scan.redact(docs).schema == docs.schema and secret_scan.scan(nothing).count() == 0
+
+
+# 4: main text
+
+def plain_article(page: str) -> str:
+    inner = re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1|br)>", " ", re.search(r"<article>(.*)</article>", page, re.S)[1]))
+    return " ".join(html.unescape(inner).split())
+
+
+def test_main_text_of_all_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    got = {r["page_id"]: r for r in queries.op4_html_trees(spark, SF).collect()}
+    assert len(got) == len(pages)
+    for p in pages:
+        assert got[p["page_id"]]["text"] == plain_article(p["html"])
+        assert got[p["page_id"]]["n_chars"] == len(got[p["page_id"]]["text"])
+
+
+def test_main_text_of_another_template(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").limit(40).collect()]
+    trees = html_trees.train(pages)
+    page = """<html><body><div id="header">Site</div><div class="x"><div class="post-content"><h1>A &amp; B</h1><p>One <b>bold</b>ly.
+    <p>Two,&nbsp;three.</div><div class="comments"><p>Nice one, I think.</p></div></div><script>var a="<p>no</p>"</script></body></html>"""
+    assert html_trees.main_texts([page], trees)[0] == "A & B One boldly. Two, three."
+    edges = [None, "", "plain text", "<p>just <", "<article>x", "<div>" * 3000 + "deep", "<!-- open", "<a" * 500]
+    assert len(html_trees.main_texts(edges, trees)) == len(edges) and html_trees.main_texts([None], None) == [""]
+
+
+def test_decoding_is_consistent():
+    rnd = np.random.default_rng(1)
+    for _ in range(200):
+        n = 7
+        up = np.array([0, *(rnd.integers(0, i) for i in range(1, n))])
+        p = rnd.uniform(0.02, 0.98, n)
+        keep = html_trees.decode(p, up)
+        best = max((sum(np.log(p[i] if m >> i & 1 else 1 - p[i]) for i in range(1, n)), m) for m in range(1, 1 << n, 2) if all(not m >> i & 1 or m >> up[i] & 1 for i in range(1, n)))[1]
+        assert [bool(best >> i & 1) for i in range(n)] == keep.tolist()
+
+
+# 5: packing
+
+def held_pieces(rows: list, ids: dict) -> None:
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_sequence[r["sequence_id"]].append(r)
+    assert by_doc.keys() == ids.keys()
+    for d, own in by_doc.items():
+        at = 0
+        for r in sorted(own, key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids[d])
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[d][at:at + r["length"]], "<u4").tobytes())
+            at += r["length"]
+        assert at == len(ids[d])
+    for own in by_sequence.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048
+    used = [sum(r["length"] for r in own) for own in by_sequence.values()]
+    assert sum(0 if u & (u - 1) == 0 else 2048 - u for u in used) <= 0.01 * sum(used)
+
+
+def test_packing(spark, docs, nothing):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("word_bpe_49k.json")
+    model = Tokenizer.from_file(path)
+    real = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids = {d: [*model.encode(t, add_special_tokens=False).ids, 1] for d, t in real.items()}
+    held_pieces(queries.op5_best_fit(spark, SF).collect(), ids)
+    edge = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    held_pieces(packing.pack_documents(edge, path).collect(), {i: [*model.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(EDGES)})
+    assert packing.pack_documents(docs, path).select("doc_id", "doc_tokens").where("doc_id is null or doc_id = 3").count() == 3
+    assert packing.pack_documents(nothing, path).count() == 0
+
+
+def test_words_are_encoded_as_in_their_text():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("word_bpe_49k.json")
+    rnd, model = random.Random(1), Tokenizer.from_file(path)
+    parts = ["a", "ab", "The", " ", "  ", "\n", "é", "É", "中", "　", "é", "👩‍🚀", "İ", "ß", "1", "2024", "<|endoftext|>", "<|", "'s", "'S", "Ⅷ", "\xa0", "\x85", "\x1c", "Σ", "ΑΣ", "!!", "%%%", "'ll", "'", "​", "ŉ"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(5000)]
+    want = [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4")[:-1].tolist() for x in packing.encode(path, texts)] == want
+
+
+def test_best_fit_is_the_tightest():
+    rnd = random.Random(5)
+    for _ in range(300):
+        lengths = [rnd.randint(1, 64) for _ in range(rnd.randint(0, 60))]
+        used = []
+        for x in sorted(lengths, reverse=True):
+            fits = [i for i, u in enumerate(used) if 64 - u >= x]
+            if fits:
+                used[max(fits, key=lambda i: used[i])] += x
+            else:
+                used.append(x)
+        assert sorted(sum(lengths[i] for i in w) for w in packing.best_fit(lengths, 64)) == sorted(used)
+
+
+# 6: sharding
+
+def placed(rows: list, n: int) -> None:
+    assert len(rows) == n
+    by = defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r["place"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_shards(spark, docs, nothing):
+    rows = queries.op6_slots(spark, "/root/testdata/sf0.01").collect()
+    size = Counter()
+    for r in rows:
+        size[r["shard"]] += r["size"]
+    assert set(size) == set(range(24)) and max(size.values()) < 1.02 * min(size.values())
+    assigned, kept = sharding.assign(docs, shards=4)
+    got = assigned.collect()
+    placed(got, docs.count())
+    assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in got} >= {(0, 8, 0), (3, 12, zlib.crc32(b"word")), (None, 13, zlib.crc32(b"no id"))}
+    assert {r["version"] for r in kept.collect()} == {0, 1}
+    assert sharding.assign(nothing)[0].count() == 0
+
+
+def test_a_hot_key_is_split(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("doc_id"), F.lit("same text").alias("text"))
+    got = sharding.assign(df, shards=8, slots=512)[0].collect()
+    placed(got, 4000)
+    n = Counter(r["shard"] for r in got)
+    assert max(n.values()) < 1.1 * min(n.values())
+
+
+def test_growing_moves_rows_only_into_the_new_shard():
+    m = sharding.first_map(list(range(1000)), 24)
+    new = sharding.grow(m, 24)
+    assert all(new[s] in (m[s], 24) for s in m) and abs(list(new.values()).count(24) - 40) <= 24
+
+
+# 7: quality
+
+def test_quality_of_held_out_documents(spark):
+    rows = queries.op7_quality_neighbours(spark, "/root/testdata/sf0.01").collect()
+    label = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in label]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    assert sum(r["predicted"] == label[r["doc_id"]] for r in held) >= 0.95 * len(held)
+
+
+def test_quality_edges(spark, docs, nothing):
+    labels = spark.createDataFrame([(3, 1), (4, 0), (4, 1), (9, None), (99, 1)], "doc_id bigint, quality int")
+    space = quality_neighbours.learn(docs, labels, F.lit(True))
+    got = quality_neighbours.classify(docs, space).collect()
+    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert {r["score"] for r in got if r["doc_id"] in (0, 1)} == {space.prior}
+    none = quality_neighbours.learn(docs, labels.where("false"), F.lit(True))
+    assert {r["score"] for r in quality_neighbours.classify(docs, none).collect()} == {0.5}
+    assert quality_neighbours.classify(nothing, space).count() == 0 and quality_neighbours.keep_good(docs, none).count() == docs.count()
+
+
+# 8: pieces
+
+def test_pieces_equal_the_library(spark, docs, nothing):
+    import sentencepiece
+
+    path = queries.tokenizer("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rnd = random.Random(1)
+    parts = ["a", "b", "the", " ", "  ", "\n", "\t", "é", "中", "　", "▁", "👩‍🚀", "\x00", "İ", "    ", "2024", "<s>", "<0x41>", "aaaaa", "\r\n", "\xa0", "ing", "▁a"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60))) for _ in range(3000)] + ["a" * 9000, " " * 6000, "ab" * 3000]
+    encode = piece_rounds.encoder(path)
+    for got, want in zip(encode(texts), sp.encode(texts)):
+        assert got.tolist() == want
+        assert piece_rounds.decode(path, got) == sp.decode(want)
+    rows = {r["doc_id"]: r for r in queries.op8_piece_rounds(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = sp.encode(r["text"])
+        assert rows[r["doc_id"]]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert rows[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+    edge = piece_rounds.encode_documents(docs, path).collect()
+    assert len(edge) == docs.count() and all(r["ids"] == sp.encode(EDGES[r["doc_id"]] or "") for r in edge if r["doc_id"] is not None)
+    assert piece_rounds.digest_documents(nothing, path).count() == 0
+
+
+# 9: fingerprints
+
+def paragraphs(text: str) -> set[str]:
+    return {p for p in re.split(paragraph_sketch.CUT, text) if p}
+
+
+def plain_likeness(a: str, b: str) -> float:
+    x, y = paragraphs(a), paragraphs(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def check_sketches(got: list, rows: list[tuple]) -> None:
+    got = {r["doc_id"]: r for r in got}
+    for i, (d, text) in enumerate(rows):
+        after, n = rows[(i + 1) % len(rows)][1], len(text)
+        edited = text[:n - n // 2] + after[:n // 2]
+        r = got[d]
+        assert (r["n_chars"], r["edited_sha256"]) == (n, hashlib.sha256(edited.encode()).hexdigest())
+        assert r["near_edited"] == pytest.approx(plain_likeness(text, edited)) and r["near_next"] == pytest.approx(plain_likeness(text, after))
+
+
+def test_sketches_recover_the_difference(spark, docs, nothing, monkeypatch):
+    monkeypatch.setattr(paragraph_sketch, "BUCKET_ROWS", 10)
+    real = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    check_sketches(queries.op9_paragraph_sketch(spark, SF).collect(), real)
+    edge = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    check_sketches(paragraph_sketch.edited_and_next(edge).collect(), [(i, t or "") for i, t in enumerate(EDGES)])
+    whole = paragraph_sketch.edited_and_next(docs).collect()
+    assert len(whole) == docs.count() and len({r["fingerprint"] for r in whole if r["doc_id"] in (5, 6)}) == 1
+    assert paragraph_sketch.edited_and_next(nothing).count() == 0
+    assert paragraph_sketch.edited_and_next(docs.where("doc_id = 3").limit(1)).first()["near_next"] == 1.0
+
+
+def test_small_sketches_fail_and_larger_ones_serve(spark, monkeypatch):
+    keys = spark.range(1).select(F.sequence(F.lit(1), F.lit(40)).alias("a"), F.sequence(F.lit(30), F.lit(75)).alias("b")).select(
+        *(F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in ("a", "b")))
+    small = keys.select(paragraph_sketch.peeled(paragraph_sketch.subtracted(paragraph_sketch.sketch(F.col("a"), 1, 8), paragraph_sketch.sketch(F.col("b"), -1, 8)), 8)).first()[0]
+    assert small is None
+    monkeypatch.setattr(paragraph_sketch, "PER_BLOCK", 100)
+    assert keys.select(paragraph_sketch.differing(F.col("a"), F.col("b"))).first()[0] == 29 + 35
+
+
+def test_sketches_are_native(spark, capsys):
+    paragraph_sketch.edited_and_next(spark.read.parquet(f"{SF}/documents.parquet")).explain()
+    assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+# 10: languages
+
+def test_language_of_held_out_documents(spark):
+    rows = queries.op10_kneser_ney(spark, "/root/testdata/sf0.01").collect()
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
+    held = [r for r in rows if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in rows)
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.97 * len(held)
+    assert sum(r["accepted"] for r in rows) >= 0.99 * len(rows)
+
+
+def test_kneser_ney_equals_a_plain_model(spark):
+    texts = ["abcab abd", "abra cadabra", "bad cab"]
+    df = spark.createDataFrame([("x", t) for t in texts], "lang string, text string")
+    models = language_id.Models(language_id.tables(language_id.counts(df)).toArrow())
+    grams = Counter()
+    for t in texts:
+        chars = "\0" + "\0".join(t.split()) + "\0"
+        for i in range(1, len(chars)):
+            grams[("\0" * 4 + chars[:i + 1])[-4:]] += 1
+    level = {4: grams}
+    for k in (3, 2, 1):
+        level[k] = Counter(g[1:] for g in level[k + 1])
+    floor = 1 / (2 * len(level[1]) + 100)
+
+    def p(g: str) -> float:
+        value = floor
+        for k in range(1, 5):
+            own, context = g[-k:], g[-k:-1]
+            n = Counter(level[k].values())
+            d = min(max(n[1] / (n[1] + 2 * n[2]), 0.1), 0.95) if n[1] else 0.5
+            after = [c for x, c in level[k].items() if x[:-1] == context]
+            if after:
+                value = max(level[k][own] - d, 0) / sum(after) + min(d * len(after) / sum(after), 1) * value
+        return value
+
+    packed = np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(g)) for g in grams], np.uint64)
+    assert models.costs(packed)[:, 0] == pytest.approx([-np.log2(p(g)) for g in grams], rel=1e-4)
+
+
+def test_language_edges(spark, docs, nothing):
+    models = language_id.learn(docs, F.lit(True))
+    got = {r["doc_id"]: r for r in language_id.predict(docs, models).collect()}
+    assert [got[i]["lang_pred"] for i in (0, 1, 2, 10)] == ["und"] * 4 and got[0]["score"] == 0 and got[3]["lang_pred"] == "en"
+    empty = language_id.learn(nothing, F.lit(True))
+    assert {r["lang_pred"] for r in language_id.predict(docs, empty).collect()} == {"und"} and language_id.predict(nothing, models).count() == 0
+    assert language_id.keep_accepted(docs, models).columns == docs.columns
