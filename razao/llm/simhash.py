@@ -111,7 +111,11 @@ def links(fps: DataFrame, max_bits: int, segments: int = 2) -> DataFrame:
         outside = F.floor(F.col("part.p") / 2) != F.shiftright(F.col("key"), width)
         near = F.array(*[F.lit(m).cast("bigint") for m in ball(half, radius_below)])
         own = F.array(*[F.struct(F.lit(p).alias("p"), segment(F.col("b"), p, half).alias("v")) for p in parts])
-        around = F.flatten(F.array(*[F.transform(near, lambda m, p=p: F.struct(F.lit(p).alias("p"), segment(F.col("a"), p, half).bitwiseXOR(m).alias("v"))) for p in parts]))
+
+        def about(p: int):
+            return F.transform(near, lambda m: F.struct(F.lit(p).alias("p"), segment(F.col("a"), p, half).bitwiseXOR(m).alias("v")))
+
+        around = F.flatten(F.array(*map(about, parts)))
         sub = table.join(hot, "key").select("key", "b", F.explode(own).alias("part")).where(outside)
         below = asked.join(hot, "key").select("a", "key", "same", F.explode(around).alias("part")).where(outside)
         below = below.join(sub, ["key", "part"]).select("key", "a", "same", "b").distinct()
