@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -28,6 +28,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lowest(df: DataFrame, by: Column, n: int, total: int) -> DataFrame:
+    """The rows of ``df`` with the ``n`` smallest hashes ``by`` (longs spread evenly), for a bounded sample.
+
+    Of ``total`` rows only those in the lowest part of the hash range that should hold 2n are sorted, so what tasks send
+    to be merged is about 2n rows together, however many tasks there are."""
+    part = min(1.0, 2 * n / max(total, 1))
+    near = df if part >= 1 else df.where(by <= F.lit(int(part * 2 ** 64) - 2 ** 63))
+    return near.orderBy(by).limit(n)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about ``limit`` bytes of ``column``."""
     for batch in batches:

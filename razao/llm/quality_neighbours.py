@@ -8,13 +8,12 @@ with every one of them is computed in blocks, and its nearest ``NEIGHBOURS``
 vote, weighted by a power of the cosine.
 
 The sample is what the classifier is fitted on and the only bound here: the
-labelled rows that may be learned from with the smallest hashes. Every document
-is scored from its whole text.
+labelled rows that may be learned from with the smallest hashes of their id.
+Every document is scored from its whole text.
 
 Defined results: a null or empty text, and any text when nothing is labelled,
 scores the sample's share of label 1 (0.5 without a sample); a document with
-several labels counts with the largest; ties between neighbours go to the row
-with the smaller hash; repeated rows give repeated rows.
+several labels counts with the largest; ties between neighbours go to either; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import slices
+from .common import lowest, slices
 
 #: Labelled documents fitted on at most, and the longest text that takes part as one.
 SAMPLE_ROWS, SAMPLE_BYTES = 4096, 60_000
@@ -98,9 +97,9 @@ class Space:
 def learn(docs: DataFrame, labels: DataFrame, learned: Column, label_col: str = "quality") -> Space:
     """The space from the rows of ``labels`` (doc_id, label) for which ``learned`` (over doc_id) holds."""
     known = labels.where(learned & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
+    sample = F.broadcast(lowest(known, F.xxhash64("doc_id"), SAMPLE_ROWS, known.count()))  # SAMPLE_ROWS of two numbers
     usable = docs.where(learned & (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id", "text")
-    joined = usable.join(known, "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))
-    rows = joined.orderBy("h").limit(SAMPLE_ROWS).select("text", "label").collect()
+    rows = usable.join(sample, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return Space([r["text"] for r in rows], [r["label"] for r in rows])
 
 
