@@ -18,6 +18,7 @@ from ..operators import aggregates as A
 from ..operators import classify as C
 from ..rules import DEFAULT_RULES, LedgerRules
 
+# The metrics' names and the samples' columns in their order.
 METRIC_LOADED = "Linhas carregadas em fact_transacoes"
 METRIC_YES = "Linhas com entra_custo_pessoal = Sim"
 METRIC_NO = "Linhas com entra_custo_pessoal = Não"

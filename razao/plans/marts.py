@@ -134,6 +134,7 @@ def cash_by_source(ledger: DataFrame, periods=None, rules: LedgerRules = DEFAULT
 
 # ------------------------------------------------------------------ MRT-3
 
+# The columns of the listing in their order, and the names they are shown under.
 LISTING_COLUMNS = ("period_label", "data", "descricao", "origem", "categoria_dashboard",
                    "categoria_original_excel", "valor_real_dashboard", "valor_euro_dashboard", "parcela_compra")
 AUDIT_EXTRA = ("entra_custo_pessoal", S.IS_SETTLEMENT, S.REASON)

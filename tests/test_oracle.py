@@ -10,6 +10,7 @@ import os
 
 import pytest
 
+from razao.plans.catalogue import QUERIES
 from tests.oracle_check import compare
 
 SF = os.environ.get("RAZAO_ORACLE_SF", "/root/testdata/sf0.001")
@@ -17,10 +18,10 @@ SF = os.environ.get("RAZAO_ORACLE_SF", "/root/testdata/sf0.001")
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 def test_all_queries_match_oracle(spark):
-    res = compare(spark, SF, verbose=False)
+    res = compare(spark, SF, names=list(QUERIES), verbose=False)
     bad = {k: v for k, v in res.items() if v != "match"}
     assert not bad, bad
-    assert len(res) >= 60
+    assert len(res) == len(QUERIES)
 
 
 def test_entry_smoke(spark):
