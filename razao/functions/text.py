@@ -105,7 +105,8 @@ def _expanded(t: Column) -> Column:
         syllable = F.concat(F.substr(lead, F.floor(n / 588).cast("int") + 1, F.lit(1)),
                             F.substr(vowel, F.floor(n % 588 / 28).cast("int") + 1, F.lit(1)),
                             F.when(n % 28 > 0, F.substr(tail, n % 28, F.lit(1))).otherwise(F.lit("")))
-        return F.when(c.between(*HANGUL), syllable).otherwise(F.coalesce(F.element_at(known, c), c))
+        # the map is searched from its start, so only for characters that are in it
+        return F.when(c.between(*HANGUL), syllable).when(F.translate(c, chars, "") != "", c).otherwise(F.element_at(known, c))
     return F.array_join(F.transform(F.split(t, ""), one), "")
 
 
