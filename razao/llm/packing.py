@@ -20,12 +20,14 @@ documents of their own; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,8 @@ from pyspark.sql import DataFrame
 from .common import slices
 
 WINDOW, END, GROUP, LOOSE = 2048, 1, 4096, 16
-CACHED_WORDS = 300_000
+#: Words and parts of words that a worker remembers.
+CACHED_WORDS, CACHED_PARTS = 400_000, 500_000
 # Fixed value: the pattern of the tokenizer file's pre-tokenizer.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Below this code point Unicode's composition, lower case and classes have long been the same everywhere; one letter grows in lower case.
@@ -47,6 +50,14 @@ NOT_SPACE = "\x1c\x1d\x1e\x1f"
 NOT_SPACES = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+").findall
 
 
+@lru_cache(maxsize=1)
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 stands for itself, the other
+    bytes take the letters from U+0100 on. As a table for text decoded as Latin-1."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return dict(zip(own, map(chr, own))) | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*own}))}
+
+
 class Words(dict):
     """Ids of words as little-endian bytes; unknown ones are filled in by ``learn``."""
 
@@ -54,26 +65,58 @@ class Words(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.model = Tokenizer.from_file(path)
+        # the same merges for parts that are cut already: many of them in one text, with white space between
+        setup = json.loads(self.model.to_str())
+        self.merges = Tokenizer.from_str(json.dumps(setup | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+        self.merges.pre_tokenizer = WhitespaceSplit()
+        suffix = setup["model"]["end_of_word_suffix"]
+        self.last = np.zeros(self.model.get_vocab_size(), bool)  # the ids that end a part
+        self.last[[i for t, i in self.model.get_vocab(False).items() if t.endswith(suffix)]] = True
         self.split = regex.compile(PARTS).findall
         self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> None:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        if len(self.parts) > CACHED_WORDS:
-            self.parts.clear()
-        plain = {w: self.split(unicodedata.normalize("NFC", w).lower()) for w in words if max(w) < PLAIN_BELOW and ODD not in w and "<|" not in w}
-        if new := list({p for ps in plain.values() for p in ps} - self.parts.keys()):
-            self.parts.update(zip(new, self.encode(new)))
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts without white space, each as one unit of merging."""
+        out = []
+        for at in range(0, len(parts), 1024):
+            some = parts[at:at + 1024]
+            text = " ".join(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(byte_letters()) for p in some)
+            ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            flat, ends = ids.tobytes(), [0, *((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()]
+            out += [flat[a:b] for a, b in pairwise(ends)]
+        if len(out) != len(parts):
+            raise ValueError("a part must end with an id that ends a word, and no other id may")
+        return out
+
+    def cut(self, word: str) -> tuple[str, ...] | None:
+        """The tokenizer's parts of a word, composed and in lower case; None for a word that only the library may cut."""
+        if not word.isascii():
+            if max(word) >= PLAIN_BELOW or ODD in word:
+                return None
+            word = unicodedata.normalize("NFC", word)
+        low = word.lower()
+        if low.isalpha():
+            return (low,)
+        if low[:-1].isalpha():  # one character that is no letter stands last
+            return low[:-1], low[-1]
+        return None if "<|" in low else tuple(self.split(low))
+
+    def learn(self, new: set[str]) -> None:
+        cuts = {w: self.cut(w) for w in new}
+        wanted = {p for ps in cuts.values() if ps for p in ps}
+        if len(self.parts) + len(wanted) > CACHED_PARTS:  # those in use stay
+            self.parts = {p: self.parts[p] for p in wanted & self.parts.keys()}
+        if unknown := list(wanted - self.parts.keys()):
+            self.parts.update(zip(unknown, self.encode_parts(unknown)))
         of = self.parts.__getitem__
-        for w, ps in plain.items():
-            self[w] = b"".join(map(of, ps))
-        if rest := [w for w in words if w not in plain]:
+        self.update((w, of(ps[0]) if len(ps) == 1 else b"".join(map(of, ps))) for w, ps in cuts.items() if ps)
+        if rest := [w for w, ps in cuts.items() if not ps]:
             self.update(zip(rest, self.encode(rest)))
 
 
@@ -86,10 +129,13 @@ def encode(path: str, texts: list[str | None]) -> list[bytes]:
     """Each text's ids and the end id, as little-endian 32-bit integers."""
     known = words(path)
     cut = [NOT_SPACES(t) if any(c in t for c in NOT_SPACE) else t.split() for t in (t or "" for t in texts)]
-    wanted = {w for c in cut for w in c}
-    if len(known) + len(wanted) > CACHED_WORDS:
-        known.learn(wanted)  # clears the store where it is full, so all are learned anew
-    if new := wanted - known.keys():
+    wanted = set().union(*cut)
+    new = wanted - known.keys()
+    if len(known) + len(new) > CACHED_WORDS:  # the words of these texts stay, the others go
+        kept = {w: known[w] for w in wanted - new}
+        known.clear()
+        known.update(kept)
+    if new:
         known.learn(new)
     end = np.array([END], "<u4").tobytes()
     return [b"".join(map(known.__getitem__, c)) + end for c in cut]
