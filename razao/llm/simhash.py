@@ -157,7 +157,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, segments
     named = nodes.join(labels, nodes.fp == labels.node).select("fp", "label", "first")
     heads = named.groupBy("label").agg(F.min("first").alias("head"))
     named = named.join(heads, "label").select("fp", "head")
-    ids = nodes.join(named, "fp", "left").select("fp", F.coalesce("head", "first").alias("component_id"))
+    # written, so that the last join is one of two plain shuffles, in which Spark splits a fingerprint with very many rows
+    ids = written(nodes.join(named, "fp", "left").select("fp", F.coalesce("head", "first").alias("component_id")), "ids")
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
