@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .boosting import Trees, fit
-from .common import slices
+from .common import lowest, slices
 
 #: Pages that the trees are fitted on at most, those with the smallest hashes of their html; and the longest that takes part.
 SAMPLE_PAGES, SAMPLE_BYTES = 96, 100_000
@@ -442,8 +442,7 @@ def main_texts(pages: list[str | None], trees: Trees | None) -> list[str]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row. The trees go to the tasks with the function; they are a few kilobytes."""
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    sample = (src.where(F.octet_length("html") <= SAMPLE_BYTES).select("html", F.xxhash64("html").alias("h"))
-              .orderBy("h").limit(SAMPLE_PAGES).collect())
+    sample = lowest(src.where(F.octet_length("html") <= SAMPLE_BYTES).select("html"), F.xxhash64("html"), SAMPLE_PAGES, src.count()).collect()
     trees = train([r["html"] for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,6 +28,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import lowest
+
 #: Cells a subtable, from the first try to the last. The last has room for several times what a block can hold by chance.
 SIZES = (8, 24, 96, 384)
 PER_BLOCK = 8
@@ -133,7 +135,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     n = docs.count()
     want = min(1 << BOUND_BITS, n // BUCKET_ROWS)
     first = rows.agg(F.min(F.struct("k", "h")).alias("m")).first()["m"]
-    sample = rows.select("k", "h").orderBy(F.xxhash64("k", "h"), "k", "h").limit(want * SAMPLE_A_BOUND).collect() if want > 1 else []
+    sample = lowest(rows.select("k", "h"), F.xxhash64("k", "h"), want * SAMPLE_A_BOUND, n).collect() if want > 1 else []
     keys = sorted({(r["k"], r["h"]) for r in sample})
     bounds = [b for b in keys[SAMPLE_A_BOUND // 2::SAMPLE_A_BOUND] if first and b > (first["k"], first["h"])]
     steps = max(1, len(bounds).bit_length())
