@@ -53,6 +53,12 @@ def test_top_k_edges(spark):
     assert topk.top_k(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_equals_sql(spark):
+    from tests.oracle_check import compare
+
+    assert compare(spark, "/root/testdata/sf0.01", names=list(queries.SQL), verbose=False) == dict.fromkeys(queries.SQL, "match")
+
+
 def test_tile_prunes_and_stays_exact(monkeypatch):
     rnd = np.random.default_rng(3)
     centres = rnd.integers(-60, 60, (5, 64))
