@@ -8,10 +8,14 @@ kept, by one pass from the leaves up and one down; so no dropped block holds a
 kept one.
 
 The trees are fitted on a bounded sample of the pages themselves
-(``SAMPLE_PAGES``): pages with an article landmark label their own nodes, and
-each is also rewritten several times (landmarks renamed to plain boxes with
-usual class words, menus, notices, sidebars, forms and comments added), so that
-the fit doesn't hang on one template. Everything else reads every page whole.
+(``SAMPLE_PAGES``): of the distinct pages whose article landmark labels their
+own nodes, those with the smallest hashes. Each is also rewritten several times
+(landmarks renamed to plain boxes with usual class words, menus, notices,
+sidebars, forms and comments added), so that the fit doesn't hang on one
+template. If none is short enough, fewer longer ones are taken. If no page of
+the table labels itself, a warning says so and the trees are fitted on made-up
+articles of the pages' own words, rewritten likewise. Everything else reads
+every page whole.
 
 Defined results: a null or empty html gives an empty text; markup that isn't
 closed ends with the page; repeated rows give repeated rows.
@@ -20,6 +24,7 @@ closed ends with the page; repeated rows give repeated rows.
 from __future__ import annotations
 
 import html
+import logging
 import random
 import re
 from collections import Counter
@@ -30,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .boosting import Trees, fit
-from .common import lowest, slices
+from .common import slices
 
-#: Pages that the trees are fitted on at most, those with the smallest hashes of their html; and the longest that takes part.
+#: Pages that the trees are fitted on at most, and the longest that takes part; of longer ones the same bytes together.
 SAMPLE_PAGES, SAMPLE_BYTES = 96, 100_000
+#: How much longer pages may be if no shorter one labels itself.
+LONGER = (1, 8, 96)
 REWRITES = 4
 
 # How HTML's tags behave.
@@ -409,6 +416,20 @@ def example(page: str) -> tuple[np.ndarray, np.ndarray] | None:
     return features(nodes, segments(nodes)), y
 
 
+def labels_itself(page: str) -> bool:
+    return truth(boxes(parse(page))) is not None
+
+
+def made_up(page: str, rnd: random.Random) -> str:
+    """An article of the page's visible words, in paragraphs."""
+    nodes = boxes(parse(page))
+    words = spoken(nodes, segments(nodes), np.ones(len(nodes), bool)).split()
+    if not words:
+        return ""
+    pick = lambda n: html.escape(" ".join((words[a:] + words)[:n] if (a := rnd.randrange(len(words))) else words[:n]))
+    return f"<html><body><article><h1>{pick(rnd.randint(2, 8))}</h1>" + "".join(f"<p>{pick(rnd.randint(8, 80))}.</p>" for _ in range(rnd.randint(2, 9))) + "</article></body></html>"
+
+
 def train(pages: list[str], seed: int = 7) -> Trees | None:
     """Trees from sample pages; None if none of them has a landmark."""
     found, rnd = [], random.Random(seed)
@@ -439,11 +460,48 @@ def main_texts(pages: list[str | None], trees: Trees | None) -> list[str]:
     return out
 
 
+def distinct_pages(pages: DataFrame, n: int, usable=None) -> list[str]:
+    """Of the distinct texts of ``pages`` (html) for which ``usable`` holds, the ``n`` with the smallest hashes.
+
+    Only the lowest part of the hash range that should hold 2n distinct texts is read as text; it is widened while fewer
+    than n are found. So tasks send some n rows together, and copies of a page are one."""
+    hashed = pages.where("html is not null").select("html", F.xxhash64("html").alias("h"))
+    total = hashed.select("h").distinct().count()
+    part = 2 * n / max(total, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([usable(p) for p in b.column(1).to_pylist()], pa.bool_()))
+
+    while total:
+        near = hashed if part >= 1 else hashed.where(F.col("h") <= F.lit(int(part * 2 ** 64) - 2 ** 63))
+        one = near.groupBy("h").agg(F.min("html").alias("html"))
+        found = (one.mapInArrow(run, one.schema) if usable else one).orderBy("h").limit(n).collect()
+        if len(found) >= n or part >= 1:
+            return [r["html"] for r in found]
+        part *= 4
+    return []
+
+
+def fitted(pages: DataFrame) -> Trees | None:
+    """Trees for a table of pages (html); None if no page has a word."""
+    marked = pages.where(F.col("html").rlike(r"(?i)<(?:article|main)\b"))
+    for times in LONGER:
+        if sample := distinct_pages(marked.where(F.octet_length("html") <= SAMPLE_BYTES * times), SAMPLE_PAGES // times, labels_itself):
+            return train(sample)
+    rnd = random.Random(11)
+    for times in LONGER:
+        sample = distinct_pages(pages.where(F.octet_length("html") <= SAMPLE_BYTES * times), SAMPLE_PAGES // times)
+        if made := [m for p in sample if (m := made_up(p, rnd))]:
+            logging.getLogger(__name__).warning("no page has an article landmark; the trees are fitted on %d made-up articles", len(made))
+            return train(made)
+    return None
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row. The trees go to the tasks with the function; they are a few kilobytes."""
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    sample = lowest(src.where(F.octet_length("html") <= SAMPLE_BYTES).select("html"), F.xxhash64("html"), SAMPLE_PAGES, src.count()).collect()
-    trees = train([r["html"] for r in sample])
+    trees = fitted(src.select("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):

@@ -206,6 +206,25 @@ def test_main_text_of_another_template(spark):
     assert len(html_trees.main_texts(edges, trees)) == len(edges) and html_trees.main_texts([None], None) == [""]
 
 
+def test_sample_of_distinct_labelled_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("html").limit(30).collect()
+    rows = [(r["html"],) for r in pages] + [(pages[0]["html"],)] * 3000 + [(f"<p>nothing {i}</p>",) for i in range(3000)] + [(None,)] * 50
+    df = spark.createDataFrame(rows, "html string").repartition(4)
+    found = html_trees.distinct_pages(df, 20, html_trees.labels_itself)
+    assert len(found) == len(set(found)) == 20 and set(found) <= {r["html"] for r in pages}
+    assert len(html_trees.distinct_pages(df, 96, html_trees.labels_itself)) == len({r["html"] for r in pages})
+    assert html_trees.fitted(df) is not None and html_trees.fitted(df.where("html is null")) is None
+
+
+def test_main_text_without_landmarks(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").limit(40).collect()]
+    plain = [re.sub(r"<article\b[^>]*>", '<div class="story">', p).replace("</article>", "</div>") for p in pages]
+    df = spark.createDataFrame([(i, "u", p + '<div class="comments"><p>Nice one, I think.</p></div>') for i, p in enumerate(plain)], "page_id int, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_trees.extract(df).collect()}
+    assert all("Nice one" not in t for t in got.values())
+    assert np.mean([got[i] == plain_article(p) for i, p in enumerate(pages)]) >= 0.9
+
+
 def test_decoding_is_consistent():
     rnd = np.random.default_rng(1)
     for _ in range(200):
