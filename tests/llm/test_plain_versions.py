@@ -416,6 +416,33 @@ def test_sketches_recover_the_difference(spark, docs, nothing, monkeypatch):
     assert paragraph_sketch.edited_and_next(docs.where("doc_id = 3").limit(1)).first()["near_next"] == 1.0
 
 
+def scripts() -> list[str]:
+    """Long lines without a break: words ending in any letter, no stops, Cyrillic, Chinese, Japanese, Thai, data, one character."""
+    rnd = random.Random(8)
+
+    def some(low: int, high: int, n: int, space: float = 0.0) -> str:
+        return "".join(" " if rnd.random() < space else chr(rnd.randint(low, high)) for _ in range(n))
+
+    words = [some(97, 122, rnd.randint(2, 9)) for _ in range(500)]
+    stops = " ".join(" ".join(rnd.choices(words, k=9)) + "est." for _ in range(60))
+    return [stops, " ".join(rnd.choices(words, k=500)), some(0x430, 0x44F, 3000, 0.15), some(0x4E00, 0x9FA5, 3000), some(0x3041, 0x30FE, 3000), some(0xE01, 0xE2E, 3000),
+            some(0x621, 0x64A, 3000, 0.15), some(0xAC00, 0xD7A3, 3000, 0.2), "".join(rnd.choices("0123456789abcdef", k=3000)), "[" + ", ".join(str(rnd.randint(0, 9 ** 6)) for _ in range(500)) + "]",
+            some(0x1F300, 0x1F5FF, 3000)]
+
+
+def test_half_of_any_text_is_found_again(spark):
+    rows = [(i, t) for i, t in enumerate(scripts())]
+    got = {r["doc_id"]: r for r in paragraph_sketch.edited_and_next(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    check_sketches(list(got.values()), rows)
+    assert all(r["near_edited"] >= 0.15 and r["near_next"] < 0.05 for r in got.values())
+
+
+def test_cuts_come_back_after_a_change():
+    for text in scripts()[:-1]:  # beyond the basic plane pieces end at their greatest length only
+        assert plain_likeness(text, "a word " + text) >= 0.4
+    assert max(map(len, paragraphs("\n".join(scripts())))) <= paragraph_sketch.MOST
+
+
 def test_small_sketches_fail_and_larger_ones_serve(spark, monkeypatch):
     keys = spark.range(1).select(F.sequence(F.lit(1), F.lit(40)).alias("a"), F.sequence(F.lit(30), F.lit(75)).alias("b")).select(
         *(F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in ("a", "b")))
