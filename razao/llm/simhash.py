@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import slices, written
 
@@ -163,15 +163,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, segments
 
 
 def keep_first(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
-    """One row of each component, with the columns of ``docs``: the row whose doc_id is the component's id
-    (of several such rows, one). Rows without doc_id are compared for equal texts only; one of each text stays."""
-    heads = near_duplicates(docs, words, max_bits).select(F.col("component_id").alias("__head")).distinct()
-
-    def one_of(rows: DataFrame, key: Column) -> DataFrame:
-        order = Window.partitionBy("__key").orderBy(F.xxhash64("text"))
-        return rows.withColumn("__key", key).withColumn("__place", F.row_number().over(order)).where("__place = 1")
-
-    # repeated ids are cut down within each task, whole rows are shuffled once by their id, and the join finds them there
-    named = one_of(docs.where("doc_id is not null"), F.col("doc_id")).join(heads, F.col("__key") == F.col("__head"), "left_semi")
-    bare = one_of(docs.where("doc_id is null"), F.xxhash64("text"))
-    return named.drop("__key", "__place").unionByName(bare.drop("__key", "__place"))
+    """One row of each component, with the columns of ``docs``: the one with the smallest doc_id, null last, then text hash.
+    A row is known by both, so a null or repeated doc_id is compared like any other; rows equal in both are one text."""
+    bare = F.col("doc_id").isNull()
+    key = F.struct(bare.alias("bare"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("doc_id"), F.xxhash64("text").alias("h"))
+    rows = docs.withColumn("__key", key)
+    heads = near_duplicates(rows, words, max_bits, id_col="__key").select(F.col("component_id").alias("__head")).distinct()
+    # repeated rows are cut down within each task, whole rows are shuffled once by their key, and the join finds them there
+    order = Window.partitionBy("__key").orderBy(F.xxhash64("text"))
+    one = rows.withColumn("__place", F.row_number().over(order)).where("__place = 1")
+    return one.join(heads, F.col("__key") == F.col("__head"), "left_semi").drop("__key", "__place")

@@ -147,6 +147,15 @@ def test_simhash_edges(docs, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def test_rows_without_own_id_are_compared(spark):
+    words = [f"w{i}" for i in range(3000)]
+    a, b, c = (" ".join(words[i:i + 900]) for i in (0, 1000, 2000))
+    near = next(x for i in range(500) if 0 < (plain_fingerprint(a) ^ plain_fingerprint(x := a + f" end{i}")).bit_count() <= 2)
+    rows = [(1, a), (None, near), (None, a), (2, b), (2, c), (None, b), (3, c), (3, "other words here"), (None, "alone here now"), (None, "alone here now")]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, a), (2, b), (2, c), (3, "other words here"), (None, "alone here now")]))
+
+
 # 3: secrets
 
 def plain_base(text: str) -> list[tuple]:
