@@ -27,7 +27,7 @@ def _cell(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "None"
-        return repr(round(v, 9))
+        return str(int(v)) if v.is_integer() else repr(round(v, 9))  # pandas turns whole numbers beside a NULL into floats
     if hasattr(v, "isoformat"):
         return str(v)[:10] if len(str(v)) >= 10 else str(v)
     try:
