@@ -27,7 +27,7 @@ from ..operators import classify as C
 from ..operators import filters as FL
 from ..session import app_id, ensure_checkpoint_dir
 from ..sources import bindings as B
-from ..sources import ingest
+from ..sources import ingest, parts
 from . import audit, marts, quality
 
 RULES = R.DEFAULT_RULES
@@ -177,6 +177,28 @@ def q_csv_round_trip(spark, sf):
                        F.col("nota").alias("note"))
 
 
+PART_ROWS = 500
+
+
+def q_csv_parts(spark, sf):
+    """An export in parts of three layouts, some rows with a cell too many or too few (SRC-1)."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/razao-parts-{uuid.uuid4().hex}"
+    k, name, cents = F.col("c_custkey"), F.col("c_name"), F.round(F.col("c_acctbal") * 100).cast("long").cast("string")
+    part = F.floor(k / PART_ROWS)
+    layouts = (("Código,Nome (Cliente),Saldo", (k, name, cents)), ("SALDO,código,nome cliente", (cents, k, name)), ("Nome Cliente,Código", (name, k)))
+    lines, headers = F.lit(None), F.lit(None)
+    for i, (header, cells) in enumerate(layouts):
+        whole, cut = F.concat_ws(",", *cells), F.concat_ws(",", *cells[:-1])
+        record = F.when(k % 50 == 0, F.concat(whole, F.lit(",extra"))).when(k % 50 == 1, cut).otherwise(whole)
+        lines, headers = (F.when(part % 3 == i, x).otherwise(y) for x, y in ((record, lines), (F.lit(header), headers)))
+    rows = B.table(spark, sf, "customer").select(part.alias("part"), k.alias("k"), lines.alias("line"), headers.alias("header"))
+    file = F.concat(F.first("header"), F.lit("\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n"))
+    rows.groupBy("part").agg(file.alias("file")).write.partitionBy("part").text(path)  # PART_ROWS rows a part at most
+    read = parts.read_parts(spark, path)
+    sound = read.rows.select(F.col("codigo").cast("long").alias("c_custkey"), F.col("nome_cliente").alias("c_name"), F.col("saldo").cast("long").alias("cents"))
+    return A.union_all(sound, read.quarantine.select("expected_cells", "record"))
+
+
 # ------------------------------------------------------------------ scalar functions
 
 # Characters that decompose into several letters or lie beyond the first plane.

@@ -173,6 +173,14 @@ UNION ALL SELECT 'dim_meses', 'receita_salario', NULL, count(*), CAST(sum(revenu
        CASE s_suppkey % 8 WHEN 0 THEN 'he said "hi", ' || s_name WHEN 1 THEN '  ' || s_name || ' '
             WHEN 2 THEN s_name || chr(10) || 'second line' WHEN 3 THEN '"' || s_name || '",' || chr(10) || '"a","b"'
             WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 6 THEN s_name || chr(92) ELSE s_name END AS note FROM supplier""",
+    "csv_parts": """WITH c AS (SELECT c_custkey AS k, c_name AS name, CAST(round(c_acctbal * 100) AS BIGINT) AS cents, c_custkey // 500 % 3 AS layout,
+       c_custkey % 50 < 2 AS ragged FROM customer)
+SELECT CASE WHEN NOT ragged THEN k END AS c_custkey, CASE WHEN NOT ragged THEN name END AS c_name, CASE WHEN NOT ragged AND layout < 2 THEN cents END AS cents,
+       CASE WHEN ragged THEN CASE layout WHEN 2 THEN 2 ELSE 3 END END AS expected_cells,
+       CASE WHEN ragged AND k % 50 = 0 THEN CASE layout WHEN 0 THEN concat_ws(',', k, name, cents) WHEN 1 THEN concat_ws(',', cents, k, name)
+              ELSE concat_ws(',', name, k) END || ',extra'
+            WHEN ragged THEN CASE layout WHEN 0 THEN concat_ws(',', k, name) WHEN 1 THEN concat_ws(',', cents, k) ELSE name END END AS record
+FROM c""",
     "text_normalize": f"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN replace({norm("text || ' qqzzqq'")}, 'qqzzqq', 'TM No m2 1\u20443 Ab \u1100\u1161\u11a8')
        ELSE {norm('text')} END AS text_norm FROM documents""",
     "text_tools": f"""SELECT conv_id, turn, substr(text, 1, 32) AS preview,

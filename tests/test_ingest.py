@@ -10,7 +10,7 @@ from razao import schema as S
 from razao.operators import filters as FL
 from razao.plans import marts
 from razao.rules import Roles
-from razao.sources import ingest
+from razao.sources import ingest, parts
 
 
 def test_csv_keeps_every_cell(spark, tmp_path):
@@ -29,6 +29,44 @@ def test_standard_csv_file(spark, tmp_path):
     assert tuple(ingest.read_table(spark, str(tmp_path), "t", "csv", ".csv").first()) == ('he said "hi", ok', "2")
 
 
+def test_parts_are_read_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    part = lambda name, text: (tmp_path / "t" / name).write_text(text, encoding="utf-8")
+    part("1.csv", 'Mês,Descrição,Valor\njaneiro,"a, ""b""",1\nfevereiro,c,2\n')
+    part("2.csv", "\ufeffVALOR,mes,Descricao,Nota\n3,março,d,x\n4,abril,e\n")  # another order, one more column, a row with a cell too few
+    part("3.csv", "Mês,Descrição,Valor\nmaio,f,5,zzz\njunho,,6\n,,\n")  # a cell too many, blank cells
+    part("4.csv", "")
+    part("5.csv", "Valor,Valor\n7,8\n")
+    got = parts.read_parts(spark, str(tmp_path / "t"), part_column="file")
+    assert got.rows.columns == ["mes", "descricao", "valor", "file", "nota", "valor_2"]
+    rows = [(r.file.rsplit("/")[-1], r.mes, r.descricao, r.valor, r.nota, r.valor_2) for r in got.rows.collect()]
+    assert sorted(rows, key=repr) == sorted([
+        ("1.csv", "janeiro", 'a, "b"', "1", None, None), ("1.csv", "fevereiro", "c", "2", None, None), ("2.csv", "março", "d", "3", "x", None),
+        ("3.csv", "junho", None, "6", None, None), ("3.csv", None, None, None, None, None), ("5.csv", None, None, "7", None, "8")], key=repr)
+    bad = [(r.part.rsplit("/")[-1], r.expected_cells, r.record) for r in got.quarantine.collect()]
+    assert sorted(bad) == [("2.csv", 4, "4,abril,e"), ("3.csv", 3, "maio,f,5,zzz")]
+    # whatever a query reads, the same rows are sound
+    assert got.rows.select("valor").count() == 6 == got.rows.count() and got.rows.where("valor = '5'").count() == 0
+    assert ingest.read_table(spark, str(tmp_path), "t", "parts").count() == 6
+    clean = ingest.read_workbook(spark, str(tmp_path), names=["t"], fmt="parts")["t"]
+    assert sorted(r.period[-2:] for r in clean.where("period IS NOT NULL").collect()) == ["01", "02", "03", "06"]
+
+
+def test_parts_with_line_breaks_in_cells(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"Nota\n(texto)",Valor\n"one\ntwo",1\n"three",2,3\n', encoding="utf-8")
+    got = parts.read_parts(spark, str(tmp_path / "a.csv"), multi_line=True)
+    assert [tuple(r) for r in got.rows.collect()] == [("one\ntwo", "1")] and got.rows.columns == ["nota_texto", "valor"]
+    assert [r.expected_cells for r in got.quarantine.collect()] == [2]
+
+
+def test_parts_of_one_header_are_one_scan(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"{i}.csv").write_text("A,B\n1,2\n" if i % 2 else "B,A\n2,1\n")
+    plan = parts.read_parts(spark, str(tmp_path)).rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 2
+    assert parts.read_parts(spark, str(tmp_path)).rows.where("a = '1' AND b = '2'").count() == 6
+
+
 def test_skip_is_for_missing_tables_only(spark, tmp_path):
     assert ingest.read_workbook(spark, str(tmp_path), names=["none"], missing="skip") == {}
     (tmp_path / "broken").write_text("not parquet")
