@@ -42,54 +42,54 @@ _LOCK = threading.RLock()
 MATERIALIZE = os.environ.get("RAZAO_MATERIALIZE", "1") != "0"
 
 
-def _plan(spark: SparkSession, sf: str, name: str, build, materialize: bool = True) -> DataFrame:
-    """Standardized inputs, built once per session and folder.
-
-    By default each one is written once to the shared checkpoint folder and
-    read back (``ingest.materialize``), so queries that use the ledger several
-    times scan clean Parquet instead of re-parsing text in every branch. With
-    ``RAZAO_MATERIALIZE=0`` only the lazy plan is kept.
-    """
+def _plan(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """What ``build(slug)`` gives, once per session and folder; the slug stands for both in the checkpoint folder."""
     key = (app_id(spark), sf, name)
     with _LOCK:
         if key not in _PLANS:
-            df = build()
-            if materialize and MATERIALIZE:
-                slug = hashlib.sha1(sf.encode()).hexdigest()[:12]
-                df = ingest.materialize(df, f"{slug}/{name}", cluster_by=S.PERIOD)
-            _PLANS[key] = df
+            _PLANS[key] = build(f"{hashlib.sha1(sf.encode()).hexdigest()[:12]}/{name}")
         return _PLANS[key]
 
 
+def _sheet(spark: SparkSession, sf: str, name: str, table: str, raw) -> DataFrame:
+    """A standardized input, written once to the shared checkpoint folder and read back, so queries that use
+    the ledger several times scan clean Parquet instead of re-parsing text in every branch. The test tables
+    are single row groups, which one task reads alone. With ``RAZAO_MATERIALIZE=0`` only the lazy plan is kept."""
+    if not MATERIALIZE:
+        return _plan(spark, sf, name, lambda slug: ingest.standardize(raw(), table, RULES))
+    return _plan(spark, sf, name, lambda slug: ingest.ingest_table(raw(), table, slug, RULES, unsplit=True, cluster_by=S.PERIOD))
+
+
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
-    return _plan(spark, sf, "ledger", lambda: ingest.standardize(B.ledger_sheet(spark, sf), R.LEDGER_TABLE, RULES))
+    return _sheet(spark, sf, "ledger", R.LEDGER_TABLE, lambda: B.ledger_sheet(spark, sf))
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    return _plan(spark, sf, "items", lambda: ingest.standardize(B.items_sheet(spark, sf, "Item"), "fact_marta", RULES))
+    return _sheet(spark, sf, "items", "fact_marta", lambda: B.items_sheet(spark, sf, "Item"))
 
 
 def rent(spark: SparkSession, sf: str) -> DataFrame:
-    return _plan(spark, sf, "rent",
-                 lambda: ingest.standardize(B.items_sheet(spark, sf, "Rubrica"), "fact_aluguel", RULES))
+    return _sheet(spark, sf, "rent", "fact_aluguel", lambda: B.items_sheet(spark, sf, "Rubrica"))
 
 
 def revenue(spark: SparkSession, sf: str) -> DataFrame:
-    return _plan(spark, sf, "revenue", lambda: ingest.standardize(B.revenue_sheet(spark, sf), "dim_meses", RULES))
+    return _sheet(spark, sf, "revenue", "dim_meses", lambda: B.revenue_sheet(spark, sf))
 
 
 def betting(spark: SparkSession, sf: str) -> DataFrame:
-    return _plan(spark, sf, "betting",
-                 lambda: ingest.standardize(B.betting_sheet(spark, sf), "fact_apostas_kto", RULES))
+    return _sheet(spark, sf, "betting", "fact_apostas_kto", lambda: B.betting_sheet(spark, sf))
 
 
 def category_sums(spark: SparkSession, sf: str) -> DataFrame:
     """The (period, category) sums that all category metrics read, computed once."""
-    return _plan(spark, sf, "category_sums", lambda: marts.category_period_sums(ledger(spark, sf), None, RULES))
+    def build(slug):
+        sums = marts.category_period_sums(ledger(spark, sf), None, RULES)
+        return ingest.materialize(sums, slug, cluster_by=S.PERIOD) if MATERIALIZE else sums
+    return _plan(spark, sf, "category_sums", build)
 
 
 def workbook(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    def build():
+    def build(slug):
         raw = B.workbook(spark, sf)
         out = {}
         for name, df in raw.items():
@@ -97,7 +97,7 @@ def workbook(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
                      "fact_aluguel": rent, "fact_apostas_kto": betting}.get(name)
             out[name] = known(spark, sf) if known else ingest.standardize(df, name, RULES)
         return out
-    return _plan(spark, sf, "workbook", build, materialize=False)
+    return _plan(spark, sf, "workbook", build)
 
 
 def _key(df: DataFrame) -> DataFrame:

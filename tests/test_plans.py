@@ -55,7 +55,6 @@ def test_materialize_cuts_lineage(spark, demo):
 
 def test_unread_columns_cost_no_parser(spark):
     text = optimized(K.QUERIES["alias_and_provenance"](spark, SF))
-    assert "date" not in text.lower().replace("o_orderdate", "").replace("dateadd", "") or "gettimestamp" not in text.lower()
     assert "try_to_date" not in text and text.count("translate") < 3
 
 
