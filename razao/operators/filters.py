@@ -7,6 +7,8 @@ the runtime statistics show it is small (AQE), else sort-merges.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,18 +16,31 @@ from .. import schema as S
 from ..functions.nulls import flag, not_in
 from ..functions.text import contains_any, normalize, normalize_py, normalize_terms
 from ..rules import DEFAULT_RULES, LedgerRules
+from .terms import add_contains_flag
 
 
-def period_filter(df: DataFrame, periods=None) -> DataFrame:
+def period_filter(df: DataFrame, periods=None, rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
     """FLT-2: keep the given periods; an empty selection keeps everything.
 
     On a table written by ``write_clean`` (partitioned by period) the test is
     partition pruning; on a materialized one Parquet skips row groups by it.
+    Where a row's period came from its date (``period_from``), the date must lie
+    between the first and the last period too, so files sorted by date are
+    skipped likewise; rows whose period came from elsewhere are kept or not by
+    their period alone, whatever their date.
     """
-    periods = [p for p in (periods or []) if p]
+    periods = sorted(p for p in (periods or []) if p)
     if not periods or S.PERIOD not in df.columns:
         return df
-    return df.where(F.col(S.PERIOD).isin(periods))
+    kept = df.where(F.col(S.PERIOD).isin(periods))
+    date = rules.roles.date
+    whole = all(re.fullmatch(r"\d{4}-(0[1-9]|1[0-2])", p) for p in periods)
+    if not whole or S.PERIOD_FROM not in df.columns or dict(df.dtypes).get(date) != "date":
+        return kept
+    year, month = map(int, periods[-1].split("-"))
+    first, after = f"{periods[0]}-01", f"{year + month // 12:04d}-{month % 12 + 1:02d}-01"
+    inside = (F.col(date) >= F.lit(first).cast("date")) & (F.col(date) < F.lit(after).cast("date"))
+    return kept.where(F.col(S.PERIOD_FROM).isNull() | (F.col(S.PERIOD_FROM) != S.FROM_DATE) | inside)
 
 
 def facet_filter(df: DataFrame, periods=None, accounts=None, categories=None,
@@ -95,17 +110,21 @@ def exclude_technical(df: DataFrame, rules: LedgerRules = DEFAULT_RULES, show_te
     return df.where(~technical | ~kept.exists())
 
 
-def receivable_items(df: DataFrame, item_col: str, rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
+def receivable_items(df: DataFrame, item_col: str, rules: LedgerRules = DEFAULT_RULES, terms: DataFrame | None = None) -> DataFrame:
     """FLT-14: items holding any receivable term, or a rebate; adds ``is_rebate`` and
-    ``item_text_norm`` (the standardized ``<item>_norm`` twin is reused when present)."""
+    ``item_text_norm`` (the standardized ``<item>_norm`` twin is reused when present).
+    ``terms``, a table with a column ``term`` of normalized terms, takes the place of the rules' list."""
     twin = S.norm(item_col)
     text = F.coalesce(F.col(twin), F.lit("")) if twin in df.columns else normalize(item_col)
     df = df.withColumn("__item_n", text)
-    terms = normalize_terms(rules.receivable_terms)
-    house = contains_any(F.col("__item_n"), terms, whole_word=rules.whole_word)
+    if terms is not None:
+        df = add_contains_flag(df, "__item_n", terms, "__house", rules.whole_word)
+        house = F.col("__house")
+    else:
+        house = contains_any(F.col("__item_n"), normalize_terms(rules.receivable_terms), whole_word=rules.whole_word)
     rebate = F.col("__item_n").rlike(rules.rebate_pattern)
     return (df.withColumn("is_rebate", flag(rebate))
-              .where(flag(house) | F.col("is_rebate")).withColumnRenamed("__item_n", "item_text_norm"))
+              .where(flag(house) | F.col("is_rebate")).drop("__house").withColumnRenamed("__item_n", "item_text_norm"))
 
 
 def utility_class(item: Column, rules: LedgerRules = DEFAULT_RULES, normalized: bool = False) -> Column:

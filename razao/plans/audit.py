@@ -1,8 +1,10 @@
 """Audit pack of the ledger (MRT-12): what was counted, what was left out, why.
 
-Every table is one aggregation over the classified ledger; the five monthly
-measures are conditional sums in a single pass (one shuffle on period)
-instead of five aggregates joined together.
+Each table alone is one aggregation over the classified ledger; the five monthly
+measures are conditional sums in a single pass (one shuffle on period) instead
+of five aggregates joined together. The whole pack is one aggregation too:
+``audit_cube`` has every measure by reason, by category, by account, by period
+and in total from one scan (GROUPING SETS), and its tables are cut out of that.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from .. import schema as S
-from ..functions.nulls import flag_or, sum0
+from ..functions.nulls import asc_last, desc_last, flag_or, sum0
+from ..functions.periods import month_label
 from ..functions.text import normalize_terms
 from ..operators import aggregates as A
 from ..operators import classify as C
@@ -114,14 +117,62 @@ def audit_samples(ledger: DataFrame, order_cols=(S.PERIOD,), n: int = 100) -> di
     }
 
 
-def audit_pack(ledger: DataFrame, rules: LedgerRules = DEFAULT_RULES, order_cols=(S.PERIOD,)) -> dict[str, DataFrame]:
-    """All audit tables; pass a materialized ledger (ingest.materialize) so each table scans Parquet."""
-    out = {
-        "summary": audit_summary(ledger, rules),
-        "exclusions": audit_exclusions(ledger, rules),
-        "months": audit_months(ledger, rules),
-        "categories": audit_categories(ledger, rules),
-        "sources": audit_sources(ledger, rules),
+CUBE_KEYS = (S.REASON, "category", "source", S.PERIOD)
+SECTIONS = ("exclusions", "categories", "sources", "months")
+MEASURES = ("row_count", "rows_counted", "yes", "no", "gross", "kept", "staked", "returned")
+
+
+def audit_cube(ledger: DataFrame, rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
+    """(section, key, measures): every measure of the pack by exclusion reason of the rows left out, by category
+    and by account of the rows counted, by period of all rows, and for the whole ledger (section ``summary``)."""
+    r = rules.roles
+    inc = S.norm(r.include_flag)
+    text = F.coalesce(F.col(inc), F.lit("")) if inc in ledger.columns else F.lit("")
+    personal, none = flag_or(ledger, S.IS_PERSONAL), F.lit(None).cast("string")
+    column = lambda c: F.col(c) if c in ledger.columns else none
+    non_total = ~flag_or(ledger, S.IS_TOTAL)
+    rows = ledger.select(
+        F.when(~personal, F.coalesce(F.nullif(column(S.REASON), F.lit("")), F.lit(R.REASON_OTHER))).alias(S.REASON),
+        F.when(personal, column(r.category)).alias("category"), F.when(personal, column(r.account)).alias("source"), column(S.PERIOD).alias(S.PERIOD),
+        _amount(ledger, rules).alias("v"), personal.alias("personal"), text.alias("answer"),
+        (flag_or(ledger, S.IS_STAKE) & non_total).alias("stake"), (flag_or(ledger, S.IS_PAYOUT) & non_total).alias("payout"))
+    v = F.col("v")
+    cube = rows.groupingSets([[k] for k in CUBE_KEYS] + [[]], *CUBE_KEYS).agg(
+        F.grouping_id().alias("sets"), F.count(F.lit(1)).alias("row_count"), F.count_if("personal").alias("rows_counted"),
+        F.count_if(F.col("answer").isin(list(normalize_terms(rules.truthy)))).alias("yes"),
+        F.count_if(F.col("answer").isin(list(normalize_terms(rules.falsy)))).alias("no"),
+        sum0(v).alias("gross"), sum0(F.when(F.col("personal"), v)).alias("kept"),
+        sum0(F.when(F.col("stake"), v)).alias("staked"), sum0(F.when(F.col("payout"), v)).alias("returned"))
+    every = (1 << len(CUBE_KEYS)) - 1
+    section, key = F.lit("summary"), none
+    for i, (name, column_name) in enumerate(zip(SECTIONS, CUBE_KEYS)):
+        here = F.col("sets") == every - (1 << len(CUBE_KEYS) - 1 - i)
+        section, key = F.when(here, F.lit(name)).otherwise(section), F.when(here, F.col(column_name)).otherwise(key)
+    # rows without a key aren't a group of their section
+    return cube.select(section.alias("section"), key.alias("key"), *MEASURES).where("section = 'summary' OR key IS NOT NULL")
+
+
+def audit_tables(cube: DataFrame) -> dict[str, DataFrame]:
+    """The pack's aggregated tables, cut out of a cube (``audit_cube``)."""
+    part = lambda name: cube.where(F.col("section") == name)
+    d = lambda c: F.col(c).cast("double")
+    pairs = [(METRIC_LOADED, "row_count"), (METRIC_YES, "yes"), (METRIC_NO, "no"), (METRIC_GROSS, "gross"), (METRIC_KEPT, "kept")]
+    stack = F.inline(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(m).alias("metric"), d(c).alias("value")) for i, (m, c) in enumerate(pairs)]))
+    counted = lambda name, column: (part(name).select(F.col("key").alias(column), "row_count", "kept")
+                                    .orderBy(desc_last("kept"), asc_last(column)))
+    categories = A.share_of_total(counted("categories", "category"), "kept", "share_pct")
+    return {
+        "summary": part("summary").select(stack).orderBy("position"),
+        "exclusions": part("exclusions").orderBy(desc_last("gross"), asc_last("key")).select(F.col("key").alias(S.REASON), "row_count", d("gross").alias("total")),
+        "months": part("months").select(F.col("key").alias(S.PERIOD), month_label(F.col("key")).alias(S.PERIOD_LABEL), d("gross").alias("gross"), d("kept").alias("personal"),
+                                        (F.col("gross") - F.col("kept")).cast("double").alias("excluded"), d("staked").alias("staked"),
+                                        d("returned").alias("returned")).orderBy(S.PERIOD),
+        "categories": categories.select("category", "row_count", d("kept").alias("total"), "share_pct"),
+        "sources": counted("sources", "source").select("source", "row_count", d("kept").alias("total")),
     }
-    out.update(audit_samples(ledger, order_cols))
-    return out
+
+
+def audit_pack(ledger: DataFrame, rules: LedgerRules = DEFAULT_RULES, order_cols=(S.PERIOD,), cube: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All audit tables. Pass a materialized ledger, and ``cube=ingest.materialize(audit_cube(ledger), name)``
+    to have the five aggregated tables from one scan of it; the row samples read the ledger."""
+    return audit_tables(audit_cube(ledger, rules) if cube is None else cube) | audit_samples(ledger, order_cols)

@@ -25,6 +25,7 @@ from ..functions.nulls import col_or
 from ..operators import aggregates as A
 from ..operators import classify as C
 from ..operators import filters as FL
+from ..operators import terms as TM
 from ..session import app_id, ensure_checkpoint_dir
 from ..sources import bindings as B
 from ..sources import ingest, parts
@@ -51,13 +52,20 @@ def _plan(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
         return _PLANS[key]
 
 
+def checks(spark: SparkSession, sf: str) -> dict[str, dict[str, int]]:
+    """The counts observed while the inputs were written, by table."""
+    return _plan(spark, sf, "checks", lambda slug: {})
+
+
 def _sheet(spark: SparkSession, sf: str, name: str, table: str, raw) -> DataFrame:
     """A standardized input, written once to the shared checkpoint folder and read back, so queries that use
     the ledger several times scan clean Parquet instead of re-parsing text in every branch. The test tables
     are single row groups, which one task reads alone. With ``RAZAO_MATERIALIZE=0`` only the lazy plan is kept."""
     if not MATERIALIZE:
         return _plan(spark, sf, name, lambda slug: ingest.standardize(raw(), table, RULES))
-    return _plan(spark, sf, name, lambda slug: ingest.ingest_table(raw(), table, slug, RULES, unsplit=True, cluster_by=S.PERIOD))
+    counts = checks(spark, sf).setdefault(table, {})
+    return _plan(spark, sf, name, lambda slug: ingest.ingest_table(raw(), table, slug, RULES, unsplit=True, cluster_by=S.PERIOD,
+                                                                   checks=quality.row_checks, into=counts))
 
 
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
@@ -332,6 +340,14 @@ def q_period_filter(spark, sf):
     return _key(df).select(KEY, S.PERIOD, _amount())
 
 
+def q_period_date_range(spark, sf):
+    """FLT-2 where the period came from the date: a pushed range of dates beside the periods."""
+    o = B.table(spark, sf, "orders")
+    raw = o.select(F.col("o_orderkey").cast("string").alias("Código"), F.date_format(B._shifted(F.col("o_orderdate")), "dd/MM/yyyy").alias("Data"))
+    by_date = _plan(spark, sf, "by_date", lambda slug: ingest.materialize(ingest.standardize(raw, "fact_dates", RULES), slug, cluster_by="data"))
+    return _key(FL.period_filter(by_date, SELECTED_PERIODS, RULES)).select(KEY, S.PERIOD, F.col("data").alias("date"))
+
+
 FACET_ACCOUNTS = ("Conta Corrente",)
 FACET_CATEGORIES = ("Mercado", "Lazer")
 FACET_PERIODS = tuple(f"2025-{m:02d}" for m in range(1, 13))
@@ -394,6 +410,38 @@ def q_document_search(spark, sf):
     return FL.description_search(d, DOC_TERM, "regex", RULES).select("doc_id")
 
 
+def q_term_table_search(spark, sf):
+    """Thousands of terms in a table (the longer words of the conversations), searched in whole documents."""
+    words = B.table(spark, sf, "conversations").select(F.explode(F.split("text", " ")).alias("term")).where(F.char_length("term") >= 7)
+    docs = B.table(spark, sf, "documents").select("doc_id", "text")
+    found = TM.matches(docs, words, gram=6).groupBy("text").agg(F.count(F.lit(1)).alias("n_terms"))
+    return docs.join(found, "text").select("doc_id", "n_terms")
+
+
+def q_shared_home_table(spark, sf):
+    """FLT-9 with its names in a table."""
+    names = spark.createDataFrame([(n,) for n in T.normalize_terms(RULES.shared_home_names)], "term string")
+    df = TM.add_listed_flag(_key(ledger(spark, sf)), ["descricao_norm"], names, "listed")
+    return df.select(KEY, (F.col("listed") & (F.col("categoria_dashboard_norm") == "custo de casa")).alias("shared_home"))
+
+
+def q_receivable_term_table(spark, sf):
+    """FLT-14 with its terms in a table."""
+    terms = spark.createDataFrame([(n,) for n in T.normalize_terms(RULES.receivable_terms)], "term string")
+    kept = FL.receivable_items(items(spark, sf), "item", RULES, terms)
+    return kept.groupBy(S.PERIOD, "item", "is_rebate").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+BILL_TERMS = (("luz", "Luz", 1), ("gas", "Gás", 2), ("celular", "Celular", 3), ("telemovel", "Celular", 3), ("internet", "Internet + TV", 4), ("tv", "Internet + TV", 4))
+
+
+def q_bill_term_table(spark, sf):
+    """FLT-15 with its terms in a table, the last class winning."""
+    terms = spark.createDataFrame(BILL_TERMS, "term string, label string, place int")
+    out = TM.add_term_class(items(spark, sf), "item_norm", terms, "bill")
+    return out.groupBy("item", "bill").agg(F.count(F.lit(1)).alias("row_count"))
+
+
 def q_technical_exclusion(spark, sf):
     return _key(FL.exclude_technical(ledger(spark, sf), RULES)).select(KEY, "categoria_dashboard")
 
@@ -568,6 +616,37 @@ def q_bet_detail(spark, sf):
     return marts.bet_detail(ledger(spark, sf), RULES)
 
 
+def q_bet_running_rows(spark, sf):
+    """WIN-4 and WIN-1 at row grain: the balance after every betting row, and the row before."""
+    df = _key(ledger(spark, sf)).where((F.col(S.IS_STAKE) | F.col(S.IS_PAYOUT)) & ~F.col(S.IS_TOTAL))
+    amount = F.col(RULES.roles.amount)
+    rows = df.select(KEY, F.col("data").alias("date"), F.when(F.col(S.IS_PAYOUT), amount).otherwise(-amount).alias("value"))
+    out = A.running_rows(rows, "value", ("date", KEY))
+    return out.select(KEY, "date", *[F.col(c).cast("double").alias(c) for c in ("value", "running", "previous")])
+
+
+def q_month_merge(spark, sf):
+    """JON-1 over three tables of their own: revenue, cash costs and stakes by month."""
+    stakes = betting(spark, sf).where(F.col("tipo_norm") == "bet")
+    out = A.merge_by_key({"revenue": (revenue(spark, sf), "receita_salario"), "cash": (C.cash_costs(ledger(spark, sf), RULES), RULES.roles.amount),
+                          "staked": (stakes, RULES.roles.amount)})
+    return out.select(S.PERIOD, *[F.col(c).cast("double").alias(c) for c in ("revenue", "cash", "staked")])
+
+
+def q_distinct_estimate(spark, sf):
+    """AGG-9 from sketches by month, merged for the whole: within 2 % of the exact count."""
+    df = ledger(spark, sf)
+    sketches = A.distinct_sketches(df, S.PERIOD, "descricao")
+    rows = df.where(F.col(S.PERIOD).isNotNull())
+    parts = []
+    for keys, name in (([S.PERIOD], F.col(S.PERIOD)), ([], F.lit("all"))):
+        exact, about = rows.groupBy(*keys).agg(F.count_distinct("descricao").alias("exact")), A.distinct_estimate(sketches, keys)
+        both = exact.join(about, keys) if keys else exact.crossJoin(about)  # one row each
+        parts.append(both.select(name.alias("scope"), F.col("exact").alias("distinct_items"),
+                                 (F.abs(F.col("distinct_items") - F.col("exact")) <= 0.02 * F.col("exact")).alias("within_two_percent")))
+    return A.union_all(*parts)
+
+
 # ------------------------------------------------------------------ audit and quality
 
 def q_audit_summary(spark, sf):
@@ -594,6 +673,13 @@ def q_audit_sources(spark, sf):
     return audit.audit_sources(ledger(spark, sf), RULES)
 
 
+def q_audit_pack(spark, sf):
+    """All aggregated tables of the pack from one scan."""
+    cube = audit.audit_cube(ledger(spark, sf), RULES)
+    return cube.select("section", "key", *[F.col(m).cast("double").alias(m) if m in ("gross", "kept", "staked", "returned") else F.col(m)
+                                           for m in audit.MEASURES])
+
+
 def q_audit_sample_included(spark, sf):
     s = audit.audit_samples(_key(ledger(spark, sf)), order_cols=(KEY,))["included"]
     return s.withColumn(RULES.roles.amount, F.col(RULES.roles.amount).cast("double"))
@@ -604,12 +690,23 @@ def q_audit_sample_excluded(spark, sf):
     return s.withColumn(RULES.roles.amount, F.col(RULES.roles.amount).cast("double"))
 
 
+def _known(spark, sf):
+    return {name: counts for name, counts in checks(spark, sf).items() if counts}
+
+
 def q_quality_report(spark, sf):
+    book = workbook(spark, sf)
+    return quality.quality_issues(spark, book, R.TABLE_NAMES, RULES, _known(spark, sf))
+
+
+def q_quality_scan(spark, sf):
+    """The same report where no counts are known: one aggregation for each table."""
     return quality.quality_issues(spark, workbook(spark, sf), R.TABLE_NAMES, RULES)
 
 
 def q_table_inventory(spark, sf):
-    return quality.table_inventory(spark, workbook(spark, sf), R.TABLE_NAMES)
+    book = workbook(spark, sf)
+    return quality.table_inventory(spark, book, R.TABLE_NAMES, _known(spark, sf))
 
 
 def q_quality_incomplete(spark, sf):

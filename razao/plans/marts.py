@@ -381,24 +381,25 @@ def receivable_rows(items: DataFrame, rules: LedgerRules = DEFAULT_RULES) -> Dat
         F.col("item_text_norm"))
 
 
-def receivable_statement(items: DataFrame, rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
-    """MRT-7 + AGG-8: every detail row as it is, and one total row per month, in period order."""
+def receivable_statement(items: DataFrame, rules: LedgerRules = DEFAULT_RULES, ordered: bool = False) -> DataFrame:
+    """MRT-7 + AGG-8: every detail row as it is, and one total row per month. ``ordered`` sorts all rows
+    by month, details before the total, then item: a shuffle of every row, for presentation."""
     rows = receivable_rows(items, rules).drop("item_text_norm")
     totals = (rows.groupBy(S.PERIOD, S.PERIOD_LABEL).agg(sum0(F.col("value")).alias("value"))
               .select(S.PERIOD, S.PERIOD_LABEL, F.lit(R.RECEIVABLE_TOTAL_ITEM).alias("item"),
                       F.lit(R.RECEIVABLE_TOTAL_TYPE).alias("kind"), F.lit(2).alias("row_order"), "value"))
-    return (A.union_all(rows, totals)
-            .select(S.PERIOD, S.PERIOD_LABEL, "item", "kind", _dbl(F.col("value")).alias("value"), "row_order")
-            .orderBy(asc_last(S.PERIOD), "row_order", "item"))
+    out = A.union_all(rows, totals).select(S.PERIOD, S.PERIOD_LABEL, "item", "kind", _dbl(F.col("value")).alias("value"), "row_order")
+    return out.orderBy(asc_last(S.PERIOD), "row_order", "item") if ordered else out
 
 
-def receivable_view(items: DataFrame, rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
-    """MRT-7 detail by group (FLT-18): months, groups and types (SRT-5) in their fixed orders, then items."""
+def receivable_view(items: DataFrame, rules: LedgerRules = DEFAULT_RULES, ordered: bool = False) -> DataFrame:
+    """MRT-7 detail by group (FLT-18). ``ordered`` sorts all rows by month, group (alphabetically), type in
+    its fixed order (SRT-5) and item: a shuffle of every row, for presentation."""
     rows = receivable_rows(items, rules)
     group = C.receivable_group(F.col("item_text_norm"), F.col("kind"), F.col("value"), rules, item_normalized=True)
-    return (rows.select(group.alias("group"), S.PERIOD, S.PERIOD_LABEL, "item", "kind", _dbl(F.col("value")).alias("value"),
-                        A.rank_of(F.col("kind"), rules.type_order).alias("type_order"))
-            .orderBy(asc_last(S.PERIOD), "group", "type_order", "item"))
+    out = rows.select(group.alias("group"), S.PERIOD, S.PERIOD_LABEL, "item", "kind", _dbl(F.col("value")).alias("value"),
+                      A.rank_of(F.col("kind"), rules.type_order).alias("type_order"))
+    return out.orderBy(asc_last(S.PERIOD), "group", "type_order", "item") if ordered else out
 
 
 def receivable_totals(items: DataFrame, rules: LedgerRules = DEFAULT_RULES) -> DataFrame:

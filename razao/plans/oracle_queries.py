@@ -4,7 +4,7 @@ truth CTEs). Keys and column names match ``plans.catalogue.QUERIES``."""
 from __future__ import annotations
 
 from . import catalogue as K
-from .oracle import (ISSUE_NO_AMOUNT, ISSUE_NO_CATEGORY, ISSUE_NO_MONTH, ISSUE_TOTAL_LINES, BETS, ITEMS, LEDGER, REVENUE, in_list, label, label_or_empty, norm, q, with_ctes,
+from .oracle import (FALSY, TRUTHY, ISSUE_NO_AMOUNT, ISSUE_NO_CATEGORY, ISSUE_NO_MONTH, ISSUE_TOTAL_LINES, BETS, ITEMS, LEDGER, REVENUE, in_list, label, label_or_empty, norm, q, sum0, with_ctes,
                      ACCRUAL_NOTES, ACCRUAL_NOTE_TEMPLATE, CASH_NOTES, CASH_NOTE_DEFAULT, FALSY, GROUP_EXCLUSIVE, HOUSE_SOURCE_TX, RECEIVABLE_HOUSE_TYPE, RECEIVABLE_REBATE_TYPE, RECEIVABLE_TOTAL_ITEM, RECEIVABLE_TOTAL_TYPE, TECHNICAL_CATEGORIES, TRUTHY)
 
 RECEIVABLE_RE = "aluguel|aluguer|alugue|condominio|iptu|internet|tv|seguro telemovel|celular|telefone|telemovel|movel|wellhub|gympass|gym pass|luz|gas"
@@ -173,6 +173,42 @@ UNION ALL SELECT 'dim_meses', 'receita_salario', NULL, count(*), CAST(sum(revenu
        CASE s_suppkey % 8 WHEN 0 THEN 'he said "hi", ' || s_name WHEN 1 THEN '  ' || s_name || ' '
             WHEN 2 THEN s_name || chr(10) || 'second line' WHEN 3 THEN '"' || s_name || '",' || chr(10) || '"a","b"'
             WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 6 THEN s_name || chr(92) ELSE s_name END AS note FROM supplier""",
+    "audit_pack": L + f""",
+b AS (SELECT CASE WHEN NOT is_personal_cost THEN coalesce(nullif(exclusion_reason, ''), 'outros') END AS reason,
+             CASE WHEN is_personal_cost THEN category END AS category, CASE WHEN is_personal_cost THEN account END AS account, period,
+             amount, is_personal_cost AS personal, include_n, is_stake AND NOT is_total_line AS stake, is_payout AND NOT is_total_line AS payout FROM L),
+s AS (SELECT 'exclusions' AS section, reason AS key, * FROM b WHERE reason IS NOT NULL
+      UNION ALL SELECT 'categories', category, * FROM b WHERE category IS NOT NULL
+      UNION ALL SELECT 'sources', account, * FROM b WHERE account IS NOT NULL
+      UNION ALL SELECT 'months', period, * FROM b WHERE period IS NOT NULL
+      UNION ALL SELECT 'summary', NULL, * FROM b)
+SELECT section, key, count(*) AS row_count, count(*) FILTER (personal) AS rows_counted, count(*) FILTER (include_n IN {in_list(TRUTHY)}) AS yes,
+       count(*) FILTER (include_n IN {in_list(FALSY)}) AS no, {sum0('amount')} AS gross, {sum0('CASE WHEN personal THEN amount END')} AS kept,
+       {sum0('CASE WHEN stake THEN amount END')} AS staked, {sum0('CASE WHEN payout THEN amount END')} AS returned
+FROM s GROUP BY section, key""",
+    "bet_running_rows": L + """,
+b AS (SELECT k, date, CASE WHEN is_payout THEN amount ELSE -amount END AS v FROM L WHERE (is_stake OR is_payout) AND NOT is_total_line)
+SELECT k AS codigo, date, CAST(v AS DOUBLE) AS value, CAST(coalesce(sum(v) OVER (ORDER BY date, k ROWS UNBOUNDED PRECEDING), 0) AS DOUBLE) AS running,
+       CAST(lag(v) OVER (ORDER BY date, k) AS DOUBLE) AS previous FROM b""",
+    "month_merge": with_ctes(LEDGER, REVENUE, BETS) + """,
+u AS (SELECT period, revenue AS revenue, NULL AS cash, NULL AS staked FROM R
+      UNION ALL SELECT period, NULL, cost, NULL FROM cash UNION ALL SELECT period, NULL, NULL, amount FROM E WHERE kind = 'bet')
+SELECT period, CAST(coalesce(sum(revenue), 0) AS DOUBLE) AS revenue, CAST(coalesce(sum(cash), 0) AS DOUBLE) AS cash,
+       CAST(coalesce(sum(staked), 0) AS DOUBLE) AS staked FROM u WHERE period IS NOT NULL GROUP BY period""",
+    "distinct_estimate": L + """
+SELECT period AS scope, count(DISTINCT description) AS distinct_items, true AS within_two_percent FROM L WHERE period IS NOT NULL GROUP BY period
+UNION ALL SELECT 'all', count(DISTINCT description), true FROM L WHERE period IS NOT NULL""",
+    "period_date_range": L + """
+SELECT k AS codigo, period, date FROM L WHERE period IN ('2024-03', '2025-12', '2026-08')""",
+    "term_table_search": """WITH t AS (SELECT DISTINCT term FROM (SELECT unnest(string_split(text, ' ')) AS term FROM conversations) WHERE length(term) >= 7)
+SELECT doc_id, count(*) AS n_terms FROM documents JOIN t ON contains(text, term) GROUP BY doc_id""",
+    "shared_home_table": L + " SELECT k AS codigo, shared_home FROM L",
+    "receivable_term_table": LI + f"""
+SELECT period, item, regexp_matches(item_n, '{REBATE_RE}') AS is_rebate, count(*) AS row_count FROM I
+WHERE regexp_matches(item_n, '{RECEIVABLE_RE}') OR regexp_matches(item_n, '{REBATE_RE}') GROUP BY ALL""",
+    "bill_term_table": LI + """
+SELECT item, CASE WHEN contains(item_n, 'internet') OR contains(item_n, 'tv') THEN 'Internet + TV' WHEN contains(item_n, 'celular') OR contains(item_n, 'telemovel')
+       THEN 'Celular' WHEN contains(item_n, 'gas') THEN 'Gás' WHEN contains(item_n, 'luz') THEN 'Luz' END AS bill, count(*) AS row_count FROM I GROUP BY ALL""",
     "csv_parts": """WITH c AS (SELECT c_custkey AS k, c_name AS name, CAST(round(c_acctbal * 100) AS BIGINT) AS cents, c_custkey // 500 % 3 AS layout,
        c_custkey % 50 < 2 AS ragged FROM customer)
 SELECT CASE WHEN NOT ragged THEN k END AS c_custkey, CASE WHEN NOT ragged THEN name END AS c_name, CASE WHEN NOT ragged AND layout < 2 THEN cents END AS cents,
@@ -439,6 +475,7 @@ FROM L WHERE is_personal_cost AND account IS NOT NULL GROUP BY account""",
     "audit_sample_included": _sample("instalment AS parcela_compra", "is_personal_cost"),
     "audit_sample_excluded": _sample("exclusion_reason", "NOT is_personal_cost"),
     "quality_report": LI + "\n" + "\nUNION ALL\n".join(ISSUES),
+    "quality_scan": LI + "\n" + "\nUNION ALL\n".join(ISSUES),
     "quality_incomplete": LI + "\n" + "\nUNION ALL\n".join([
         "SELECT 'fact_transacoes' AS table_name, 'aviso' AS level, "
         "'Colunas esperadas ausentes: valor_euro_dashboard, parcela_compra' AS message",

@@ -2,14 +2,14 @@
 
 Schema checks (a missing table, missing expected columns) are decided on the
 driver from the schema. Row checks (total lines, rows without a month,
-invalid amounts, blank categories) are one aggregation per table, turned
-into issue rows on the cluster and unioned; the result is a small DataFrame
-of issues in table order.
+invalid amounts, blank categories) are counted while a table is written
+(``ingest.ingest_table(checks=...)``); a table that wasn't written so is
+aggregated once. The result is a small DataFrame of issues in table order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
@@ -25,46 +25,51 @@ def _literal_issues(spark: SparkSession, rows) -> DataFrame:
     return spark.createDataFrame(rows, ISSUE_SCHEMA)
 
 
-def _row_issues(df: DataFrame, table: str, order: int, rules: LedgerRules) -> DataFrame | None:
-    """DQ-3..6 for one table: one aggregate, then at most four issue rows."""
+#: Check name, its place, and its message after the count (or alone).
+CHECKS = (("total_lines", 1, R.ISSUE_TOTAL_LINES, True), ("no_month", 2, R.ISSUE_NO_MONTH, True),
+          ("no_amount", 3, R.ISSUE_NO_AMOUNT, True), ("blank_category", 4, R.ISSUE_NO_CATEGORY, False))
+
+
+def row_checks(df: DataFrame, table: str, rules: LedgerRules = DEFAULT_RULES) -> dict[str, Column]:
+    """DQ-3..7: the counts of one table as aggregate expressions. ``ingest.ingest_table(checks=...)``
+    gathers them while it writes the table, so that the report reads no row again."""
     r = rules.roles
-    aggs = {}
+    aggs = {"rows": F.count(F.lit(1))}
     if S.IS_TOTAL in df.columns:
         aggs["total_lines"] = F.count_if(flag_or(df, S.IS_TOTAL))
     if S.PERIOD in df.columns:
         aggs["no_month"] = F.count_if(F.col(S.PERIOD).isNull())
-    is_ledger = table == LEDGER_TABLE
-    if is_ledger and r.amount in df.columns:
+    if table == LEDGER_TABLE and r.amount in df.columns:
         aggs["no_amount"] = F.count_if(F.col(r.amount).isNull())
-    if is_ledger and r.category in df.columns:
+    if table == LEDGER_TABLE and r.category in df.columns:
         aggs["blank_category"] = F.count_if(F.coalesce(strip(F.col(r.category)), F.lit("")) == "")
-    if not aggs:
+    return aggs
+
+
+def _row_issues(df: DataFrame, table: str, order: int, rules: LedgerRules) -> DataFrame | None:
+    """DQ-3..6 for one table whose counts aren't known: one aggregate, then at most four issue rows."""
+    aggs = row_checks(df, table, rules)
+    if len(aggs) == 1:
         return None
-    one = df.agg(F.count(F.lit(1)).alias("rows"), *[e.alias(n) for n, e in aggs.items()])
-    names = list(aggs)
-    checks = []
-    if "total_lines" in names:
-        checks.append((1, F.col("total_lines") > 0,
-                       F.concat(F.col("total_lines").cast("string"), F.lit(R.ISSUE_TOTAL_LINES))))
-    if "no_month" in names:
-        checks.append((2, (F.col("no_month") > 0) & (F.col("rows") > 0),
-                       F.concat(F.col("no_month").cast("string"), F.lit(R.ISSUE_NO_MONTH))))
-    if "no_amount" in names:
-        checks.append((3, (F.col("no_amount") > 0) & (F.col("rows") > 0),
-                       F.concat(F.col("no_amount").cast("string"), F.lit(R.ISSUE_NO_AMOUNT))))
-    if "blank_category" in names:
-        checks.append((4, (F.col("blank_category") > 0) & (F.col("rows") > 0), F.lit(R.ISSUE_NO_CATEGORY)))
-    rows = F.array(*[F.when(cond, F.struct(F.lit(i).alias("check_order"), msg.alias("message")))
-                     for i, cond, msg in checks])
+    one = df.agg(*[e.alias(n) for n, e in aggs.items()])
+    rows = F.array(*[F.when(F.col(n) > 0, F.struct(F.lit(i).alias("check_order"), (F.concat(F.col(n).cast("string"), F.lit(text)) if counted
+                                                                                   else F.lit(text)).alias("message")))
+                     for n, i, text, counted in CHECKS if n in aggs])
     return (one.select(F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("i"))
             .select(F.lit(order).alias("table_order"), F.col("i.check_order").alias("check_order"),
                     F.lit(table).alias("table_name"), F.lit(R.LEVEL_WARNING).alias("level"),
                     F.col("i.message").alias("message")))
 
 
+def _known_issues(counts: dict[str, int], table: str, order: int) -> list[tuple]:
+    """The same from known counts."""
+    return [(order, i, table, R.LEVEL_WARNING, f"{counts[n]}{text}" if counted else text) for n, i, text, counted in CHECKS if counts.get(n, 0) > 0]
+
+
 def quality_issues(spark: SparkSession, tables: dict[str, DataFrame], names=R.TABLE_NAMES,
-                   rules: LedgerRules = DEFAULT_RULES) -> DataFrame:
-    """DQ-1..6 + DQ-8: every issue as (table, level, message), in table order."""
+                   rules: LedgerRules = DEFAULT_RULES, checks: dict[str, dict[str, int]] | None = None) -> DataFrame:
+    """DQ-1..6 + DQ-8: every issue as (table, level, message), in table order. Tables whose counts are
+    in ``checks`` aren't read."""
     expected = dict(R.EXPECTED_COLUMNS)
     literal = []
     parts = []
@@ -76,6 +81,9 @@ def quality_issues(spark: SparkSession, tables: dict[str, DataFrame], names=R.TA
         missing = [c for c in expected.get(name, ()) if c not in df.columns]
         if missing:
             literal.append((order, 0, name, R.LEVEL_WARNING, R.ISSUE_MISSING_COLUMNS + ", ".join(missing)))
+        if name in (checks or {}):
+            literal += _known_issues(checks[name], name, order)
+            continue
         part = _row_issues(df, name, order, rules)
         if part is not None:
             parts.append(part)
@@ -91,12 +99,14 @@ def quality_status(issues: DataFrame) -> DataFrame:
         F.when(F.col("issues") == 0, F.lit("OK")).otherwise(F.lit("Atenção")).alias("status"), "issues")
 
 
-def table_inventory(spark: SparkSession, tables: dict[str, DataFrame], names=R.TABLE_NAMES) -> DataFrame:
-    """DQ-7: rows and column list per table (one count per table, unioned)."""
+def table_inventory(spark: SparkSession, tables: dict[str, DataFrame], names=R.TABLE_NAMES,
+                    checks: dict[str, dict[str, int]] | None = None) -> DataFrame:
+    """DQ-7: rows and column list per table (one count per table, unioned; none where ``checks`` has it)."""
     out = None
     for order, name in enumerate(names):
-        if name not in tables:
-            part = spark.createDataFrame([(order, name, 0, "")], "table_order int, table_name string, row_count long, columns string")
+        if name not in tables or name in (checks or {}):
+            known = (checks[name]["rows"], ", ".join(tables[name].columns)) if name in tables else (0, "")
+            part = spark.createDataFrame([(order, name, *known)], "table_order int, table_name string, row_count long, columns string")
         else:
             df = tables[name]
             part = df.agg(F.count(F.lit(1)).alias("row_count")).select(

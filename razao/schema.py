@@ -11,6 +11,8 @@ import re
 
 PERIOD = "period"
 PERIOD_LABEL = "period_label"
+PERIOD_FROM = "period_from"  # only where a table's periods came from its dates
+FROM_DATE = "date"
 IS_TOTAL = "is_total_line"
 IS_PAYOUT = "is_payout"
 IS_STAKE = "is_stake"
