@@ -14,8 +14,10 @@ vanishes. Peeling then recovers the differing digests: a cell with count 1 or -1
 whose check fits holds exactly one, which is taken out of its other cells, one
 subtable after the other, until nothing is left. If something is left the same
 is done with larger sketches (``SIZES``). Digests are dealt over blocks by
-their hash first, about ``PER_BLOCK`` a block, each with its own small sketch,
-so the work grows with a text's length and not with its square.
+their hash first, about ``PER_BLOCK`` a block, each with its own small sketch, so
+peeling grows with a text's length. They are dealt in two steps, over rows of
+blocks and within each row, which takes a look at each digest for every row and
+for every block of a row: length times the root of the blocks, not times blocks.
 
 The fingerprint is the smallest sketch of the whole set as hexadecimal text. The
 likeness of two is the share of common paragraphs among all, from the two sizes
@@ -87,18 +89,24 @@ def added(held: Column, x: Column, sign: int) -> Column:
     return F.struct((held["n"] + sign * x["n"]).alias("n"), held["key"].bitwiseXOR(x["key"]).alias("key"), held["chk"].bitwiseXOR(x["chk"]).alias("chk"))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, as the only element of an array: within a lambda an expression
+    is computed again wherever it stands."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def applied(cells: Column, items: Column, sign: int, size: int) -> Column:
-    """Every cell with the items that fall into it added or taken out."""
-    def one(held: Column, i: Column) -> Column:
-        falls = lambda x: F.when(i < size, x["c0"] == i).when(i < 2 * size, x["c1"] == i - size).otherwise(x["c2"] == i - 2 * size)
-        return F.aggregate(F.filter(items, falls), held, lambda acc, x: added(acc, x, sign))
-    return F.transform(cells, one)
+    """Every cell with the items that fall into it added or taken out. ``items`` must be bound."""
+    def table(t: int) -> Column:
+        return F.transform(F.slice(cells, t * size + 1, size), lambda held, i: F.aggregate(
+            F.filter(items, lambda x: x[f"c{t}"] == i), held, lambda acc, x: added(acc, x, sign)))
+    return F.concat(*map(table, range(3)))
 
 
 def sketch(keys: Column, sign: int, size: int) -> Column:
     """The cells of a set of digests; sign -1 makes them ready to be subtracted."""
     items = F.transform(keys, lambda k: item(k, F.lit(sign), size))
-    return applied(F.array_repeat(nothing(), 3 * size), items, 1, size)
+    return bound(items, lambda xs: applied(F.array_repeat(nothing(), 3 * size), xs, 1, size))
 
 
 def subtracted(a: Column, b: Column) -> Column:
@@ -111,9 +119,8 @@ def peeled(cells: Column, size: int) -> Column:
     def step(state: Column, at: Column) -> Column:
         own = F.slice(state["cells"], (at % 3) * size + 1, size)
         pure = F.transform(F.filter(own, lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == check(c["key"]))), lambda c: item(c["key"], c["n"], size))
-        # the array is bound once, as the only element of another
-        return F.element_at(F.transform(F.array(pure), lambda p: F.when(F.size(p) == 0, state).otherwise(
-            F.struct(applied(state["cells"], p, -1, size).alias("cells"), (state["found"] + F.size(p)).alias("found")))), 1)
+        return bound(pure, lambda p: F.when(F.size(p) == 0, state).otherwise(
+            F.struct(applied(state["cells"], p, -1, size).alias("cells"), (state["found"] + F.size(p)).alias("found"))))
     start = F.struct(cells.alias("cells"), F.lit(0).alias("found"))
     clean = lambda s: F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["chk"] == 0))
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.when(clean(s), s["found"]))
@@ -125,10 +132,20 @@ def differing(a: Column, b: Column) -> Column:
     def block(x: Column, y: Column) -> Column:
         tries = [peeled(subtracted(sketch(x, 1, s), sketch(y, -1, s)), s) for s in SIZES]
         return F.coalesce(*tries)
-    blocks = F.ceil((F.size(a) + F.size(b) + 1) / (2 * PER_BLOCK)).cast("int")
-    inside = lambda keys, i, n: F.filter(keys, lambda k: F.pmod(F.shiftrightunsigned(k, 48), n) == i)
-    each = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(inside(a, i, blocks).alias("x"), inside(b, i, blocks).alias("y")))
-    return F.aggregate(F.transform(each, lambda s: block(s["x"], s["y"])), F.lit(0), lambda acc, d: acc + d)
+    inside = lambda keys, part, i: F.filter(keys, lambda k: part(k) == i)
+
+    def dealt(shape: Column) -> Column:
+        row = lambda k: F.pmod(F.shiftrightunsigned(k, 48), shape["across"])
+        column = lambda k: F.pmod(F.shiftrightunsigned(k, 32), shape["along"])
+        # a row's keys are picked first and its blocks' from these, so no key is looked at for every block
+        rows = F.transform(F.sequence(F.lit(0), shape["across"] - 1), lambda i: F.struct(inside(a, row, i).alias("x"), inside(b, row, i).alias("y")))
+        each = F.transform(rows, lambda r: F.transform(F.sequence(F.lit(0), shape["along"] - 1), lambda j: F.struct(
+            inside(r["x"], column, j).alias("x"), inside(r["y"], column, j).alias("y"))))
+        return F.aggregate(F.transform(F.flatten(each), lambda s: block(s["x"], s["y"])), F.lit(0), lambda acc, d: acc + d)
+
+    blocks = F.ceil((F.size(a) + F.size(b) + 1) / (2 * PER_BLOCK))
+    across = F.floor(F.sqrt(blocks)).cast("int")  # rows of blocks
+    return bound(F.struct(across.alias("across"), F.ceil(blocks / across).cast("int").alias("along")), dealt)
 
 
 def likeness(a: Column, b: Column, differ: Column) -> Column:
@@ -144,7 +161,8 @@ def fingerprint(keys: Column) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, next): every document with the text of the next one by id, the last with the first one's.
+    """(doc_id, text, next, own, other): every document with the text of the next one by id, the last with the first
+    one's, and the paragraph digests of both, so that each text is cut into paragraphs once.
 
     The order is cut into buckets at rows of the table, from a sorted sample of keys. A row that opens a bucket is
     also sent, as a mark, to the bucket before, so one shuffle and one window per bucket do the whole order."""
@@ -169,10 +187,12 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     very_first = F.lit(False) if first is None else (F.col("k") == first["k"]) & (F.col("h") == first["h"])
     place = lambda b, order: F.struct(b.alias("b"), F.lit(order).alias("after"))
     places = F.array(place(at, 0), F.when(opens, place(at - 1, 1)), F.when(very_first, place(F.lit(len(bounds)), 2)))
-    dealt = rows.withColumn("bucket", bucket).withColumn("place", F.explode(F.filter(places, lambda p: p.isNotNull()))).select(
-        "doc_id", "k", "h", "text", F.col("place.b").alias("bucket"), F.col("place.after").alias("after"))
+    dealt = rows.withColumn("own", digests(F.col("text"))).withColumn("bucket", bucket).withColumn("place", F.explode(F.filter(places, lambda p: p.isNotNull()))).select(
+        "doc_id", "k", "h", "text", "own", F.col("place.b").alias("bucket"), F.col("place.after").alias("after"))
     order = Window.partitionBy("bucket").orderBy("after", "k", "h")
-    return dealt.withColumn("next", F.lead("text").over(order)).where("after = 0").select("doc_id", "text", "next")
+    following = F.lead(F.struct("text", "own")).over(order)
+    return dealt.withColumn("following", following).where("after = 0").select(
+        "doc_id", "text", F.col("following.text").alias("next"), "own", F.col("following.own").alias("other"))
 
 
 def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,7 +202,7 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return (
         with_next(docs, id_col, text_col).withColumn("n_chars", F.length("text").cast("bigint"))
         .withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next"), F.lit(1), half)))
-        .select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("new"), digests(F.col("next")).alias("other"))
+        .select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", digests(F.col("edited")).alias("new"), "other")
         .select("*", differing(F.col("own"), F.col("new")).alias("d_new"), differing(F.col("own"), F.col("other")).alias("d_other"))
         .select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("new")).alias("edited_fingerprint"),
                 likeness(F.col("own"), F.col("new"), F.col("d_new")).alias("near_edited"), likeness(F.col("own"), F.col("other"), F.col("d_other")).alias("near_next")))
