@@ -453,12 +453,29 @@ def test_cuts_come_back_after_a_change():
 
 
 def test_small_sketches_fail_and_larger_ones_serve(spark, monkeypatch):
-    keys = spark.range(1).select(F.sequence(F.lit(1), F.lit(40)).alias("a"), F.sequence(F.lit(30), F.lit(75)).alias("b")).select(
-        *(F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in ("a", "b")))
-    small = keys.select(paragraph_sketch.peeled(paragraph_sketch.subtracted(paragraph_sketch.sketch(F.col("a"), 1, 8), paragraph_sketch.sketch(F.col("b"), -1, 8)), 8)).first()[0]
-    assert small is None
-    monkeypatch.setattr(paragraph_sketch, "PER_BLOCK", 100)
-    assert keys.select(paragraph_sketch.differing(F.col("a"), F.col("b"))).first()[0] == 29 + 35
+    own, other = (F.transform(F.sequence(F.lit(low), F.lit(high)), lambda x: F.xxhash64(x)) for low, high in ((1, 40), (30, 75)))
+    size = F.lit(8)
+    rows = spark.range(1).select(F.col("id").alias("row"), F.array(paragraph_sketch.one_set(0, size, 1, own), paragraph_sketch.one_set(0, size, -1, other)).alias("sets"))
+    assert paragraph_sketch.peeled(paragraph_sketch.sketched(rows)).where(F.col("t") != paragraph_sketch.FOUND).count()
+    got = paragraph_sketch.recovered(rows, keep=True).first()
+    want = spark.range(1).select(F.array_except(own, other).alias("a"), F.array_except(other, own).alias("b")).first()
+    assert got["level"] > 0 and got["differ"] == 29 + 35
+    assert sorted(got["added"]) == sorted(want["a"]) and sorted(got["removed"]) == sorted(want["b"])
+
+
+def test_stored_fingerprints_alone_give_the_likeness(spark):
+    texts = ["", "one", "a\nb\nc", "a\nb\nd", "\n".join(map(str, range(400))), "\n".join(map(str, range(300, 900)))] + scripts()[:3]
+    out = paragraph_sketch.edited_and_next(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    prints = {r["doc_id"]: r["fingerprint"] for r in out}
+    pairs = [(i * 100 + j, prints[i], prints[j]) for i in prints for j in prints]
+    got = {r["row"]: r for r in paragraph_sketch.differences(spark.createDataFrame([*pairs, (-1, None, prints[1])], "row bigint, a string, b string")).collect()}
+    for r, *_ in pairs:
+        x, y = paragraphs(texts[r // 100]), paragraphs(texts[r % 100])
+        assert got[r]["near"] == pytest.approx(plain_likeness(texts[r // 100], texts[r % 100]))
+        assert (len(got[r]["added"]), len(got[r]["removed"])) == (len(x - y), len(y - x))
+    assert got[-1]["near"] == 0.0 and len(got) == len(pairs) + 1
+    for r in out:
+        assert r["near_next"] == pytest.approx(got[r["doc_id"] * 100 + (r["doc_id"] + 1) % len(texts)]["near"])
 
 
 def test_sketches_are_native(spark, capsys):
