@@ -47,6 +47,8 @@ from .common import lowest, written
 PER_PARAGRAPH, SPARE = 1.25, 8
 #: Subtables peeled one after the other, in turns, before a sketch counts as failed.
 STEPS = 15
+#: Digests that a task peels at a time, so that their cells stay in memory, and the most tasks; beyond these cells are spilled.
+TASK_DIGESTS, MOST_TASKS = 100_000, 20_000
 #: Neighbouring documents that are dealt to one bucket, and how many bounds there are at most.
 BUCKET_ROWS, BOUND_BITS, SAMPLE_A_BOUND = 2000, 15, 4
 #: Characters from which on a piece ends at a sentence end, from which on after a picked character, and at most.
@@ -236,7 +238,9 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = F.array(one_set(0, shape("own"), 1, own), one_set(1, shape("new"), 1, new),
                    one_set(2, shape("own", "new"), 1, own), one_set(2, shape("own", "new"), -1, new),
                    one_set(3, shape("own", "other"), 1, own), one_set(3, shape("own", "other"), -1, other))
-    dealt = cut.repartition("row")
+    total = cut.agg(F.sum(F.col("n_own") + F.col("n_new") + F.col("n_other"))).first()[0] or 0
+    # by size, since Spark sees the digests only and not the cells that they become
+    dealt = cut.repartition(max(1, min(total // TASK_DIGESTS, MOST_TASKS)), "row")
     found = recovered(dealt.select("row", sets.alias("sets")))
     of = lambda s, what: F.coalesce(F.max(F.when(F.col("s") == s, F.col(what))), F.lit(0))
     known = found.groupBy("row").agg(of(0, "level").alias("l_own"), of(1, "level").alias("l_new"), of(2, "differ").alias("d_new"), of(3, "differ").alias("d_other"))
