@@ -165,11 +165,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, segments
 def keep_first(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
     """One row of each component, with the columns of ``docs``: the one with the smallest doc_id, null last, then text hash.
     A row is known by both, so a null or repeated doc_id is compared like any other; rows equal in both are one text."""
+    def free(name: str) -> str:
+        """A column name that ``docs`` doesn't have."""
+        return name if name not in docs.columns else free(name + "_")
+
     bare = F.col("doc_id").isNull()
-    key = F.struct(bare.alias("bare"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("doc_id"), F.xxhash64("text").alias("h"))
-    rows = docs.withColumn("__key", key)
-    heads = near_duplicates(rows, words, max_bits, id_col="__key").select(F.col("component_id").alias("__head")).distinct()
-    # repeated rows are cut down within each task, whole rows are shuffled once by their key, and the join finds them there
-    order = Window.partitionBy("__key").orderBy(F.xxhash64("text"))
-    one = rows.withColumn("__place", F.row_number().over(order)).where("__place = 1")
-    return one.join(heads, F.col("__key") == F.col("__head"), "left_semi").drop("__key", "__place")
+    parts = {"bare": bare, "id": F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)), "h": F.xxhash64("text")}
+    whole = docs.select(F.struct(*[c.alias(n) for n, c in parts.items()]).alias("key"), "text")
+    heads = near_duplicates(whole, words, max_bits, id_col="key").select(*[F.col(f"component_id.{n}").alias(f"__head_{n}") for n in parts]).distinct()
+    # plain columns, since structs that differ in nullability are cast and so shuffled again; repeated rows are cut down
+    # within each task, whole rows are shuffled once by their key, and the join finds them there
+    names = {n: free(f"__{n}") for n in parts}
+    rows = docs.withColumns({names[n]: c for n, c in parts.items()})
+    place, order = free("__place"), Window.partitionBy(*names.values()).orderBy(F.xxhash64("text"))
+    one = rows.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    heads = heads.select(*[F.col(f"__head_{n}").alias(names[n]) for n in parts])
+    return one.join(heads, list(names.values()), "left_semi").drop(place, *names.values()).select(*docs.columns)
