@@ -3,10 +3,13 @@
 Every document's ids, with an end id, are cut into full windows first; the rest
 of each is packed, longest first, into the open window with the least room that
 still holds it, found in a segment tree over the remaining capacities. A task
-packs its own documents in groups of ``GROUP`` as they come, so nothing is
-shuffled, a group's memory is bounded, and a hot key has no meaning here.
+packs its own documents in groups of ``GROUP_IDS`` ids as they come and carries
+open windows from group to group, so nothing is shuffled and a hot key has no
+meaning here. It holds a group's ids, those of ``MOST_OPEN`` open windows and one
+longer text at most.
 
-A window that stays open with more than ``LOOSE`` ids of padding is closed as
+A window with room for ``LOOSE`` ids at most is closed as it is. Those still open
+at a task's end, and the fullest of more than ``MOST_OPEN``, are closed as
 sequences whose lengths are powers of two, which take no padding.
 
 Ids come from the tokenizer's own library. Its pre-tokenizer never joins text
@@ -27,7 +30,8 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import filterfalse, pairwise
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +40,11 @@ from pyspark.sql import DataFrame
 
 from .common import slices
 
-WINDOW, END, GROUP, LOOSE = 2048, 1, 4096, 16
+WINDOW, END, LOOSE = 2048, 1, 16
+#: Ids that are packed at a time, and windows carried on.
+GROUP_IDS, MOST_OPEN = 1 << 21, 2048
 #: Words and parts of words that a worker remembers.
-CACHED_WORDS, CACHED_PARTS = 400_000, 500_000
+CACHED_WORDS, CACHED_PARTS = 800_000, 800_000
 # Fixed value: the pattern of the tokenizer file's pre-tokenizer.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Below this code point Unicode's composition, lower case and classes have long been the same everywhere; one letter grows in lower case.
@@ -108,15 +114,30 @@ class Words(dict):
         return None if "<|" in low else tuple(self.split(low))
 
     def learn(self, new: set[str]) -> None:
-        cuts = {w: self.cut(w) for w in new}
-        wanted = {p for ps in cuts.values() if ps for p in ps}
+        whole, ended, several, rest = {}, {}, {}, []
+        for w in new:
+            if w.isascii():  # nearly all words: plain letters, or these with one more character
+                low = w.lower()
+                if low.isalpha():
+                    whole[w] = low
+                    continue
+                if (head := low[:-1]).isalpha():
+                    ended[w] = head, low[-1]
+                    continue
+            if ps := self.cut(w):
+                several[w] = ps
+            else:
+                rest.append(w)
+        wanted = {*whole.values(), *(p for ps in ended.values() for p in ps), *(p for ps in several.values() for p in ps)}
         if len(self.parts) + len(wanted) > CACHED_PARTS:  # those in use stay
             self.parts = {p: self.parts[p] for p in wanted & self.parts.keys()}
-        if unknown := list(wanted - self.parts.keys()):
+        if unknown := list(filterfalse(self.parts.__contains__, wanted)):
             self.parts.update(zip(unknown, self.encode_parts(unknown)))
         of = self.parts.__getitem__
-        self.update((w, of(ps[0]) if len(ps) == 1 else b"".join(map(of, ps))) for w, ps in cuts.items() if ps)
-        if rest := [w for w, ps in cuts.items() if not ps]:
+        self.update(zip(whole, map(of, whole.values())))
+        self.update((w, of(a) + of(b)) for w, (a, b) in ended.items())
+        self.update((w, b"".join(map(of, ps))) for w, ps in several.items())
+        if rest:
             self.update(zip(rest, self.encode(rest)))
 
 
@@ -179,20 +200,41 @@ class Capacities:
         return capacity, window
 
 
+class Windows:
+    """Open windows, packed by best-fit decreasing; more items can follow."""
+
+    def __init__(self, window: int = WINDOW):
+        self.window, self.room, self.held, self.next = window, Capacities(window), {}, 0
+
+    def place(self, items: list[tuple[int, Any]]) -> Iterator[list[Any]]:
+        """Takes (length, item) in, the longest first; gives back the items of each window that is full now."""
+        for length, item in sorted(items, key=lambda x: -x[0]):
+            if found := self.room.take(length):
+                capacity, w = found
+            else:
+                capacity, w = self.window, self.next
+                self.next += 1
+            self.held.setdefault(w, []).append(item)
+            if capacity > length:
+                self.room.add(capacity - length, w)
+            else:
+                yield self.held.pop(w)
+
+    def close(self, loose: int, most: int) -> Iterator[tuple[int, list[Any]]]:
+        """Takes out the windows with room for ``loose`` at most, and the fullest of more than ``most``: (room, items)."""
+        while found := self.room.take(1):
+            capacity, w = found
+            if capacity > loose and len(self.held) <= most:
+                self.room.add(capacity, w)
+                return
+            yield capacity, self.held.pop(w)
+
+
 def best_fit(lengths: list[int], window: int = WINDOW) -> list[list[int]]:
     """Best-fit decreasing: the items of each window, in the order they were placed."""
-    out: list[list[int]] = []
-    room = Capacities(window)
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        if found := room.take(lengths[i]):
-            capacity, w = found
-        else:
-            capacity, w = window, len(out)
-            out.append([])
-        out[w].append(i)
-        if capacity > lengths[i]:
-            room.add(capacity - lengths[i], w)
-    return out
+    open_windows = Windows(window)
+    full = list(open_windows.place([(n, i) for i, n in enumerate(lengths)]))
+    return full + [held for _, held in open_windows.close(0, 0)]
 
 
 def sequences(used: int, window: int = WINDOW) -> list[int]:
@@ -202,27 +244,41 @@ def sequences(used: int, window: int = WINDOW) -> list[int]:
     return [1 << b for b in range(used.bit_length() - 1, -1, -1) if used >> b & 1]
 
 
-def pack(docs: list[tuple[int, bytes]], window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(document, start, length, crc, sequence, offset) of every piece; sequences count from 0."""
-    sequence, rest = 0, []
-    for d, ids in docs:
-        n = len(ids) // 4
-        for start in range(0, n - window + 1, window):
-            yield d, start, window, zlib.crc32(ids[4 * start:4 * (start + window)]), sequence, 0
-            sequence += 1
-        if n % window:
-            rest.append((d, n - n % window, ids))
-    for held in best_fit([len(ids) // 4 - start for _, start, ids in rest], window):
-        todo = sequences(sum(len(rest[i][2]) // 4 - rest[i][1] for i in held), window)
+class Packer:
+    """Pieces (document, start, length, crc, tokens, sequence, offset) of documents that come in groups; sequences count from 0."""
+
+    def __init__(self, window: int = WINDOW, most: int = MOST_OPEN):
+        self.window, self.most, self.open, self.sequence = window, most, Windows(window), 0
+
+    def laid(self, held: list[tuple], used: int) -> Iterator[tuple]:
+        """The pieces of one window."""
+        todo = sequences(used, self.window)
         room, offset = todo.pop(0), 0
-        for i in held:
-            d, at, ids = rest[i]
-            while at < len(ids) // 4:
-                n = min(room - offset, len(ids) // 4 - at)
-                yield d, at, n, zlib.crc32(ids[4 * at:4 * (at + n)]), sequence, offset
-                at, offset = at + n, offset + n
+        for d, tokens, start, ids in held:
+            at, n = 0, len(ids) // 4
+            while at < n:
+                some = min(room - offset, n - at)
+                yield d, start + at, some, zlib.crc32(ids[4 * at:4 * (at + some)]), tokens, self.sequence, offset
+                at, offset = at + some, offset + some
                 if offset == room:
-                    room, offset, sequence = todo.pop(0) if todo else 0, 0, sequence + 1
+                    room, offset, self.sequence = todo.pop(0) if todo else 0, 0, self.sequence + 1
+
+    def add(self, docs: list[tuple[Any, bytes]]) -> Iterator[tuple]:
+        window, rest = self.window, []
+        for d, ids in docs:
+            n = len(ids) // 4
+            for start in range(0, n - window + 1, window):
+                yield from self.laid([(d, n, start, ids[4 * start:4 * (start + window)])], window)
+            if over := n % window:
+                rest.append((over, (d, n, n - over, ids[4 * (n - over):])))
+        for held in self.open.place(rest):
+            yield from self.laid(held, window)
+        for capacity, held in self.open.close(LOOSE, self.most):
+            yield from self.laid(held, window - capacity)
+
+    def end(self) -> Iterator[tuple]:
+        for capacity, held in self.open.close(0, 0):
+            yield from self.laid(held, self.window - capacity)
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,25 +288,23 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, held, ids = TaskContext.get().partitionId() << 40, [], []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal first
-            if held:
-                d, start, length, crc, sequence, offset = map(np.array, zip(*pack(list(enumerate(held)))))
-                tokens = np.array([len(x) // 4 for x in held])[d]
-                yield pa.record_batch([pa.concat_arrays(ids).take(pa.array(d)), *(pa.array(x.astype(np.int64)) for x in (start, length, crc, tokens, sequence + first, offset))], names=names)
-                first += int(sequence.max()) + 1
-            held.clear()
-            ids.clear()
+        first, packer, held, size, kind = TaskContext.get().partitionId() << 40, Packer(), [], 0, None
+
+        def out(pieces: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            if rows := list(pieces):
+                ids, *numbers = zip(*rows)
+                start, length, crc, tokens, sequence, offset = (np.array(x, np.int64) for x in numbers)
+                yield pa.record_batch([pa.array(ids, kind), *map(pa.array, (start, length, crc, tokens, sequence + first, offset))], names=names)
 
         for b in slices(batches, "text"):
-            for at in range(0, len(b), GROUP):
-                part = b.slice(at, GROUP)
-                if len(held) + len(part) > GROUP:
-                    yield from close()
-                held += encode(tokenizer_file, part.column(1).to_pylist())
-                ids.append(part.column(0))
-        yield from close()
+            kind = b.schema.field(0).type
+            for d, ids in zip(b.column(0).to_pylist(), encode(tokenizer_file, b.column(1).to_pylist())):
+                held.append((d, ids))
+                size += len(ids) // 4
+                if size >= GROUP_IDS:
+                    yield from out(packer.add(held))
+                    held, size = [], 0
+        yield from out(packer.add(held))
+        yield from out(packer.end())
 
     return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, " + ", ".join(f"{n} bigint" for n in names[1:]))

@@ -309,6 +309,26 @@ def test_best_fit_is_the_tightest():
         assert sorted(sum(lengths[i] for i in w) for w in packing.best_fit(lengths, 64)) == sorted(used)
 
 
+def test_windows_are_carried_from_group_to_group():
+    rnd = random.Random(6)
+    docs = {d: np.array([rnd.randrange(9) for _ in range(rnd.choice([1, 5, 300, 700, 1100, 2047, 2048, 9000]))], "<u4") for d in range(600)}
+    docs |= {600: np.arange(300_000, dtype="<u4"), 601: np.arange(2048 * 50 + 1, dtype="<u4")}
+    rows = [(d, ids.tobytes()) for d, ids in docs.items()]
+    for group, most in ((602, 10 ** 6), (7, 10 ** 6), (7, 3)):
+        packer = packing.Packer(most=most)
+        early = [x for at in range(0, len(rows), group) for x in packer.add(rows[at:at + group])]
+        late = list(packer.end())
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        held_pieces([dict(zip(names, x)) for x in early + late], docs)
+        used = Counter()
+        for x in early:
+            used[x[5]] += x[2]
+        if most > 3:  # before a task's end no window is cut up, and groups of 7 pad under 1 % too
+            assert all(u >= 2048 - packing.LOOSE for u in used.values())
+            assert sum(2048 - u for u in used.values()) <= 0.01 * sum(used.values())
+        assert not packer.open.held
+
+
 # 6: sharding
 
 def placed(rows: list, n: int) -> None:
