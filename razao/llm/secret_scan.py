@@ -5,7 +5,10 @@ the text is read as source or configuration syntax: the name before it and the
 literal (or the concatenation of literals and names) after it. Constants are
 propagated in text order, so ``KEY = "..."`` and a later ``password = KEY`` make
 KEY's literal the value of ``password``. A literal is reported when the name it
-reaches is sensitive and the literal looks like a secret.
+reaches is sensitive and the literal looks like a secret (``holds``): the stronger
+the name, the less the value has to show. A scheme and its token (``Bearer ...``)
+are one literal of which the token is the value, a private key block is one literal
+with or without quotes, and of a URL with a login the password is the value.
 
 Defined results: a null text is an empty one; spans are code points of the whole
 text, end exclusive; repeated rows give repeated rows.
@@ -52,6 +55,11 @@ WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 LITERAL = re.compile(r"""(?:[bBrRuUfF]{1,2}(?=["']))?(?:\"\"\"(?P<a>.*?)\"\"\"|'''(?P<b>.*?)'''|"(?P<c>(?:[^"\\\n]|\\[^\n])*+)"|'(?P<d>(?:[^'\\\n]|\\[^\n])*+)'|`(?P<e>[^`\n]*)`|\$\{?(?P<ref>[A-Za-z_]\w*)\}?|(?P<bare>[^\s"'`,;(){}\[\]<>]+))""", re.S)
 JOIN = re.compile(r"[ \t]*\+[ \t]*")
 LEAST_SCORE = 0.5
+#: From this sensitivity on a quoted value needs no second kind of characters.
+STRONG = 0.7
+SCHEME = re.compile(r"(?i)(?:bearer|basic|token|apikey)[ \t]+(?=[A-Za-z0-9+/_.=~-]{8,})")
+KEY_BLOCK = re.compile(r"(?:[|>][+-]?[ \t]*\n)?\s*(-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----)", re.S)
+URL_LOGIN = re.compile(r"\A[a-zA-Z][a-zA-Z0-9+.-]*://[^\s:/@]*:([^\s@/]+)@")
 
 
 class Span(NamedTuple):
@@ -85,6 +93,24 @@ def looks_secret(value: str) -> float:
     return spread * min(1.0, 0.55 + 0.15 * kinds + 0.01 * min(n, 20)) if kinds > 1 else 0.4 * spread
 
 
+def holds(score: float, value: str, quoted: bool, scheme: bool) -> bool:
+    """Whether a literal is the secret of a target of this sensitivity."""
+    if score < LEAST_SCORE or PLACEHOLDER.match(value):
+        return False
+    if score * looks_secret(value) >= LEAST_SCORE:
+        return True
+    n, words = len(value), value.split()
+    if not words:
+        return False
+    spread = -sum(k / n * math.log2(k / n) for k in Counter(value).values()) / math.log2(max(2, min(n, 64)))
+    digits = sum(c.isdigit() for c in value)
+    if len(words) > 1:  # a pass phrase: some plain words, but no sentence about secrets
+        return quoted and score >= 1.0 and len(words) >= 3 and n >= 12 and all(w.isalpha() and w.islower() for w in words) and not any(w in SENSITIVE or w in DESCRIBES for w in words)
+    if score >= STRONG:
+        return (quoted or scheme) and n >= 6 and spread >= 0.5 and value.lower() not in SENSITIVE and sensitivity(value) == 0
+    return n >= 16 and spread >= 0.6 and 8 * digits >= n and digits < n
+
+
 def operators(text: str) -> Iterator[int]:
     """Places of ``=`` and ``:`` in order."""
     a, b = text.find("="), text.find(":")
@@ -125,7 +151,7 @@ def name_before(text: str, at: int) -> str:
 
 def literals(text: str, ops: list[int]) -> Iterator[Span]:
     """Literals whose target is sensitive, with constants propagated."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    known: dict[str, tuple[str, list[tuple[int, int]], bool]] = {}
     after = 0
     for op in ops:
         if op < after or not (name := name_before(text, op)):
@@ -133,22 +159,36 @@ def literals(text: str, ops: list[int]) -> Iterator[Span]:
         at = op + 1
         while text[at:at + 1] in ("=", ">", " ", "\t") and at < len(text):
             at += 1
-        value, parts = "", []
+        value, parts, quoted, scheme = "", [], False, False
+        if "-" in text[at:at + 80] and (block := KEY_BLOCK.match(text, at)):
+            after = block.end()
+            known[name] = known[name.rpartition(".")[2]] = (block[1], [block.span(1)], True)
+            yield Span(block.start(1), 3, block.end(1), block.span(1))
+            continue
+        if mark := SCHEME.match(text, at):
+            at, scheme = mark.end(), True
         while m := LITERAL.match(text, at):
             group = m.lastgroup
             ref = m[group].rstrip(".") if group in ("ref", "bare") else None
             if ref is not None and ref in known:
-                value, parts = value + known[ref][0], parts + known[ref][1]
+                value, parts, quoted = value + known[ref][0], parts + known[ref][1], quoted or known[ref][2]
             elif group != "ref":
-                value, parts = value + m[group], [*parts, m.span(group)]
+                start = m.start(group)
+                if not parts and ref is None and (mark := SCHEME.match(m[group])):
+                    start, scheme = start + mark.end(), True
+                value, parts, quoted = value + text[start:m.end(group)], [*parts, (start, m.end(group))], quoted or ref is None
             after = at = m.end()
             if not (j := JOIN.match(text, at)):
                 break
             at = j.end()
         if not parts:
             continue
-        known[name] = known[name.rpartition(".")[2]] = (value, parts)
-        if (s := sensitivity(name)) >= LEAST_SCORE and s * looks_secret(value) >= LEAST_SCORE:
+        known[name] = known[name.rpartition(".")[2]] = (value, parts, quoted)
+        if len(parts) == 1 and "://" in value and (login := URL_LOGIN.match(value)):
+            if not PLACEHOLDER.match(login[1]):
+                inside = parts[0][0] + login.start(1), parts[0][0] + login.end(1)
+                yield Span(inside[0], 3, inside[1], inside)
+        elif "PRIVATE KEY-----" in value or holds(sensitivity(name), value, quoted, scheme):
             for start, end in parts:
                 if end > start:
                     yield Span(start, 3, end, (start, end))
