@@ -565,8 +565,50 @@ def test_kneser_ney_equals_a_plain_model(spark):
                 value = max(level[k][own] - d, 0) / sum(after) + min(d * len(after) / sum(after), 1) * value
         return value
 
-    packed = np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(g)) for g in grams], np.uint64)
-    assert models.costs(packed)[:, 0] == pytest.approx([-np.log2(p(g)) for g in grams], rel=1e-4)
+    packed = np.array([sum(ord(c) << 21 * (2 - i) for i, c in enumerate(g[1:])) for g in grams], np.uint64)
+    old = np.array([ord(g[0]) for g in grams], np.uint64)
+    assert models.costs(packed, old)[:, 0] == pytest.approx([-np.log2(p(g)) for g in grams], rel=1e-4)
+
+
+def test_sequences_are_counted_apart(spark):
+    rnd = np.random.default_rng(3)
+    texts = ["".join(map(chr, rnd.integers(0x4E00, 0x9FA0, 1500))) for _ in range(300)] + ["abc", "\U00020061\U00020062\U00020063"]
+    want = Counter("".join(("\0\0\0" + "\0" + t + "\0")[i:i + 4]) for t in texts for i in range(1, len(t) + 2))
+    found = language_id.counts(spark.createDataFrame([("x", t) for t in texts], "lang string, text string"))
+    got = {}
+    for lang, packed, old, n in found.collect():
+        got["".join(map(chr, (old, packed >> 42, packed >> 21 & 0x1FFFFF, packed & 0x1FFFFF)))] = n
+    assert len(want) > 400_000 and got == want
+
+
+@pytest.fixture(scope="module")
+def tongues(spark):
+    """A frequent and a rare language, copies, a hot text, edge texts and noise of the frequent one's letters."""
+    rnd = random.Random(4)
+    common, rare = "the cat sat on a mat and then it ran off with my hat".split(), "ŝi ĝojas ĉar ŭato kaj ĵurnalo aperas hodiaŭ".split()
+    rows = [(i, " ".join(rnd.choice(common) for _ in range(30)), "a") for i in range(3000)] + [(i, " ".join(rnd.choice(rare) for _ in range(30)), "b") for i in range(3000, 3006)]
+    rows += [(i, " ".join(["the cat sat"] * 10), "a") for i in range(4000, 4400)]
+    rows += [(i, "".join(rnd.choice("ŝĝĉŭĵxqzwk ") for _ in range(200)), None) for i in range(5000, 5040)]
+    return spark.createDataFrame(rows + [(9000 + i, t, None) for i, t in enumerate(EDGES)], "doc_id bigint, text string, lang string")
+
+
+def test_rare_languages_reject_noise(spark, tongues):
+    models = language_id.learn(tongues, F.lit(True))
+    assert set(models.limits) == {"a", "b"}
+    got = {r["doc_id"]: r for r in language_id.predict(tongues, models).collect()}
+    assert all(got[i]["lang_pred"] == ("a" if i < 3000 else "b") and got[i]["accepted"] for i in range(3006))
+    assert not any(got[i]["accepted"] for i in range(5000, 5040))
+
+
+def test_large_models_are_joined_with_the_same_results(spark, tongues):
+    small, large = language_id.learn(tongues, F.lit(True)), language_id.learn(tongues, F.lit(True), model_rows=0)
+    assert isinstance(small, language_id.Models) and isinstance(large, language_id.Joined)
+    assert {k: pytest.approx(v, rel=1e-4) for k, v in small.limits.items()} == large.limits
+    a, b = ({r["doc_id"]: r for r in language_id.predict(tongues, m).collect()} for m in (small, large))
+    assert len(a) == len(b) == tongues.count()
+    assert all((a[i]["lang_pred"], a[i]["accepted"]) == (b[i]["lang_pred"], b[i]["accepted"]) and a[i]["score"] == pytest.approx(b[i]["score"], abs=1e-3) for i in a)
+    kept = [sorted(r["doc_id"] for r in language_id.keep_accepted(tongues, m).collect()) for m in (small, large)]
+    assert kept[0] == kept[1] == sorted(i for i in a if a[i]["accepted"])
 
 
 def test_language_edges(spark, docs, nothing):
