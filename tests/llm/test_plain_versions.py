@@ -393,8 +393,82 @@ def test_growing_moves_rows_only_into_the_new_shard():
     assert all(new[s] in (m[s], 24) for s in m) and abs(list(new.values()).count(24) - 40) <= 24
 
 
+def plain_shards(rows: list[tuple[int, str]], shards: int, slots: int) -> list[tuple]:
+    """Slots dealt in turn, then one slot at a time from the fullest to the emptiest shard."""
+    import xxhash
+
+    slot = {d: xxhash.xxh64(d.to_bytes(8, "little"), seed=42).intdigest() for d, _ in rows}
+    slot = {d: (h - (h >> 63 << 64)) % slots for d, h in slot.items()}
+    size, at = Counter(), {s: s % shards for s in range(slots)}
+    for d, t in rows:
+        size[slot[d]] += len(t.encode()) + 8
+    while True:
+        load = Counter(dict.fromkeys(range(shards), 0))
+        for s, b in size.items():
+            load[at[s]] += b
+        full, free = min(load, key=lambda k: (-load[k], k)), min(load, key=lambda k: (load[k], k))
+        gap, own = load[full] - load[free], sorted((b, s) for s, b in size.items() if at[s] == full)
+        b, s = max((x for x in own if 2 * x[0] <= gap), default=own[0])
+        if b >= gap:
+            break
+        at[s] = free
+    out, place = [], Counter()
+    for d, t in sorted(rows, key=lambda r: (slot[r[0]], r[0])):
+        k = at[slot[d]]
+        out.append((d, len(t.encode()) + 8, zlib.crc32(t.encode()), slot[d], k, place[k]))
+        place[k] += 1
+    return sorted(out)
+
+
+def test_shards_equal_a_plain_version(spark):
+    rnd = random.Random(2)
+    rows = [(i, "é" * rnd.randint(0, 60)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as slot", "2 as size", "3 as shard", "4 as row", "5 as first", "6 as virtual_slot")
+    assert sorted(map(tuple, sharding.assign(df, shards=5, slots=400)[0].collect())) == plain_shards(rows, 5, 400)
+
+
+def test_a_stored_map_is_edited(spark):
+    def table(n: int):
+        return spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("doc_id"), F.lit("some text").alias("text"))
+
+    _, kept = sharding.assign(table(4000), shards=8, slots=512)
+    rows, again = sharding.assign(table(4400), shards=9, slots=512, stored=kept)
+    got = rows.collect()
+    placed(got, 4400)
+    n = Counter(r["shard"] for r in got)
+    assert set(n) == set(range(9)) and max(n.values()) < 1.1 * min(n.values())
+    assert sorted(map(tuple, again.where("version < 2").collect())) == sorted(map(tuple, kept.collect())) and {r["version"] for r in again.collect()} == {0, 1, 2}
+    old, new = ({r["virtual_slot"]: r["shard"] for r in again.where(F.col("version") == v).collect()} for v in (1, 2))
+    moved = {s: (old[s], new[s]) for s in old if s in new and old[s] != new[s]}
+    assert {r["virtual_slot"]: (r["old_shard"], r["new_shard"]) for r in sharding.moves(again).collect()} == moved
+    assert len(moved) < 0.35 * len(old)
+
+
 # 7: quality
 
+def test_quality_scores_equal_a_plain_vote():
+    rnd = random.Random(6)
+    words = "alpha beta gamma delta spam offer click buy now story river stone".split()
+    texts = [" ".join(rnd.choice(words[:7] if i % 2 else words[5:]) for _ in range(12)) for i in range(120)]
+    space = quality_neighbours.Space(texts, [i % 2 for i in range(120)])
+    asked = [" ".join(rnd.choice(words) for _ in range(9)) for _ in range(300)] + [None, ""]
+
+    def vector(text: str) -> np.ndarray:
+        v = quality_neighbours.trigram_counts([text])[0] * space.idf @ space.project
+        return v / max(float(np.linalg.norm(v)), 1e-9)
+
+    known = [vector(t) for t in texts]
+
+    def vote(text: str | None) -> float:
+        if not text:
+            return space.prior
+        near = sorted(((float(np.dot(vector(text), k)), i % 2) for i, k in enumerate(known)), reverse=True)[:quality_neighbours.NEIGHBOURS]
+        weight = [max(c, 0) ** quality_neighbours.POWER for c, _ in near]
+        return sum(w * y for w, (_, y) in zip(weight, near)) / sum(weight)
+
+    assert space.scores(asked) == pytest.approx([vote(t) for t in asked], abs=1e-4)
+
+
 def test_quality_of_held_out_documents(spark):
     rows = queries.op7_quality_neighbours(spark, "/root/testdata/sf0.01").collect()
     label = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
