@@ -13,12 +13,12 @@ larger one stays a table, and the texts' sequences are joined with it
 (``Joined``): slower, since sequences are shuffled, with the same results. A text
 gets the language of the lowest cross-entropy a character.
 
-A language may also be rejected: on a sample of about ``SAMPLE_TEXTS`` different
-texts of each language, those with the smallest hashes, its cross-entropy is
-measured on the texts as they are and on the same texts with their characters
-shuffled. A text is not taken for a language if it costs more than half-way
-between the two, with ``REJECT_AT`` standard errors for its length on top. The
-driver sees a few numbers a language of the sample, and no text.
+A language may also be rejected: over all different texts to learn from, its
+cross-entropy is measured on the texts as they are and on the same texts with
+their characters shuffled. A text is not taken for a language if it costs more
+than half-way between the two medians (taken to 1/``CELLS`` bit, so that no group
+holds a number a text), with ``REJECT_AT`` standard errors for its length on top.
+The driver sees a few numbers a language, and no text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0
 and is rejected; without any language to learn every text is; ties go to the
@@ -40,10 +40,11 @@ from .common import slices, written
 ORDER, POINT_BITS = 4, 21
 #: Rows of a model that goes to every task, at 16 bytes each; a larger one is joined.
 MODEL_ROWS = 2_000_000
-SLICE = 1 << 21
+SLICE = 1 << 19
 #: Sequences that a task sums up before it sends them on.
-HELD = 1 << 21
-SAMPLE_TEXTS = 256
+HELD = 1 << 20
+#: Costs a bit that the medians tell apart.
+CELLS = 1 << 12
 REJECT_AT = 3.0
 LEAST_P = 1e-12
 UNKNOWN = "und"
@@ -311,41 +312,41 @@ def shuffled(text: str) -> str:
     return np.random.default_rng(5).permutation(points).tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def sampled(rows: DataFrame, n: int = SAMPLE_TEXTS) -> DataFrame:
-    """(lang, text, mixed): about ``n`` different whole texts with letters of each language, those of the smallest hashes, and the same shuffled."""
-    usable = rows.where(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text", F.lit(1)).alias("h"))
-    limit = F.broadcast(usable.groupBy("lang").agg((n / F.approx_count_distinct("h")).alias("part")))  # a row a language
-    near = usable.join(limit, "lang").where(F.col("h") <= (F.least("part", F.lit(1.0)) - 0.5) * F.lit(2.0 ** 64))
+def calibrated(models: Models | Joined, rows: DataFrame) -> dict[str, tuple[float, float]]:
+    """For each language: the limit of the cost, half-way to that of shuffled texts, and the variance between characters,
+    over all different texts with letters of ``rows`` (lang, text)."""
+    usable = rows.where(F.col("text").rlike(r"\p{L}"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE):
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([shuffled(t) for t in b.column(1).to_pylist()], pa.string())], names=["lang", "text", "mixed"])
-
-    return near.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text").mapInArrow(run, "lang string, text string, mixed string")
-
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array([shuffled(t) for t in b.column(2).to_pylist()], pa.string())], names=["key", "lang", "text", "mixed"])
 
-def calibrated(models: Models | Joined, sample: DataFrame) -> dict[str, tuple[float, float]]:
-    """For each language: the limit of the cost, half-way to that of shuffled texts, and the variance between characters."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(models)
         for b in slices(batches, "text", SLICE):
-            lang = b.column(0).to_pylist()
-            own = (np.arange(len(b)), [models.langs.index(x) for x in lang])
-            mean, size, square = scorer.texts(b.column(1).to_pylist())
-            mixed, _, _ = scorer.texts(b.column(2).to_pylist())
-            yield pa.record_batch([pa.array(lang, pa.string()), pa.array(mean[own]), pa.array(mixed[own]), pa.array(square[own]), pa.array(size)], names=["lang", "mean", "mixed", "square", "size"])
+            texts = b.column(2).to_pylist()
+            own = (np.arange(len(b)), [models.langs.index(x) for x in b.column(1).to_pylist()])
+            mean, size, square = scorer.texts(texts)
+            mixed, _, _ = scorer.texts([shuffled(t) for t in texts])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(mean[own]), pa.array(mixed[own]), pa.array(square[own]), pa.array(size)], names=["key", "lang", "mean", "mixed", "square", "size"])
 
     if isinstance(models, Joined):
-        sample = written(sample.select("lang", "text", "mixed", F.sha2(F.concat_ws(" ", "lang", "text"), 256).alias("key")), "language-sample")
-        plain = models.texts(sample).join(sample.select("key", "lang"), ["key", "lang"])
-        mixed = models.texts(sample.select("key", F.col("mixed").alias("text"))).select("key", "lang", F.col("mean").alias("mixed"))
+        keyed = usable.select(F.sha2(F.concat_ws(" ", "lang", "text"), 256).alias("key"), "lang", "text")
+        both = written(keyed.mapInArrow(mixes, "key string, lang string, text string, mixed string"), "language-texts")
+        plain = models.texts(both).join(both.select("key", "lang").distinct(), ["key", "lang"])
+        mixed = models.texts(both.select("key", F.col("mixed").alias("text"))).select("key", "lang", F.col("mean").alias("mixed"))
         costs = plain.join(mixed, ["key", "lang"])
     else:
-        costs = sample.mapInArrow(run, "lang string, mean double, mixed double, square double, size bigint")
-    middle = (F.percentile("mean", F.lit(0.5)) + F.percentile("mixed", F.lit(0.5))) / 2
+        keyed = usable.select(F.xxhash64("text", F.lit(1)).alias("key"), "lang", "text")
+        each = keyed.mapInArrow(run, "key bigint, lang string, mean double, mixed double, square double, size bigint")
+        costs = each.groupBy("lang", "key").agg(F.min(F.struct("mean", "mixed", "square", "size")).alias("c")).select("lang", "c.*")  # numbers, no text
+    costs = written(costs, "language-costs")
+    kinds = F.explode(F.array(*[F.struct(F.lit(x).alias("kind"), F.round(F.col(x) * CELLS).alias("cell")) for x in ("mean", "mixed")]))
+    cells = costs.select("lang", kinds.alias("at")).groupBy("lang", "at.kind", "at.cell").agg(F.count("*").alias("n"))
+    medians = cells.groupBy("lang", "kind").agg((F.percentile("cell", F.lit(0.5), F.col("n")) / CELLS).alias("median"))
+    limits = {r["lang"]: r["limit"] for r in medians.groupBy("lang").agg(F.avg("median").alias("limit")).collect()}
     spread = F.sum((F.col("square") - F.col("mean") * F.col("mean")) * F.col("size")) / F.sum("size")
-    rows = costs.groupBy("lang").agg(middle.alias("limit"), F.greatest(spread, F.lit(1.0)).alias("inner")).collect()
-    return {r["lang"]: (r["limit"], r["inner"]) for r in rows}
+    return {r["lang"]: (limits[r["lang"]], r["inner"]) for r in costs.groupBy("lang").agg(F.greatest(spread, F.lit(1.0)).alias("inner")).collect()}
 
 
 def learn(docs: DataFrame, learned: Column, model_rows: int = MODEL_ROWS) -> Models | Joined:
@@ -353,7 +354,7 @@ def learn(docs: DataFrame, learned: Column, model_rows: int = MODEL_ROWS) -> Mod
     rows = docs.where(learned & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     parts = written(tables(written(counts(rows), "sequences")), "language-model")  # each order reads the counts again
     models = Models(parts.toArrow()) if parts.count() <= model_rows else Joined(parts)
-    models.limits = calibrated(models, sampled(rows))
+    models.limits = calibrated(models, rows)
     return models
 
 

@@ -692,3 +692,16 @@ def test_language_edges(spark, docs, nothing):
     empty = language_id.learn(nothing, F.lit(True))
     assert {r["lang_pred"] for r in language_id.predict(docs, empty).collect()} == {"und"} and language_id.predict(nothing, models).count() == 0
     assert language_id.keep_accepted(docs, models).columns == docs.columns
+
+
+def test_rejection_limits_come_from_every_text(spark):
+    rnd = np.random.default_rng(4)
+    words = ["alpha", "beta", "gamma", "delta", "kappa"]
+    texts = [" ".join(rnd.choice(words, 12)) if i % 3 else "".join(map(chr, rnd.integers(97, 123, 60))) for i in range(900)]
+    models = language_id.learn(spark.createDataFrame([(i, t, "x") for i, t in enumerate([*texts, texts[0], texts[0]])], "doc_id long, text string, lang string"), F.lit(True))
+    scorer, different = language_id.Scorer(models), sorted(set(texts))
+    mean, n, square = scorer.texts(different)
+    mixed, _, _ = scorer.texts([language_id.shuffled(t) for t in different])
+    limit, inner = models.limits["x"]
+    assert limit == pytest.approx((np.median(mean) + np.median(mixed)) / 2, abs=1 / language_id.CELLS)
+    assert inner == pytest.approx(max(((square - mean * mean)[:, 0] * n).sum() / n.sum(), 1.0), rel=1e-5)
