@@ -1,14 +1,18 @@
 """Searches with terms held in a table (FLT-9, FLT-14, FLT-15).
 
 A short list of terms is one regular expression (``filters``, ``classify``). A
-table of thousands is searched through an index: every term is filed under one
-of its trigrams (or longer runs), the one that fewest texts hold; a text looks up
-its own and each hit is checked on the whole term. There is no cross join, and
-the work follows the texts' trigrams and the hits, not texts times terms.
-
-Texts are searched once each, however many rows hold them. While trigrams are
-matched a text is known by a 64-bit hash, so long texts aren't copied for each
-trigram; a collision only adds a candidate, since the check reads the text.
+table of thousands is searched through an index of words, the texts' runs
+without a space: a text can only hold a term if one of its words holds the
+term's longest run. Each different word is searched once, however many texts
+hold it: a term's run is filed under one of its trigrams (or longer pieces),
+the one that fewest words hold, and a word looks up its own. Texts look up their
+words. A term that is one run is settled by that; any other is checked on the
+text. There is no cross join; trigrams follow the vocabulary, the rest the
+texts' words and the hits.
+
+Texts are searched once each, however many rows hold them. While words are
+matched a text is known by two 64-bit hashes, so long texts aren't copied for
+each hit.
 """
 
 from __future__ import annotations
@@ -35,27 +39,57 @@ def escaped(term: Column) -> Column:
     return F.regexp_replace(term, r"([\\.^$|?*+()\[\]{}])", r"\\\$1")
 
 
+def _within(words: DataFrame, runs: DataFrame, gram: int) -> DataFrame:
+    """(word, run): every run in every different word that holds it, by the runs' rarest pieces of ``gram`` characters."""
+    # shorter pieces are only looked up if a run is as short
+    short = [(n, runs.agg(F.count_if(F.char_length("run") == n) > 0).scalar()) for n in range(1, gram)]
+    grams = [_grams(F.col("word"), gram), *[F.when(used, _grams(F.col("word"), n)).otherwise(F.array().cast("array<string>")) for n, used in short]]
+    held = words.select("word", F.explode(F.concat(*grams)).alias("gram"))
+    own = F.when(F.char_length("run") < gram, F.array("run")).otherwise(_grams(F.col("run"), gram))
+    filed = runs.select("run", F.explode(own).alias("gram"))
+    held_by = held.join(filed.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("words"))
+    rarest = F.min(F.struct(F.coalesce("words", F.lit(0)).alias("words"), F.col("gram")))["gram"]
+    index = filed.join(held_by, "gram", "left").groupBy("run").agg(rarest.alias("gram"))
+    return held.join(index, "gram").where(F.col("word").contains(F.col("run"))).select("word", "run")
+
+
+ID = ["id", "id_2"]
+
+
+def _hits(texts: DataFrame, terms: DataFrame, whole_word: bool, gram: int) -> tuple[DataFrame, DataFrame]:
+    """The different texts with their ids, and (id, id_2, term) once for every term that a text holds."""
+    texts = texts.select("text").where("text != ''").distinct().withColumns({"id": F.xxhash64("text"), "id_2": F.xxhash64(F.lit(1), "text")})
+    longest = F.array_max(F.transform(F.split("term", " "), lambda run: F.struct(F.char_length(run).alias("size"), run.alias("run"))))["run"]
+    # a term of spaces alone is its own run, and lies in a run of spaces
+    terms = terms.select("term").where("term != ''").distinct().select("term", F.when(longest != "", longest).otherwise(F.col("term")).alias("run"))
+    blank = terms.agg(F.count_if(F.trim("term") == "") > 0).scalar()
+    words = F.concat(F.split("text", " "), F.when(blank, F.regexp_extract_all("text", F.lit(" +"), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    shortest = terms.agg(F.min(F.char_length("run"))).scalar()
+    held = texts.select(*ID, F.explode(F.array_distinct(words)).alias("word")).where(F.char_length("word") >= shortest)
+    by_word = _within(held.select("word").distinct(), terms.select("run").distinct(), gram).join(terms, "run").select("word", "term", "run")
+    hits = held.join(by_word, "word").select(*ID, "term", "run").distinct()
+    settled, found = F.col("term") == F.col("run"), F.col("text").contains(F.col("term"))
+    if whole_word:
+        settled = F.lit(False)
+        found &= F.rlike(F.col("text"), F.concat(F.lit(r"\b"), escaped(F.col("term")), F.lit(r"\b")))
+    checked = hits.where(~settled).join(texts, ID).where(found).select(*ID, "term")
+    return texts, hits.where(settled).select(*ID, "term").unionByName(checked)
+
+
 def matches(texts: DataFrame, terms: DataFrame, whole_word: bool = False, gram: int = GRAM) -> DataFrame:
     """(text, term): every term (column ``term``) in every distinct text (column ``text``) that holds it.
 
     Empty and NULL terms match nothing. With ``whole_word`` a term counts between word boundaries only.
-    ``gram`` is the length of the runs that are filed: three suit cells; long texts hold most trigrams, so
-    longer runs, up to the shortest usual term, save checks there. Any value gives the same result."""
-    texts = texts.select("text").where("text != ''").distinct().withColumn("id", F.xxhash64("text"))
-    terms = terms.select("term").where("term != ''").distinct()
-    # shorter runs are only looked up if a term is as short
-    short = [(n, terms.agg(F.count_if(F.char_length("term") == n) > 0).scalar()) for n in range(1, gram)]
-    grams = [_grams(F.col("text"), gram), *[F.when(used, _grams(F.col("text"), n)).otherwise(F.array().cast("array<string>")) for n, used in short]]
-    held = texts.select("id", F.explode(F.concat(*grams)).alias("gram"))
-    held_by = held.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
-    own = F.when(F.char_length("term") < gram, F.array("term")).otherwise(_grams(F.col("term"), gram))
-    filed = terms.select("term", F.explode(own).alias("gram"))
-    rarest = F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), F.col("gram")))["gram"]
-    index = filed.join(held_by, "gram", "left").groupBy("term").agg(rarest.alias("gram"))
-    found = F.col("text").contains(F.col("term"))
-    if whole_word:
-        found &= F.rlike(F.col("text"), F.concat(F.lit(r"\b"), escaped(F.col("term")), F.lit(r"\b")))
-    return held.join(index, "gram").select("id", "term").join(texts, "id").where(found).select("text", "term")
+    ``gram`` is the length of the pieces that are filed: three suit cells; many words hold the same trigrams, so
+    longer pieces, up to the shortest usual term, save checks. Any value gives the same result."""
+    texts, hits = _hits(texts, terms, whole_word, gram)
+    return hits.join(texts, ID).select("text", "term")
+
+
+def match_counts(texts: DataFrame, terms: DataFrame, out: str, whole_word: bool = False, gram: int = GRAM) -> DataFrame:
+    """(text, ``out``): the number of rows of ``matches`` of every text that has any; no text is copied for its terms."""
+    texts, hits = _hits(texts, terms, whole_word, gram)
+    return hits.groupBy(*ID).agg(F.count(F.lit(1)).alias(out)).join(texts, ID).select("text", out)
 
 
 def _looked_up(df: DataFrame, column: str, results: DataFrame) -> DataFrame:

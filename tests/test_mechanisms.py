@@ -56,6 +56,16 @@ def test_term_table_whole_words_and_empty_tables(spark):
     assert [r.x for r in TM.add_listed_flag(t, ["item"], spark.createDataFrame([("tv",), (None,)], "term string"), "x").orderBy("item").collect()] == [False, False, False, True]
 
 
+def test_term_search_reads_no_text_for_terms_of_one_word(spark):
+    """Long texts full of short words: trigrams are taken of different words only, and texts aren't repeated for their terms."""
+    t = spark.createDataFrame([(" ".join(["lorem", "ipsum"] * 400 + [str(i)]),) for i in range(300)] + [("a  b",), ("   ",)], "text string")
+    w = spark.createDataFrame([("psu",), ("ore",), ("  ",), ("m i",), ("m  i",), (" 29",), ("\n",)], "term string")
+    want = {"psu": 300, "ore": 300, "m i": 300, " 29": 11, "  ": 2}
+    assert {r.term: r["count"] for r in TM.matches(t, w).groupBy("term").count().collect()} == want
+    counts = TM.match_counts(t, w, "n").collect()
+    assert len(counts) == 302 and sum(r.n for r in counts) == sum(want.values())
+
+
 # FLT-2
 
 def test_date_range_is_pushed_and_loses_no_row(spark, tmp_path):
