@@ -60,11 +60,12 @@ def checks(spark: SparkSession, sf: str) -> dict[str, dict[str, int]]:
 def _sheet(spark: SparkSession, sf: str, name: str, table: str, raw) -> DataFrame:
     """A standardized input, written once to the shared checkpoint folder and read back, so queries that use
     the ledger several times scan clean Parquet instead of re-parsing text in every branch. The test tables
-    are single row groups, which one task reads alone. With ``RAZAO_MATERIALIZE=0`` only the lazy plan is kept."""
+    are single row groups, which one task reads alone. Rows are written as they come: a sort within tasks would hold a
+    whole input split of wide rows in memory. With ``RAZAO_MATERIALIZE=0`` only the lazy plan is kept."""
     if not MATERIALIZE:
         return _plan(spark, sf, name, lambda slug: ingest.standardize(raw(), table, RULES))
     counts = checks(spark, sf).setdefault(table, {})
-    return _plan(spark, sf, name, lambda slug: ingest.ingest_table(raw(), table, slug, RULES, unsplit=True, cluster_by=S.PERIOD,
+    return _plan(spark, sf, name, lambda slug: ingest.ingest_table(raw(), table, slug, RULES, unsplit=True,
                                                                    checks=quality.row_checks, into=counts))
 
 

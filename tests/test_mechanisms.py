@@ -66,6 +66,15 @@ def test_term_search_reads_no_text_for_terms_of_one_word(spark):
     assert len(counts) == 302 and sum(r.n for r in counts) == sum(want.values())
 
 
+def test_inputs_are_written_without_holding_a_split(spark, monkeypatch):
+    """A sort within tasks holds a whole input split of wide rows in memory."""
+    from razao.plans import catalogue
+    sorts, write = [], ingest.materialize
+    monkeypatch.setattr(catalogue, "_PLANS", {})
+    monkeypatch.setattr(ingest, "materialize", lambda df, name, partition_by=None, cluster_by=None, *rest: sorts.append(cluster_by) or write(df, f"unsorted/{name}", partition_by, cluster_by, *rest))
+    assert catalogue.ledger(spark, SF).count() > 0 and sorts and not any(sorts)
+
+
 # FLT-2
 
 def test_date_range_is_pushed_and_loses_no_row(spark, tmp_path):
