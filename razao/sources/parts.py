@@ -6,9 +6,11 @@ Here each part is read by its own header line and the parts are united by the
 standard form of their names. A row whose number of cells isn't its header's is
 kept apart, whole, with the part it came from.
 
-The driver reads one line of each part (a one-row Spark job each, several at a
-time) and nothing else. Parts with the same header are one scan, so the plan
-grows with the number of different headers, not of files.
+The driver reads the header of each part and nothing else: of a few parts by a
+one-row Spark job each, several at a time; of many by one scan, which gathers the
+first record of every file, and one such job for each different first record.
+Parts with the same header are one scan, so the plan grows with the number of
+different headers, not of files.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .. import schema as S
 RAGGED = "_ragged_record"
 QUARANTINE = "part string, expected_cells int, record string"
 HEADERS_AT_ONCE = 16
+#: Parts up to which each one's header is read by a job of its own, which leaves the rest of the part unread.
+HEADER_JOBS = 64
 
 
 def csv_options(multi_line: bool = False) -> dict:
@@ -53,15 +57,33 @@ def _header(spark: SparkSession, part: str, multi_line: bool) -> tuple[str, ...]
     return tuple(S.standard_names(["" if c is None else c for c in first[0]])) if first else None
 
 
+def _by_first_record(spark: SparkSession, parts: list[str], multi_line: bool) -> list[list[str]]:
+    """The parts that begin with the same record, together, in one scan; a part without a record is in none."""
+    # one column alone: a record of more cells is kept whole beside its first cell
+    df = (spark.read.options(**csv_options(multi_line) | {"header": False}).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RAGGED)
+          .option("columnPruning", False).schema(text_schema(["cell", RAGGED])).csv(parts))
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    first = (df.select(F.input_file_name().alias("part"), F.struct("cell", RAGGED).alias("record"), at.alias("at"))
+             .groupBy("part").agg(F.min_by("record", "at").alias("record")))
+    return [r["parts"] for r in first.groupBy("record").agg(F.collect_list("part").alias("parts")).collect()]
+
+
+def _headers(spark: SparkSession, parts: list[str], multi_line: bool) -> list[tuple[str, ...] | None]:
+    """Each part's column names; None where it is empty."""
+    groups = [[p] for p in parts] if len(parts) <= HEADER_JOBS else _by_first_record(spark, parts, multi_line)
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        named = list(pool.map(lambda group: _header(spark, group[0], multi_line), groups))
+    known = {p: names for group, names in zip(groups, named) for p in group}
+    return [known.get(p) for p in parts]
+
+
 def read_parts(spark: SparkSession, path: str, multi_line: bool = False, part_column: str | None = None) -> Parts:
     """All parts under ``path`` (a file, a folder or a pattern). Empty files are skipped.
 
     ``part_column`` adds a column of that name with the file each row came from."""
     files = sorted(spark.read.text(path).inputFiles())
-    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
-        headers = list(pool.map(lambda f: _header(spark, f, multi_line), files))
     scans: dict[tuple[str, ...], list[str]] = {}
-    for file, names in zip(files, headers):
+    for file, names in zip(files, _headers(spark, files, multi_line)):
         if names is not None:
             scans.setdefault(names, []).append(file)
     rows, ragged = None, spark.createDataFrame([], QUARANTINE)

@@ -67,6 +67,23 @@ def test_parts_of_one_header_are_one_scan(spark, tmp_path):
     assert parts.read_parts(spark, str(tmp_path)).rows.where("a = '1' AND b = '2'").count() == 6
 
 
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_headers_of_many_parts_are_read_in_one_scan(spark, tmp_path, monkeypatch, multi_line):
+    texts = ["A,B\n1,2\n", "B,A\n2,1\n", "\n\nA,B\n1,2\n", "", "\ufeffA,B\n1,2\n", "A\n1\n", "A,B,C\n1,2,3\n1,2\n", 'A,"B, b"\n1,2\n', "A,B\n", "B\n2\n"]
+    texts += ['"A\nx",B\n1,2\n', '"A\ny",B\n1,2\n'] if multi_line else []
+    for i in range(2 * len(texts)):
+        (tmp_path / f"{i:02d}.csv").write_text(texts[i % len(texts)], encoding="utf-8")
+    few = parts.read_parts(spark, str(tmp_path), multi_line, "file")
+    asked = []
+    monkeypatch.setattr(parts, "HEADER_JOBS", 1)
+    monkeypatch.setattr(parts, "_header", lambda *a, f=parts._header: asked.append(a[1]) or f(*a))
+    many = parts.read_parts(spark, str(tmp_path), multi_line, "file")
+    in_order = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert many.rows.columns == few.rows.columns and in_order(many.rows) == in_order(few.rows) and many.rows.count() >= 14
+    assert in_order(many.quarantine) == in_order(few.quarantine) and many.quarantine.count() == 2
+    assert len(asked) <= len(texts)  # a job for each different first record, not for each part
+
+
 def test_skip_is_for_missing_tables_only(spark, tmp_path):
     assert ingest.read_workbook(spark, str(tmp_path), names=["none"], missing="skip") == {}
     (tmp_path / "broken").write_text("not parquet")
