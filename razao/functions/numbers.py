@@ -12,16 +12,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from .text import strip
+from .text import strip, strip_rare
 
 
-_DROP_CHARS = "€ \u00a0"
-_KEEP_CHARS = "0123456789.-"
+_DROP_CHARS = ("€", " ", "\u00a0", "R$")  # the sign with a letter last: spaces may part it
+_OTHER_CHARS = r"[^0-9.\-]"
 
 
 def _remove_currency(t: Column) -> Column:
-    """Drop ``R$``, ``€``, spaces and NBSP without a regex."""
-    return F.replace(F.translate(t, _DROP_CHARS, ""), F.lit("R$"), F.lit(""))
+    """Drop ``R$``, ``€``, spaces and NBSP by byte searches: a ``translate`` looks up each character as a string."""
+    for dropped in _DROP_CHARS:
+        t = F.replace(t, F.lit(dropped), F.lit(""))
+    return t
 
 
 def parse_number(c: Column, money_type: str = "decimal(28,8)", paren_after_currency: bool = False,
@@ -53,8 +55,7 @@ def _negative(t: Column) -> Column:
 def _digits(cleaned: Column) -> Column:
     has_comma = F.instr(cleaned, ",") > 0
     has_dot = F.instr(cleaned, ".") > 0
-    backwards = F.reverse(cleaned)
-    comma_last = F.instr(backwards, ",") < F.instr(backwards, ".")
+    comma_last = F.instr(F.substring_index(cleaned, ".", -1), ",") > 0
     swapped = F.replace(F.replace(cleaned, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     unified = (
         F.when(has_comma & has_dot & comma_last, swapped)
@@ -66,9 +67,8 @@ def _digits(cleaned: Column) -> Column:
 
 
 def _keep_number_chars(u: Column) -> Column:
-    """Drop every character but digits, '.' and '-'; the regex runs only when needed."""
-    clean = F.translate(u, _KEEP_CHARS, "") == ""
-    return F.when(clean, u).otherwise(F.regexp_replace(u, r"[^0-9.\-]", ""))
+    """Drop every character but digits, '.' and '-'; the replacement runs only when needed."""
+    return F.when(u.rlike(_OTHER_CHARS), F.regexp_replace(u, _OTHER_CHARS, "")).otherwise(u)
 
 
 def _finish(digits: Column, negative: Column, money_type: str) -> Column:
@@ -94,7 +94,7 @@ def _number_stage(n: str, stage: int, money_type: str, paren_after_currency: boo
     """(output name, expression) of one NUM-1 stage for a column name, built once
     per process (expressions depend on names only)."""
     if stage == 0:
-        return f"__{n}_t", strip(F.col(n).cast("string"))
+        return f"__{n}_t", strip_rare(F.col(n).cast("string"))
     if stage == 1:
         return f"__{n}_c", _remove_currency(F.col(f"__{n}_t"))
     if stage == 2:

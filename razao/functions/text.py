@@ -72,6 +72,12 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(whitespace_chars()))
 
 
+def strip_rare(c: Column) -> Column:
+    """:func:`strip` where few texts need it: one that begins and ends with a printable ASCII character is left as it is."""
+    plain = F.ascii(c).between(0x21, 0x7E) & F.ascii(F.substring(c, -1, 1)).between(0x21, 0x7E)
+    return F.when(plain, c).otherwise(strip(c))
+
+
 def collapse_spaces(c: Column) -> Column:
     """Runs of spaces -> one space; the regex only runs on rows that need it."""
     return F.when(F.instr(c, "  ") > 0, F.regexp_replace(c, " {2,}", " ")).otherwise(c)

@@ -52,7 +52,8 @@ def _pick(arr, idx: Column) -> Column:
 
 def brl_text(x: Column) -> Column:
     """1234.5 -> '1.234,50'."""
-    return F.translate(F.format_number(x, 2), ",.", ".,")
+    us = F.format_number(x, 2)
+    return F.replace(F.replace(F.replace(us, F.lit(","), F.lit("_")), F.lit("."), F.lit(",")), F.lit("_"), F.lit("."))
 
 
 def _shifted(ts: Column) -> Column:
@@ -136,12 +137,12 @@ def ledger_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def items_sheet(spark: SparkSession, sf_dir: str, item_header: str = "Item") -> DataFrame:
     """Dirty item sheet (``fact_marta`` / ``fact_aluguel``) from line items and parts."""
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber", "l_extendedprice", "l_shipdate")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    j = li.join(p, li.l_partkey == p.p_partkey)
-    word = F.element_at(F.split(F.col("p_name"), " "), -1)
+    word = F.substring_index(F.col("p_name"), " ", -1)
     item = F.lit(ITEM_DEFAULT)
     for w, name in reversed(ITEM_BY_WORD):
         item = F.when(word == w, F.lit(name)).otherwise(item)
+    p = table(spark, sf_dir, "part").select("p_partkey", item.alias("item"))  # once a part, not once a line
+    j = li.join(p, li.l_partkey == p.p_partkey)
     d = _shifted(F.col("l_shipdate"))
     month_text = (
         F.when(F.col("l_linenumber") % 2 == 0, F.date_format(d, "MM/yyyy"))
@@ -149,7 +150,7 @@ def items_sheet(spark: SparkSession, sf_dir: str, item_header: str = "Item") ->
     )
     return j.select(
         month_text.alias("Mês"),
-        item.alias(item_header),
+        F.col("item").alias(item_header),
         F.concat(F.lit("R$ "), brl_text(F.col("l_extendedprice"))).alias("Valor Real Dashboard"),
     )
 

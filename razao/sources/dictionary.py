@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.periods import with_date, with_month
+from ..functions.periods import month_label, with_date, with_month
 from ..functions.text import normalize
 from ..session import ensure_checkpoint_dir
 
@@ -26,18 +26,24 @@ MAX_BYTES = 16 << 20
 
 
 def parsed(column: str, kind: str) -> str:
-    """Where a row's looked-up result of a kind (``date``, ``period`` or ``norm``) is held."""
+    """Where a row's looked-up result of a kind (``date``, ``period`` with its ``label``, or ``norm``) is held."""
     return f"__{column}_{kind}"
 
 
-def learn(df: DataFrame, wanted: dict[str, tuple[str, ...]], default_year: int) -> dict[str, DataFrame]:
+def estimates(wanted) -> dict[str, Column]:
+    """The rows and each column's distinct texts, about, as aggregates."""
+    return {"rows": F.count(F.lit(1))} | {f"c{i}": F.approx_count_distinct(c) for i, c in enumerate(wanted)}
+
+
+def learn(df: DataFrame, wanted: dict[str, tuple[str, ...]], default_year: int, about: dict[str, int] | None = None) -> dict[str, DataFrame]:
     """Lookup tables (text, and the kinds ``wanted`` of the column) for those columns that repay one.
 
-    Two passes over the columns named: one estimates, one gathers the distinct texts of the columns chosen,
-    pre-aggregated in every task, into a table in the shared checkpoint folder."""
+    Two passes over the columns named: one estimates (none where ``about`` has the ``estimates``), one gathers the
+    distinct texts of the columns chosen, pre-aggregated in every task, into a table in the shared checkpoint folder."""
     if not wanted:
         return {}
-    about = df.agg(F.count(F.lit(1)).alias("rows"), *[F.approx_count_distinct(c).alias(f"c{i}") for i, c in enumerate(wanted)]).first()
+    if about is None:
+        about = df.agg(*[e.alias(n) for n, e in estimates(wanted).items()]).first()
     chosen = [c for i, c in enumerate(wanted) if about[f"c{i}"] * LEAST_REPEATS <= about["rows"]]
     if not chosen:
         return {}
@@ -55,7 +61,7 @@ def _parsed_texts(texts: DataFrame, kinds: tuple[str, ...], default_year: int) -
     if "date" in kinds:
         texts = with_date(texts, "text", "date")
     if "period" in kinds:
-        texts = with_month(texts, "text", "period", default_year)
+        texts = with_month(texts, "text", "period", default_year).withColumn("label", month_label(F.col("period")))
     if "norm" in kinds:
         texts = texts.withColumn("norm", normalize("text"))
     return texts

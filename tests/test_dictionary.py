@@ -49,3 +49,27 @@ def test_empty_and_bare_tables(spark, odd):
     assert none.count() == 0 and none.columns == ingest.standardize(odd, LEDGER_TABLE).columns
     bare = spark.createDataFrame([("x", 1.5)], "Nota string, Valor double")
     assert rows(ingest.ingest_table(bare, "notes", "test/dictionary-bare")) == rows(ingest.standardize(bare, "notes"))
+
+
+def test_landed_tables_are_estimated_on_the_way(spark, odd):
+    about = {}
+    named = ingest.standardize_headers(odd)
+    kinds = ingest.looked_up_kinds(named)
+    landed = ingest.land(named, "test/estimated", dictionary.estimates(kinds), about)
+    assert about["rows"] == 400 and set(about) == {"rows", *(f"c{i}" for i in range(len(kinds)))}
+    prepared = ingest.prepare(landed, LEDGER_TABLE)
+    assert set(ingest.learn_lookups(prepared, about=about)) == set(ingest.learn_lookups(prepared))
+
+
+def test_generated_methods_are_compiled(spark, odd):
+    """The JVM only interprets methods over 8,000 bytes: no part of the clean rows' plan has one."""
+    raw = ingest.land(ingest.standardize_headers(odd), "test/generated")
+    clean = ingest.standardize(raw, LEDGER_TABLE, lookups=ingest.learn_lookups(ingest.prepare(raw, LEDGER_TABLE)))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(clean._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # the stages of the rows themselves, not those that parse the distinct texts
+    stages = [s for s in text.split("== Subtree ")[1:] if "CollectMetrics" in s.partition("Generated code:")[0] or "BroadcastHashJoin" in s.partition("Generated code:")[0]]
+    assert stages and all(int(s.partition("maxMethodCodeSize:")[2].partition(";")[0]) < 8000 for s in stages)
