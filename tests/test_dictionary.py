@@ -61,9 +61,10 @@ def test_landed_tables_are_estimated_on_the_way(spark, odd):
     assert set(ingest.learn_lookups(prepared, about=about)) == set(ingest.learn_lookups(prepared))
 
 
-def test_generated_methods_are_compiled(spark, odd):
+def test_generated_methods_are_compiled(spark, demo_raw):
     """The JVM only interprets methods over 8,000 bytes: no part of the clean rows' plan has one."""
-    raw = ingest.land(ingest.standardize_headers(odd), "test/generated")
+    sheet = demo_raw[LEDGER_TABLE].crossJoin(spark.range(5)).drop("id")
+    raw = ingest.land(ingest.standardize_headers(sheet), "test/generated")
     clean = ingest.standardize(raw, LEDGER_TABLE, lookups=ingest.learn_lookups(ingest.prepare(raw, LEDGER_TABLE)))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
