@@ -55,7 +55,7 @@ def letters() -> np.ndarray:
     """For each code point, itself if it is a letter, else 0."""
     global _LETTER
     if _LETTER is None:
-        _LETTER = np.fromiter((i if chr(i).isalpha() else 0 for i in range(sys.maxunicode + 1)), np.uint64, sys.maxunicode + 1)
+        _LETTER = np.fromiter((i if chr(i).isalpha() else 0 for i in range(sys.maxunicode + 1)), np.uint32, sys.maxunicode + 1)
     return _LETTER
 
 
@@ -64,26 +64,26 @@ def sequences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     joined = [("  \x00" + (t or "").lower() + "\x00").encode("utf-32-le", "surrogatepass") for t in texts]
     size = np.array([len(j) // 4 for j in joined], np.int64)
     c = letters()[np.frombuffer(b"".join(joined), np.uint32)]
-    doc = np.repeat(np.arange(len(texts)), size)
-    keep = np.r_[True, (c[1:] != 0) | (c[:-1] != 0) | (doc[1:] != doc[:-1])] if len(c) else np.zeros(0, bool)  # runs of gaps are one
-    c, doc = c[keep], doc[keep]
-    packed, old = c.copy(), np.zeros(len(c), np.uint64)
+    if not len(c):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), size
+    start = np.cumsum(size) - size
+    keep = c != 0
+    keep[1:] |= keep[:-1].copy()  # runs of gaps are one
+    keep[start] = True
+    size = np.add.reduceat(keep, start, dtype=np.int64)
+    c, start = c[keep], np.cumsum(size) - size
+    before = np.zeros((ORDER - 1, len(c)), np.uint64)
     for back in range(1, ORDER):
-        same = np.zeros(len(c), bool)
-        same[back:] = doc[back:] == doc[:-back]
-        before = np.zeros(len(c), np.uint64)
-        before[back:] = c[:-back]
-        before[~same] = 0
-        if back < ORDER - 1:
-            packed |= before << np.uint64(POINT_BITS * back)
-        else:
-            old = before
-    first = np.r_[True, doc[1:] != doc[:-1]] if len(c) else np.zeros(0, bool)
+        before[back - 1, back:] = c[:-back]
+    # every text ends with a gap, so of its second character only the last of those before can lie in another text
+    before[ORDER - 2, np.minimum(start + 1, len(c) - 1)[size > 1]] = 0
     # a text's first character is the gap before it; a text without letters has nothing else
-    packed, old, doc = packed[~first], old[~first], doc[~first]
-    count = np.bincount(doc, minlength=len(texts))
-    has = np.bincount(doc, (packed & np.uint64((1 << POINT_BITS) - 1)) != 0, minlength=len(texts)) > 0
-    return packed[has[doc]], old[has[doc]], np.where(has, count, 0)
+    rest = np.ones(len(c), bool)
+    rest[start] = False
+    packed = c.astype(np.uint64)
+    for back in range(1, ORDER - 1):
+        packed |= before[back - 1] << np.uint64(POINT_BITS * back)
+    return packed[rest], before[ORDER - 2][rest], size - 1
 
 
 def hashed(packed: np.ndarray, old: np.ndarray) -> np.ndarray:
@@ -191,21 +191,24 @@ class Models:
     def costs(self, packed: np.ndarray, old: np.ndarray) -> np.ndarray:
         """Bits of each sequence's last character after the others, a column a language."""
         out = np.empty((len(packed), len(self.langs)), np.float32)
-        ngram, ctx, bits = {}, {}, np.uint64(POINT_BITS)
-        for k in range(1, ORDER + 1):
-            own = packed & np.uint64((1 << POINT_BITS * min(k, ORDER - 1)) - 1)
-            ngram[k] = hashed(packed, old) if k == ORDER else own
-            ctx[k] = (own >> bits) | (old << bits * np.uint64(ORDER - 2) if k == ORDER else np.uint64(0))
+        bits, gram = np.uint64(POINT_BITS), hashed(packed, old)
+        # all but the sequences of four themselves is looked up once for each three characters, at their end or their start
+        three, at = np.unique(np.r_[packed, (packed >> bits) | (old << bits * np.uint64(ORDER - 2))], return_inverse=True)
+        end, start = at[:len(packed)], at[len(packed):]
+        own = {k: three & np.uint64((1 << POINT_BITS * k) - 1) for k in range(1, ORDER)}
         for j, lang in enumerate(self.langs):
-            p = np.full(len(packed), self.floor[lang])
+            p = np.full(len(three), self.floor[lang])
             for k in range(1, ORDER + 1):
                 d, part = self.parts[lang, k, "d"], self.parts[lang, k, True]
-                at, seen = self.look(part, ctx[k])
+                at, seen = self.look(part, own[k] >> bits if k < ORDER else three)
                 total, kinds = np.where(seen, part[1][at], 1.0).astype(np.float64), part[2][at]
+                rest = np.where(seen, np.minimum(d * kinds / total, 1.0), 1.0)  # without its context a sequence isn't there either
+                if k == ORDER:
+                    p, total, rest = p[end], total[start], rest[start]
                 part = self.parts[lang, k, False]
-                at, hit = self.look(part, ngram[k])
+                at, hit = self.look(part, own[k] if k < ORDER else gram)
                 c = np.where(hit, part[1][at], 0.0)
-                p = np.where(seen, np.maximum(c - d, 0) / total + np.minimum(d * kinds / total, 1.0) * p, p)
+                p = np.maximum(c - d, 0) / total + rest * p
             out[:, j] = -np.log2(np.maximum(p, LEAST_P))
         return out
 
@@ -283,7 +286,7 @@ class Scorer:
         g = hashed(packed, old)
         at = self.place(g)
         miss = np.flatnonzero(self.gram[at] != g)
-        out = self.cost[at]  # read before new ones take the places
+        out = self.cost.take(at, axis=0)  # read before new ones take the places
         if len(miss):
             new, first, back = np.unique(g[miss], return_index=True, return_inverse=True)
             cost = self.m.costs(packed[miss[first]], old[miss[first]])
@@ -322,12 +325,12 @@ def calibrated(models: Models | Joined, rows: DataFrame) -> dict[str, tuple[floa
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array([shuffled(t) for t in b.column(2).to_pylist()], pa.string())], names=["key", "lang", "text", "mixed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(models)
+        scorer, mixer = Scorer(models), Scorer(models)  # shuffled texts would push the others' sequences out
         for b in slices(batches, "text", SLICE):
             texts = b.column(2).to_pylist()
             own = (np.arange(len(b)), [models.langs.index(x) for x in b.column(1).to_pylist()])
             mean, size, square = scorer.texts(texts)
-            mixed, _, _ = scorer.texts([shuffled(t) for t in texts])
+            mixed, _, _ = mixer.texts([shuffled(t) for t in texts])
             yield pa.record_batch([b.column(0), b.column(1), pa.array(mean[own]), pa.array(mixed[own]), pa.array(square[own]), pa.array(size)], names=["key", "lang", "mean", "mixed", "square", "size"])
 
     if isinstance(models, Joined):

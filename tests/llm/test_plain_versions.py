@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import html
 import random
 import re
@@ -644,6 +645,32 @@ def test_kneser_ney_equals_a_plain_model(spark):
     assert models.costs(packed, old)[:, 0] == pytest.approx([-np.log2(p(g)) for g in grams], rel=1e-4)
 
 
+def test_shorter_sequences_are_looked_up_once(spark, monkeypatch):
+    """All sequences of four out of ten letters hold a thousand of three; only the former are looked up one by one."""
+    rnd = random.Random(6)
+    rows = [(lang, "".join(rnd.choice(some) for _ in range(300))) for lang, some in (("x", "abcdefg "), ("y", "defghij ")) for _ in range(20)]
+    models = language_id.Models(language_id.tables(language_id.counts(spark.createDataFrame(rows, "lang string, text string"))).toArrow())
+    four = np.array([[ord(c) for c in g] for g in itertools.product("abcdefghij", repeat=4)], np.uint64)
+    old, packed = four[:, 0], four[:, 1] << np.uint64(42) | four[:, 2] << np.uint64(21) | four[:, 3]
+    looked, look = [], language_id.Models.look
+    monkeypatch.setattr(language_id.Models, "look", staticmethod(lambda part, h: looked.append(len(h)) or look(part, h)))
+    costs = models.costs(packed, old)
+    assert sum(looked) <= 2 * (10_000 + 7 * 1_000)
+    assert all(np.array_equal(models.costs(packed[i:i + 1], old[i:i + 1])[0], costs[i]) for i in range(0, 10_000, 37))
+
+
+def test_texts_do_not_share_sequences():
+    texts = [None, "", "ab", "1 2", "\ud800", "a", " .b. c", "\U00020061é1", "abcdef gh", ""]
+    want = []
+    for t in texts:
+        chars = "\0" + "".join(c if c.isalpha() else "\0" for c in t or "") + "\0"
+        chars = "\0\0\0" + re.sub("\0+", "\0", chars)
+        want.append([chars[i - 3:i + 1] for i in range(4, len(chars))])
+    packed, old, size = language_id.sequences(texts)
+    assert ["".join(map(chr, (o, p >> 42, p >> 21 & 0x1FFFFF, p & 0x1FFFFF))) for p, o in zip(packed.tolist(), old.tolist())] == sum(want, [])
+    assert size.tolist() == [len(x) for x in want] and [len(x) for x in language_id.sequences([])] == [0, 0, 0]
+
+
 def test_sequences_are_counted_apart(spark):
     rnd = np.random.default_rng(3)
     texts = ["".join(map(chr, rnd.integers(0x4E00, 0x9FA0, 1500))) for _ in range(300)] + ["abc", "\U00020061\U00020062\U00020063"]
