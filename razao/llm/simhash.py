@@ -94,7 +94,11 @@ def probes(entries: DataFrame, width: int, radius: int) -> DataFrame:
 
 
 def links(fps: DataFrame, max_bits: int, segments: int = 2) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints in ``fps`` that differ in 1 to ``max_bits`` bits, each once."""
+    """Pairs (a, b) of distinct fingerprints in ``fps`` that differ in 1 to ``max_bits`` bits, each once.
+
+    Probes and entries are joined by a shuffle, as the hints ask: Spark takes an exploded table to be as small as the
+    one it comes from, and would gather some 35 probes a fingerprint on the driver. The hot entries are joined by semi
+    joins, in which only they can be broadcast."""
     if 64 % segments or segments < 2:
         raise ValueError("segments must divide 64 and be two at least")
     width, radius = 64 // segments, max_bits // segments
@@ -103,7 +107,7 @@ def links(fps: DataFrame, max_bits: int, segments: int = 2) -> DataFrame:
     asked = probes(entries, width, radius)
     hot = written(table.groupBy("key").count().where(F.col("count") > HOT_ENTRY).select("key"), "hot-entries")
     if hot.isEmpty():
-        met = asked.join(table, "key")
+        met = asked.join(table.hint("merge"), "key")
     else:  # the same tables for the other bits, below each hot entry
         half = width // 2
         parts = range(64 // half)
@@ -116,10 +120,10 @@ def links(fps: DataFrame, max_bits: int, segments: int = 2) -> DataFrame:
             return F.transform(near, lambda m: F.struct(F.lit(p).alias("p"), segment(F.col("a"), p, half).bitwiseXOR(m).alias("v")))
 
         around = F.flatten(F.array(*map(about, parts)))
-        sub = table.join(hot, "key").select("key", "b", F.explode(own).alias("part")).where(outside)
-        below = asked.join(hot, "key").select("a", "key", "same", F.explode(around).alias("part")).where(outside)
-        below = below.join(sub, ["key", "part"]).select("key", "a", "same", "b").distinct()
-        met = asked.join(hot, "key", "left_anti").join(table, "key").unionByName(below)
+        sub = table.join(hot, "key", "left_semi").select("key", "b", F.explode(own).alias("part")).where(outside)
+        below = asked.join(hot, "key", "left_semi").select("a", "key", "same", F.explode(around).alias("part")).where(outside)
+        below = below.join(sub.hint("merge"), ["key", "part"]).select("key", "a", "same", "b").distinct()
+        met = asked.join(hot, "key", "left_anti").join(table.hint("merge"), "key").unionByName(below)
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     at = F.shiftright(F.col("key"), width)
     earlier = F.lit(True)
