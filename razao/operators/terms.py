@@ -10,9 +10,9 @@ words. A term that is one run is settled by that; any other is checked on the
 text. There is no cross join; trigrams follow the vocabulary, the rest the
 texts' words and the hits.
 
-Texts are searched once each, however many rows hold them. While words are
-matched a text is known by two 64-bit hashes, so long texts aren't copied for
-each hit.
+While words are matched a text is known by two hashes, so long texts aren't
+copied for each hit. Where texts are asked for they are searched once each,
+however many rows hold them; where they are counted no text is shuffled at all.
 """
 
 from __future__ import annotations
@@ -39,41 +39,75 @@ def escaped(term: Column) -> Column:
     return F.regexp_replace(term, r"([\\.^$|?*+()\[\]{}])", r"\\\$1")
 
 
-def _within(words: DataFrame, runs: DataFrame, gram: int) -> DataFrame:
-    """(word, run): every run in every different word that holds it, by the runs' rarest pieces of ``gram`` characters."""
+#: Bits of the table that tells which pieces no run is filed under (1 MB).
+SIEVE_BITS = 1 << 23
+
+
+def _place(piece: str) -> tuple[Column, Column]:
+    """A piece's long and bit there in the table of ``SIEVE_BITS`` bits."""
+    at = F.xxhash64(piece).bitwiseAND(SIEVE_BITS - 1)
+    return F.shiftright(at, 6).cast("int"), at.bitwiseAND(63).cast("int")
+
+
+def _sieve(index: DataFrame) -> Column:
+    """The table as an array of longs, of one size whatever is filed: a clear bit says that no run is filed under a piece."""
+    slot, bit = _place("gram")
+    bits = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    every = index.sparkSession.range(SIEVE_BITS >> 6).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("bigint").alias("bits"))
+    longs = index.select(slot.alias("slot"), bits.alias("bits")).unionByName(every).groupBy("slot").agg(F.bit_or("bits").alias("bits"))
+    return longs.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "bits"))), lambda x: x["bits"])).scalar()
+
+
+def _within(words: DataFrame, runs: DataFrame, gram: int, sieve: bool = False) -> DataFrame:
+    """(word, run): every run in every different word that holds it, by the runs' rarest pieces of ``gram`` characters;
+    with the other columns of ``runs``. ``sieve`` keeps most pieces that no run is filed under out of the last shuffle."""
     # shorter pieces are only looked up if a run is as short
     short = [(n, runs.agg(F.count_if(F.char_length("run") == n) > 0).scalar()) for n in range(1, gram)]
     grams = [_grams(F.col("word"), gram), *[F.when(used, _grams(F.col("word"), n)).otherwise(F.array().cast("array<string>")) for n, used in short]]
     held = words.select("word", F.explode(F.concat(*grams)).alias("gram"))
     own = F.when(F.char_length("run") < gram, F.array("run")).otherwise(_grams(F.col("run"), gram))
-    filed = runs.select("run", F.explode(own).alias("gram"))
-    held_by = held.join(filed.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("words"))
+    # the join below would ask for it; asked for here, the sieve's index is the same plan and isn't computed twice
+    filed = runs.where("run IS NOT NULL").select("*", F.explode(own).alias("gram"))
+    held_by = held.groupBy("gram").agg(F.count(F.lit(1)).alias("words"))  # added up within tasks, so before any join
     rarest = F.min(F.struct(F.coalesce("words", F.lit(0)).alias("words"), F.col("gram")))["gram"]
-    index = filed.join(held_by, "gram", "left").groupBy("run").agg(rarest.alias("gram"))
-    return held.join(index, "gram").where(F.col("word").contains(F.col("run"))).select("word", "run")
+    index = filed.join(held_by, "gram", "left").groupBy(*runs.columns).agg(rarest.alias("gram"))
+    if sieve:
+        slot, bit = _place("gram")
+        held = held.where(F.getbit(F.get(_sieve(index), slot), bit) == 1)
+    return held.join(index, "gram").where(F.col("word").contains(F.col("run"))).select("word", *runs.columns)
 
 
 ID = ["id", "id_2"]
 
 
-def _hits(texts: DataFrame, terms: DataFrame, whole_word: bool, gram: int) -> tuple[DataFrame, DataFrame]:
-    """The different texts with their ids, and (id, id_2, term) once for every term that a text holds."""
-    texts = texts.select("text").where("text != ''").distinct().withColumns({"id": F.xxhash64("text"), "id_2": F.xxhash64(F.lit(1), "text")})
+def _ids(column: str) -> list[Column]:
+    return [F.xxhash64(column), F.hash(column).bitwiseAND(0xFFFF)]
+
+
+def _with_ids(texts: DataFrame) -> DataFrame:
+    """The texts that aren't empty with their ids, two hashes of 64 and 16 bits."""
+    return texts.where("text != ''").withColumns(dict(zip(ID, _ids("text"))))
+
+
+def _with_runs(terms: DataFrame) -> DataFrame:
+    """(term, run): the different terms and the longest run of each without a space."""
     longest = F.array_max(F.transform(F.split("term", " "), lambda run: F.struct(F.char_length(run).alias("size"), run.alias("run"))))["run"]
     # a term of spaces alone is its own run, and lies in a run of spaces
-    terms = terms.select("term").where("term != ''").distinct().select("term", F.when(longest != "", longest).otherwise(F.col("term")).alias("run"))
+    return terms.select("term").where("term != ''").distinct().select("term", F.when(longest != "", longest).otherwise(F.col("term")).alias("run"))
+
+
+def _words(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, id_2, word): the different words of each text that are long enough for a run."""
     blank = terms.agg(F.count_if(F.trim("term") == "") > 0).scalar()
     words = F.concat(F.split("text", " "), F.when(blank, F.regexp_extract_all("text", F.lit(" +"), F.lit(0))).otherwise(F.array().cast("array<string>")))
     shortest = terms.agg(F.min(F.char_length("run"))).scalar()
-    held = texts.select(*ID, F.explode(F.array_distinct(words)).alias("word")).where(F.char_length("word") >= shortest)
-    by_word = _within(held.select("word").distinct(), terms.select("run").distinct(), gram).join(terms, "run").select("word", "term", "run")
-    hits = held.join(by_word, "word").select(*ID, "term", "run").distinct()
-    settled, found = F.col("term") == F.col("run"), F.col("text").contains(F.col("term"))
-    if whole_word:
-        settled = F.lit(False)
-        found &= F.rlike(F.col("text"), F.concat(F.lit(r"\b"), escaped(F.col("term")), F.lit(r"\b")))
-    checked = hits.where(~settled).join(texts, ID).where(found).select(*ID, "term")
-    return texts, hits.where(settled).select(*ID, "term").unionByName(checked)
+    return texts.select(*ID, F.explode(F.array_distinct(words)).alias("word")).where(F.char_length("word") >= shortest)
+
+
+def _found(whole_word: bool) -> Column:
+    """Whether the text holds the term."""
+    found = F.col("text").contains(F.col("term"))
+    return found & F.rlike(F.col("text"), F.concat(F.lit(r"\b"), escaped(F.col("term")), F.lit(r"\b"))) if whole_word else found
 
 
 def matches(texts: DataFrame, terms: DataFrame, whole_word: bool = False, gram: int = GRAM) -> DataFrame:
@@ -82,14 +116,43 @@ def matches(texts: DataFrame, terms: DataFrame, whole_word: bool = False, gram:
     Empty and NULL terms match nothing. With ``whole_word`` a term counts between word boundaries only.
     ``gram`` is the length of the pieces that are filed: three suit cells; many words hold the same trigrams, so
     longer pieces, up to the shortest usual term, save checks. Any value gives the same result."""
-    texts, hits = _hits(texts, terms, whole_word, gram)
-    return hits.join(texts, ID).select("text", "term")
+    texts, terms = _with_ids(texts.select("text").distinct()), _with_runs(terms)
+    held = _words(texts, terms)
+    by_word = _within(held.select("word").distinct(), terms.select("run").distinct(), gram).join(terms, "run").select("word", "term", "run")
+    hits = held.join(by_word, "word").select(*ID, "term", "run").distinct()
+    settled = F.lit(False) if whole_word else F.col("term") == F.col("run")
+    checked = hits.where(~settled).join(texts, ID).where(_found(whole_word)).select(*ID, "term")
+    return hits.where(settled).select(*ID, "term").unionByName(checked).join(texts, ID).select("text", "term")
+
+
+def add_match_counts(df: DataFrame, column: str, terms: DataFrame, out: str, whole_word: bool = False, gram: int = GRAM) -> DataFrame:
+    """The rows of ``df`` whose column holds any term (column ``term``) of the table, with the number of different ones.
+
+    Words are shuffled once with their texts' ids and come back with the hashes of the terms in them, which are counted
+    within each text. Texts are only shuffled for terms that their words don't settle, if there are any."""
+    texts, terms = _with_ids(df.select(F.col(column).alias("text"))), _with_runs(terms)
+    held = _words(texts, terms).repartition("word")
+    # the different words are taken from the rows that are shuffled anyhow: the filter keeps the ids, so that it is one shuffle
+    seen = held.groupBy("word").agg(*[F.max(c).alias(c) for c in ID])
+    words = seen.where(" AND ".join(f"{c} IS NOT NULL" for c in ID)).select("word")
+    settled = F.lit(False) if whole_word else F.col("term") == F.col("run")
+    found = _within(words, terms.groupBy("run").agg(F.max(settled).alias("settled"), F.max(~settled).alias("open")), gram, sieve=True)
+    by_word = found.where("settled").groupBy("word").agg(F.collect_set(F.xxhash64("run")).alias("terms"))
+    hits = held.join(by_word, "word").select(*ID, "terms")
+    some = terms.agg(F.count_if(~settled) > 0).scalar()
+    asked = found.where("open").join(terms.where(~settled), "run").select("word", "term")
+    asked = held.where(some).join(asked, "word").select(*ID, "term").distinct()
+    checked = asked.join(texts.where(some).distinct(), ID).where(_found(whole_word)).select(*ID, F.array(F.xxhash64("term")).alias("terms"))
+    each = hits.unionByName(checked).repartition(*ID).select(*ID, F.explode("terms").alias("term")).distinct()
+    counts = each.groupBy(*ID).agg(F.count(F.lit(1)).alias("__n")).toDF("__id", "__id_2", "__n")
+    rows = df.where(F.col(column) != "").withColumns(dict(zip(["__row_id", "__row_id_2"], _ids(column))))
+    joined = rows.join(counts, (F.col("__row_id") == F.col("__id")) & (F.col("__row_id_2") == F.col("__id_2")))
+    return joined.withColumn(out, F.col("__n")).select(*df.columns, out)
 
 
 def match_counts(texts: DataFrame, terms: DataFrame, out: str, whole_word: bool = False, gram: int = GRAM) -> DataFrame:
     """(text, ``out``): the number of rows of ``matches`` of every text that has any; no text is copied for its terms."""
-    texts, hits = _hits(texts, terms, whole_word, gram)
-    return hits.groupBy(*ID).agg(F.count(F.lit(1)).alias(out)).join(texts, ID).select("text", out)
+    return add_match_counts(texts.select("text").distinct(), "text", terms, out, whole_word, gram)
 
 
 def _looked_up(df: DataFrame, column: str, results: DataFrame) -> DataFrame:

@@ -415,7 +415,7 @@ def q_term_table_search(spark, sf):
     """Thousands of terms in a table (the longer words of the conversations), searched in whole documents."""
     words = B.table(spark, sf, "conversations").select(F.explode(F.split("text", " ")).alias("term")).where(F.char_length("term") >= 7)
     docs = B.table(spark, sf, "documents").select("doc_id", "text")
-    return docs.join(TM.match_counts(docs, words, "n_terms", gram=6), "text").select("doc_id", "n_terms")
+    return TM.add_match_counts(docs, "text", words, "n_terms", gram=6).select("doc_id", "n_terms")
 
 
 def q_shared_home_table(spark, sf):

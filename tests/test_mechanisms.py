@@ -66,6 +66,31 @@ def test_term_search_reads_no_text_for_terms_of_one_word(spark):
     assert len(counts) == 302 and sum(r.n for r in counts) == sum(want.values())
 
 
+def shuffled_bytes(df) -> int:
+    """Bytes of the rows that the run's shuffles wrote, subqueries left out."""
+    def walk(node) -> int:
+        name = node.nodeName()
+        if name.startswith("Reused"):
+            return 0
+        below = [node.plan()] if "QueryStage" in name else [node.children().apply(i) for i in range(node.children().size())]
+        return (node.metrics().apply("dataSize").value() if name == "Exchange" else 0) + sum(map(walk, below))
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan().executedPlan())
+
+
+def test_term_counts_shuffle_no_text(spark, tmp_path):
+    """Long texts of short words: what is shuffled follows the words that can hold a term, not the texts."""
+    docs = [(i, f"Of{i} " + "to be " * 8000 + f"xxlonger{i % 50} biglonger{i % 7} longer{i % 50}") for i in range(100)]
+    docs += [(100, docs[0][1]), (None, docs[1][1]), (101, ""), (102, None), (103, "nothing in here")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    terms = [("longer7 is xlonger49 xlonger49",), ("longer4 biglonger",), (None,), ("",)]
+    spark.createDataFrame(terms, "text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = K.QUERIES["term_table_search"](spark, str(tmp_path))
+    want = [(i, n) for i, t in docs if t and (n := sum(x in t for x in ("longer7", "xlonger49", "longer4", "biglonger")))]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want)) and (None, 1) in want
+    assert shuffled_bytes(found) < sum(len(t or "") for _, t in docs) // 10
+
+
 def test_inputs_are_written_without_holding_a_split(spark, monkeypatch):
     """A sort within tasks holds a whole input split of wide rows in memory."""
     from razao.plans import catalogue
