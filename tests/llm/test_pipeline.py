@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from razao.llm import packing, queries, secret_scan
+from razao.llm import packing, queries, secret_scan, simhash
 
-from .test_plain_versions import plain_components, plain_fingerprint
+from .test_plain_versions import gathered, plain_components, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,6 +49,19 @@ def test_one_of_each_group_stays(stages):
     assert sorted(r["doc_id"] for r in after.collect()) == [rows[i][0] for i in sorted(set(parts))]
 
 
+def test_near_duplicate_stage_gathers_no_probes(spark, monkeypatch):
+    """What the stage writes is looked at before it runs: none of it sends exploded rows to the driver to be broadcast."""
+    found, write = {}, simhash.written
+
+    def looked_at(df, name):
+        found[name] = [x for x in gathered(df) if "Generate explode" in x]
+        return write(df, name)
+    monkeypatch.setattr(simhash, "written", looked_at)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert 0 < corpus_pipeline.near_duplicates(spark, docs, SF).count() <= docs.count()
+    assert "links" in found and not any(found.values())
+
+
 def test_secrets_are_masked(stages):
     before, after = stages["secrets"]
     new = {r["doc_id"]: r for r in after.collect()}
