@@ -128,23 +128,20 @@ def matches(texts: DataFrame, terms: DataFrame, whole_word: bool = False, gram:
 def add_match_counts(df: DataFrame, column: str, terms: DataFrame, out: str, whole_word: bool = False, gram: int = GRAM) -> DataFrame:
     """The rows of ``df`` whose column holds any term (column ``term``) of the table, with the number of different ones.
 
-    Words are shuffled once with their texts' ids and come back with the hashes of the terms in them, which are counted
+    Words are shuffled with their texts' ids and come back with the hashes of the terms in them, which are counted
     within each text. Texts are only shuffled for terms that their words don't settle, if there are any."""
     texts, terms = _with_ids(df.select(F.col(column).alias("text"))), _with_runs(terms)
-    held = _words(texts, terms).repartition("word")
-    # the different words are taken from the rows that are shuffled anyhow: the filter keeps the ids, so that it is one shuffle
-    seen = held.groupBy("word").agg(*[F.max(c).alias(c) for c in ID])
-    words = seen.where(" AND ".join(f"{c} IS NOT NULL" for c in ID)).select("word")
+    held = _words(texts, terms)
     settled = F.lit(False) if whole_word else F.col("term") == F.col("run")
-    found = _within(words, terms.groupBy("run").agg(F.max(settled).alias("settled"), F.max(~settled).alias("open")), gram, sieve=True)
+    found = _within(held.select("word").distinct(), terms.groupBy("run").agg(F.max(settled).alias("settled"), F.max(~settled).alias("open")), gram, sieve=True)
     by_word = found.where("settled").groupBy("word").agg(F.collect_set(F.xxhash64("run")).alias("terms"))
     hits = held.join(by_word, "word").select(*ID, "terms")
     some = terms.agg(F.count_if(~settled) > 0).scalar()
     asked = found.where("open").join(terms.where(~settled), "run").select("word", "term")
     asked = held.where(some).join(asked, "word").select(*ID, "term").distinct()
     checked = asked.join(texts.where(some).distinct(), ID).where(_found(whole_word)).select(*ID, F.array(F.xxhash64("term")).alias("terms"))
-    each = hits.unionByName(checked).repartition(*ID).select(*ID, F.explode("terms").alias("term")).distinct()
-    counts = each.groupBy(*ID).agg(F.count(F.lit(1)).alias("__n")).toDF("__id", "__id_2", "__n")
+    terms_of = F.array_distinct(F.flatten(F.collect_list("terms")))
+    counts = hits.unionByName(checked).groupBy(*ID).agg(F.size(terms_of).cast("bigint").alias("__n")).toDF("__id", "__id_2", "__n")
     rows = df.where(F.col(column) != "").withColumns(dict(zip(["__row_id", "__row_id_2"], _ids(column))))
     joined = rows.join(counts, (F.col("__row_id") == F.col("__id")) & (F.col("__row_id_2") == F.col("__id_2")))
     return joined.withColumn(out, F.col("__n")).select(*df.columns, out)
